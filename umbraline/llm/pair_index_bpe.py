@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbraline.plans.lineage import spread
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published split pattern of this vocabulary (fixed value).
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -129,7 +131,7 @@ def _mapped(df: DataFrame, id_col: str, text_col: str, path: str, field: str, ki
 
     id_type = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, f"id {id_type}, {field} {kind}").withColumnRenamed("id", id_col)
+    return spread(rows).mapInPandas(run, f"id {id_type}, {field} {kind}").withColumnRenamed("id", id_col)
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = DEFAULT_VOCABULARY) -> DataFrame:
