@@ -20,3 +20,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, so that a lost executor never replays what lies before."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its few files make fewer tasks than that; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
