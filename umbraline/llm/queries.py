@@ -5,12 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from umbraline.llm import bin_slack, pair_index_bpe
+from umbraline.llm import bin_slack, lookalike, pair_index_bpe, refinement
 from umbraline.plans.lineage import cut
 from umbraline.sources.tables import table
 
 
+# Fixed values of the project's data.
+LOOK_TYPES = ["PERSON", "ORG_PRIVATE", "EMAIL", "USERNAME", "CITY_STATE", "BIRTHPLACE", "EMPLOYEE_ID", "CUSTOMER_ID"]
+LOOK_KEY_TYPES = ["EMAIL", "USERNAME", "CUSTOMER_ID", "BIRTHPLACE", "CITY_STATE", "EMPLOYEE_ID"]
+COPY_KEY_TYPES = ["POLICY_NUMBER", "MEMBER_ID", "CASE_NUMBER", "MATTER_ID", "ADDRESS", "UNCLASSIFIED_GROUP_VALUE"]
+FREE_ORDER_TYPES = ["ADDRESS", "UNCLASSIFIED_GROUP_VALUE"]
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    candidates = table(spark, sf_dir, "candidates").where("source = 'group' AND pii_type = 'UNCLASSIFIED_GROUP_VALUE'")
+    registry = table(spark, sf_dir, "registry").where(F.col("pii_type").isin(COPY_KEY_TYPES))
+    free = F.col("pii_type").isin(FREE_ORDER_TYPES)
+    a = refinement.copies(candidates, "cand_id", "text", ["pii_type"], free)
+    b = refinement.copies(registry, "record_id", "normalized", ["pii_type", "discriminator"], free)
+    return a.select(F.lit("candidates").alias("tbl"), "first_id", "copies").unionByName(
+        b.select(F.lit("registry").alias("tbl"), "first_id", "copies")
+    )
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    candidates = table(spark, sf_dir, "candidates").where(F.col("pii_type").isin(LOOK_TYPES))
+    registry = table(spark, sf_dir, "registry").where(F.col("pii_type").isin(LOOK_KEY_TYPES))
+    a = lookalike.same_look_pairs(candidates, ["fixture", "page_no", "pii_type"], "cand_id", "text")
+    b = lookalike.same_look_pairs(registry, ["scope_ref", "pii_type"], "record_id", "normalized")
+    return a.select(F.lit("candidates").alias("tbl"), "id_a", "id_b").unionByName(b.select(F.lit("registry").alias("tbl"), "id_a", "id_b"))
+
+
+def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value with its consistent form."""
+    a = table(spark, sf_dir, "candidates").select(F.lit("candidates").alias("tbl"), F.col("cand_id").alias("id"), "text")
+    b = table(spark, sf_dir, "registry").select(F.lit("registry").alias("tbl"), F.col("record_id").alias("id"), F.col("normalized").alias("text"))
+    return lookalike.canonical_form(a.unionByName(b).distinct())
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_index_bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -26,6 +60,9 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p4_forms": p4_forms,
     "p6_ids": p6_ids,
     "p7_requests": p7_requests,
     "p7_fill": p7_fill,
