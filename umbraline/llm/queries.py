@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbraline.llm import bin_slack, lookalike, pair_index_bpe, refinement
+from umbraline.llm import address_rewrites, bin_slack, lookalike, pair_index_bpe, refinement, weak_spans
 from umbraline.plans.lineage import cut
 from umbraline.sources.tables import table
 
@@ -19,6 +19,20 @@ COPY_KEY_TYPES = ["POLICY_NUMBER", "MEMBER_ID", "CASE_NUMBER", "MATTER_ID", "ADD
 FREE_ORDER_TYPES = ["ADDRESS", "UNCLASSIFIED_GROUP_VALUE"]
 
 
+def _locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "candidates").where("pii_type IN ('ADDRESS', 'STREET', 'PO_BOX')")
+    return address_rewrites.locations(rows, "cand_id", "text")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return address_rewrites.same_location_pairs(cut(_locations(spark, sf_dir)), "cand_id")
+
+
+def p1_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every address record with its location."""
+    return _locations(spark, sf_dir)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = table(spark, sf_dir, "candidates").where("source = 'group' AND pii_type = 'UNCLASSIFIED_GROUP_VALUE'")
     registry = table(spark, sf_dir, "registry").where(F.col("pii_type").isin(COPY_KEY_TYPES))
@@ -45,6 +59,25 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonical_form(a.unionByName(b).distinct())
 
 
+def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = table(spark, sf_dir, "search_hits").select(F.lit("search_hits").alias("tbl"), F.col("hit_id").alias("row_id"), F.col("line_text").alias("text"))
+    remarks = table(spark, sf_dir, "candidates").where("source = 'manual' AND pii_type = 'UNCLASSIFIED_GROUP_VALUE'")
+    rows = hits.unionByName(remarks.select(F.lit("candidates").alias("tbl"), F.col("cand_id").alias("row_id"), "text"))
+    names = table(spark, sf_dir, "registry").where("pii_type = 'PERSON'").select(F.col("original").alias("name"))
+    names = names.unionByName(table(spark, sf_dir, "roster").where("pii_type = 'PERSON'").select(F.col("original").alias("name")))
+    names = names.unionByName(table(spark, sf_dir, "candidates").where("pii_type = 'PERSON'").select(F.col("text").alias("name")))
+    return weak_spans.mentions(rows, names)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _mentions(spark, sf_dir).select("tbl", "row_id", F.explode("found").alias("m"))
+    return found.select("tbl", "row_id", "m.pii_type", "m.span_start", "m.span_end")
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_spans.redacted(_mentions(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_index_bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -60,9 +93,13 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_locations": p1_locations,
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_forms": p4_forms,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
     "p6_ids": p6_ids,
     "p7_requests": p7_requests,
     "p7_fill": p7_fill,
