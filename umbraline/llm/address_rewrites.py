@@ -14,10 +14,11 @@ import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -77,6 +78,19 @@ def stands_for(short: str, full: str) -> bool:
     return all(x in rest for x in short)
 
 
+@lru_cache(maxsize=100_000)
+def _slipped_kind(token: str) -> str:
+    if len(token) < 5:
+        return ""
+    near = [k for k in KINDS if len(k) > 4 and within_one_slip(token, k)]
+    return near[0] if len(near) == 1 else ""
+
+
+def is_word(token: str) -> bool:
+    """Whether a token is a word of a name, be it an ordinal or one with digits for letters."""
+    return token[0].isalpha() or sum(x.isalpha() for x in token) > 1
+
+
 class Parser:
     """Parts of an address text under a set of rewrites; ``second``: words that often stand before the kind."""
 
@@ -84,7 +98,8 @@ class Parser:
         self.rewrites, self.second = rewrites, second
 
     def kind(self, token: str) -> str:
-        return token if token in KINDS else self.rewrites.get(("kind", token), "")
+        """The kind of street in full: the word itself, a mined rewrite, or a longer kind that is one slip away."""
+        return token if token in KINDS else self.rewrites.get(("kind", token)) or _slipped_kind(token)
 
     def parse(self, text: str) -> dict | None:
         """The parts, or None if there is neither a house number nor a box."""
@@ -107,7 +122,7 @@ class Parser:
         if number is not None:
             seg, at = toks[number][1], number + 1
             end = at
-            while end < len(toks) and toks[end][1] == seg and not toks[end][0][0].isdigit():
+            while end < len(toks) and toks[end][1] == seg and is_word(toks[end][0]):
                 end += 1
             words = [w for w, _ in toks[at:end]]
             separated = end == len(toks) or toks[end][1] != seg or end - at <= 1
@@ -149,10 +164,10 @@ class Parser:
     def _number(self, toks: list) -> int | None:
         able = []
         for i, (w, seg) in enumerate(toks):
-            if regex.fullmatch(r"\d{1,6}[a-z]?", w) and i + 1 < len(toks) and toks[i + 1][1] == seg and toks[i + 1][0][0].isalpha():
+            if regex.fullmatch(r"\d{1,6}[a-z]?", w) and i + 1 < len(toks) and toks[i + 1][1] == seg and is_word(toks[i + 1][0]):
                 follow = []
                 for x, k in toks[i + 1 :]:
-                    if k != seg or x[0].isdigit():
+                    if k != seg or not is_word(x):
                         break
                     follow.append(x)
                 if len(follow) == 1 and follow[0] in CODES:
@@ -186,7 +201,7 @@ class Parser:
         return [self.rewrites.get(("name", w), w) for w in words]
 
     def _place(self, rest: list, zips: set[int]) -> tuple[str, list[str]]:
-        words = [(w, k) for i, (w, k) in enumerate(rest) if i not in zips and w[0].isalpha()]
+        words = [(w, k) for i, (w, k) in enumerate(rest) if i not in zips and is_word(w)]
         state, plain = "", [w for w, _ in words]
         for i in range(len(plain) - 1, -1, -1):
             two = " ".join(plain[i : i + 2])
@@ -252,11 +267,16 @@ def _evidence(parsed: DataFrame) -> DataFrame:
 def significant(evidence: list[tuple[str, str, str, int]], seen: Counter, total: int, least: float) -> Rewrites:
     """The rewrites: one for each token, to where it stands most often, if the pair beats chance and looks like a variant."""
     best: dict[tuple[str, str], tuple[int, str]] = {}
+    stands: Counter = Counter()
+    for role, a, _, n in evidence:
+        stands[role, a] += n
     for role, a, b, n in evidence:
         chance = max(seen[role, a], n) * max(seen[role, b], n) / max(total, 1)
         g = 2 * n * math.log(max(n / max(chance, 1e-9), 1e-9))
         # The stated abbreviations are of any frequency, a misspelling is rare beside its word.
         variant = stands_for(a, b) or (within_one_slip(a, b) and seen[role, a] * 5 <= seen[role, b])
+        # A kind may be written in ways that share no letters, if it hardly ever stands for anything else.
+        variant = variant or (role == "kind" and n >= 2 * least and n >= 0.8 * stands[role, a])
         if n >= least and g >= LEAST_G and variant and a not in KINDS and (n, b) > best.get((role, a), (0, "")):
             best[role, a] = (n, b)
     return {k: b for k, (_, b) in best.items()}
@@ -266,7 +286,7 @@ def mine(texts: DataFrame) -> tuple[DataFrame, Rewrites]:
     """``texts`` (text, n) parsed with all rewrites, and the rewrites: mined in rounds until no new one appears."""
     rewrites, second = {}, set()
     parsed = cut(_parsed(texts, rewrites, second))
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         second = second | _second_words(parsed)
         total = parsed.where("num is not null").count()
         least = max(2.0, total * REWRITE_SHARE)
@@ -280,7 +300,7 @@ def mine(texts: DataFrame) -> tuple[DataFrame, Rewrites]:
         counted = tokens.select("t.role", "t.w").join(F.broadcast(wanted_df), ["role", "w"], "left_semi").groupBy("role", "w").count()
         seen = Counter({(r.role, r.w): r["count"] for r in counted.collect()})
         new = {k: v for k, v in significant(evidence, seen, total, least).items() if k not in rewrites}
-        if not new and _ > 0:
+        if not new and turn:
             break
         rewrites |= new
         rewrites = {k: rewrites.get((k[0], v), v) for k, v in rewrites.items()}
@@ -288,6 +308,40 @@ def mine(texts: DataFrame) -> tuple[DataFrame, Rewrites]:
     return parsed, rewrites
 
 
+def _deletions(word: Column) -> Column:
+    """The word itself and the word without each of its letters: words one slip apart share one of them."""
+    return F.array_distinct(
+        F.concat(
+            F.array(word),
+            F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word)))),
+        )
+    )
+
+
+def _one_slip(a: Column, b: Column) -> Column:
+    same_letters = F.array_join(F.array_sort(F.split(a, "")), "") == F.array_join(F.array_sort(F.split(b, "")), "")
+    return (F.levenshtein(a, b) <= 1) | ((F.length(a) == F.length(b)) & (F.levenshtein(a, b) == 2) & same_letters)
+
+
+def _spelling(parsed: DataFrame, field: str) -> DataFrame:
+    """(w, right): each word of ``field`` that is one slip from a single word at least eight times as frequent."""
+    words = parsed.where("num is not null").select(F.explode(F.split(field, " ")).alias("w")).where(F.length("w") >= 5)
+    counted = cut(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    keyed = counted.select("w", "n", F.explode(_deletions(F.col("w"))).alias("v"))
+    right = keyed.where("n >= 8").select(F.col("w").alias("b"), F.col("n").alias("nb"), "v")
+    pairs = keyed.join(right, "v").where((F.col("nb") >= 8 * F.col("n")) & _one_slip(F.col("w"), F.col("b")))
+    return pairs.groupBy("w").agg(F.count_distinct("b").alias("options"), F.first("b").alias("right")).where("options = 1").select("w", "right")
+
+
+def _respelt(parsed: DataFrame, field: str) -> DataFrame:
+    """``parsed`` with the misspelt words of ``field`` set right; each distinct value is looked up once."""
+    values = parsed.where(F.col(field) != "").select(F.col(field).alias("value")).distinct()
+    words = values.select("value", F.posexplode(F.split("value", " ")).alias("pos", "w")).join(_spelling(parsed, field), "w", "left")
+    fixed = words.groupBy("value").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("right", "w").alias("w")))).alias("x"), F.count("right").alias("changed"))
+    fixed = fixed.where("changed > 0").select(F.col("value").alias(field), F.array_join(F.transform("x", lambda p: p["w"]), " ").alias("__right"))
+    return parsed.join(fixed, field, "left").withColumn(field, F.coalesce("__right", field)).drop("__right")
+
+
 def _names(parsed: DataFrame) -> DataFrame:
     """(num, name, canonical): each street name of a number with the usual spelling it is one slip from.
 
@@ -300,16 +354,11 @@ def _names(parsed: DataFrame) -> DataFrame:
         F.max((F.col("zip") == "") & (F.col("city") == "")).alias("bare"),
     )
     squeezed = F.regexp_replace("name", " ", "")
-    cuts = F.array_distinct(
-        F.concat(F.array("s"), F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.concat(F.substring("s", F.lit(1), i - 1), F.substring("s", i + 1, F.length("s")))))
-    )
     base = cut(base.withColumn("s", squeezed))
-    keyed = base.where(F.length("s") >= 4).select("num", "name", "n", "s", "areas", F.explode(cuts).alias("v"))
+    keyed = base.where(F.length("s") >= 4).select("num", "name", "n", "s", "areas", F.explode(_deletions(F.col("s"))).alias("v"))
     a = keyed.select("num", "v", F.col("name").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"), F.col("areas").alias("areas_a"))
     b = keyed.select("num", "v", F.col("name").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"), F.col("areas").alias("areas_b"))
-    slip = (F.levenshtein("sa", "sb") <= 1) | (
-        (F.length("sa") == F.length("sb")) & (F.levenshtein("sa", "sb") == 2) & (F.array_join(F.array_sort(F.split("sa", "")), "") == F.array_join(F.array_sort(F.split("sb", "")), ""))
-    )
+    slip = _one_slip(F.col("sa"), F.col("sb"))
     linked = (
         a.join(b, ["num", "v"])
         .where((F.col("a") != F.col("b")) & slip)
@@ -366,18 +415,16 @@ def _areas(rows: list[dict]) -> list[int | None]:
                 zips[r["city"]].add(r["zip"])
     ordered = sorted(weight, key=lambda c: (-weight[c], c))
     area: dict[str, int] = {}
-    leaders: list[str] = []
+    areas = 0
     for city in ordered:
-        for k, lead in enumerate(leaders):
-            near = within_one_slip(city.replace(" ", ""), lead.replace(" ", ""))
-            agree = not zips[city] or not zips[lead] or any(within_one_slip(x, y) for x in zips[city] for y in zips[lead])
-            if near and agree:
+        for other, k in area.items():
+            near = within_one_slip(city.replace(" ", ""), other.replace(" ", "")) or f" {city} ".endswith(f" {other} ") or f" {other} ".endswith(f" {city} ")
+            if near and (not zips[city] or not zips[other] or any(within_one_slip(x, y) for x in zips[city] for y in zips[other])):
                 area[city] = k
-                zips[lead] |= zips[city]
                 break
         else:
-            area[city] = len(leaders)
-            leaders.append(city)
+            area[city] = areas
+            areas += 1
     by_zip: dict[str, set[int]] = {}
     for r in rows:
         if r["city"] and r["zip"]:
@@ -392,7 +439,7 @@ def _areas(rows: list[dict]) -> list[int | None]:
             if len(ks) == 1:
                 out.append(next(iter(ks)))
             else:
-                out.append(lone.setdefault(r["zip"], len(leaders) + len(lone)))
+                out.append(lone.setdefault(r["zip"], areas + len(lone)))
         else:
             out.append(None)
     return out
@@ -410,9 +457,14 @@ def locations(df: DataFrame, id_col: str = "id", text_col: str = "text") -> Data
     rows = rows.groupBy("id").agg(F.min("text").alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
     texts = cut(spread(rows.groupBy("text").agg(F.count(F.lit(1)).alias("n"))))
     parsed, _ = mine(texts)
-    # A tentative kind that no rewrite explains was part of the name.
-    name = F.when(F.col("tentative"), F.concat_ws(" ", "name", "kind")).otherwise(F.col("name"))
-    parsed = parsed.withColumn("name", name).withColumn("kind", F.when(F.col("tentative"), "").otherwise(F.col("kind")))
+    # A tentative kind that no rewrite explains was the city, or else part of the name.
+    lost, placeless = F.col("tentative"), F.col("city") == ""
+    parsed = parsed.withColumns({
+        "name": F.when(lost & ~placeless, F.concat_ws(" ", "name", "kind")).otherwise(F.col("name")),
+        "city": F.when(lost & placeless, F.col("kind")).otherwise(F.col("city")),
+        "kind": F.when(lost, "").otherwise(F.col("kind")),
+    })
+    parsed = cut(_respelt(_respelt(parsed, "name"), "city"))
     named = parsed.where("num is not null").join(_names(parsed), ["num", "name"], "left")
     named = named.withColumn("street", F.coalesce("canonical", "name"))
     shape = ["dir", "kind", "unit", "city", "state", "zip"]

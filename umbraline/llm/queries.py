@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbraline.llm import address_rewrites, bin_slack, lookalike, pair_index_bpe, refinement, weak_spans
+from umbraline.llm import address_rewrites, bin_slack, lookalike, name_attribution, pair_index_bpe, refinement, weak_spans
 from umbraline.plans.lineage import cut
 from umbraline.sources.tables import table
 
@@ -44,6 +44,30 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = F.col("pii_type").isin("PERSON", "ORG_PRIVATE")
+    registry = table(spark, sf_dir, "registry").where(wanted).select(
+        F.col("record_id").alias("row_id"), F.col("scope_ref").alias("scope"), "pii_type", F.col("original").alias("spelling")
+    )
+    roster = table(spark, sf_dir, "roster").where(wanted).select(
+        F.col("roster_id").alias("row_id"), F.col("first_seen_in").alias("scope"), "pii_type", F.col("original").alias("spelling")
+    )
+    spelt = F.array_append(F.coalesce(F.flatten(F.map_values("forms")), F.array().cast("array<string>")), F.col("canonical"))
+    profiles = table(spark, sf_dir, "profiles").where(wanted).select(
+        F.col("entity_id").alias("row_id"), F.col("scope_ref").alias("scope"), "pii_type", F.explode(spelt).alias("spelling")
+    )
+    return name_attribution.entities(registry.unionByName(roster).unionByName(profiles))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_attribution.same_entity_pairs(cut(_entities(spark, sf_dir)))
+
+
+def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every named row with its entity."""
+    return _entities(spark, sf_dir)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = table(spark, sf_dir, "candidates").where(F.col("pii_type").isin(LOOK_TYPES))
     registry = table(spark, sf_dir, "registry").where(F.col("pii_type").isin(LOOK_KEY_TYPES))
@@ -96,6 +120,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_locations": p1_locations,
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_entities": p3_entities,
     "p4_found": p4_found,
     "p4_forms": p4_forms,
     "p5_found": p5_found,
