@@ -54,7 +54,7 @@ NAME_SHARE = 0.001
 PREFIX = 6
 #: Log likelihood below which a spelling is no variant of a candidate.
 LEAST_LIKELY = -10.5
-SLIP, TWO_SLIPS, INITIAL, SHORT, NO_MIDDLE, OTHER_ENDING, ACRONYM = -3.6, -8.0, -2.0, -1.6, -0.7, -4.0, -3.0
+SLIP, TWO_SLIPS, INITIAL, SHORT, NO_MIDDLE, PART, ACRONYM = -3.6, -8.0, -2.0, -1.6, -0.7, -2.5, -3.0
 
 
 @lru_cache(maxsize=200_000)
@@ -92,7 +92,7 @@ class Forms:
                 elif w in TITLES and sum(map(len, parts)) > 1:
                     p.remove(w)
         parts = [p for p in parts if p]
-        clean = lambda ws: [c for w in ws if w not in PARTICLES and (c := regex.sub(r"[^\p{L}\p{N}]", "", w))]
+        clean = lambda ws: [c for w in ws if w not in PARTICLES and (c := regex.sub(r"[^\p{L}\p{N}-]", "", w).strip("-"))]
         if len(parts) > 1:
             surname, names = clean(parts[0]), clean([w for p in parts[1:] for w in p])
             if not names or not surname:
@@ -140,8 +140,10 @@ class Forms:
 def keys(form: tuple) -> list[str]:
     """Deletion variants of the beginning of the surname or first word; the initials of a company."""
     words = form[1].split()
-    head = (form[1] if form[0] == "P" else words[0])[:PREFIX]
-    out = {head} | {head[:i] + head[i + 1 :] for i in range(len(head))}
+    out = set()
+    for head in form[1].split("-") if form[0] == "P" else words[:1]:
+        head = head[:PREFIX]
+        out |= {head} | {head[:i] + head[i + 1 :] for i in range(len(head))}
     if form[0] == "O":
         if len(words) > 2:
             out.add("=" + "".join(w[0] for w in words))
@@ -166,11 +168,23 @@ def _word(a: str, b: str, short: bool = True) -> float | None:
         return SLIP
     if short and min(len(a), len(b)) >= 2 and (stands_for(a, b) or stands_for(b, a)):
         return SHORT
+    if short and min(len(a), len(b)) >= 4 and any(stands_for(x[:i] + x[i + 1 :], y) for x, y in ((a, b), (b, a)) for i in range(len(x))):
+        return SHORT + SLIP
     if min(len(a), len(b)) >= 8 and _two_slips(a, b):
         return TWO_SLIPS
     return None
 
 
+def _surname(a: str, b: str) -> float | None:
+    """As for words; a double name may be given by one of its parts."""
+    x, y = a.replace("-", ""), b.replace("-", "")
+    best = _word(x, y, short=False)
+    if best is None and ("-" in a) != ("-" in b):
+        part = [s for p in (a if "-" in a else b).split("-") if (s := _word(p, b if "-" in a else a, short=False)) is not None]
+        best = max(part) + PART if part else None
+    return best
+
+
 def _two_slips(a: str, b: str) -> bool:
     """Two letters replaced, left out or added, or two pairs of neighbours exchanged."""
     if abs(len(a) - len(b)) > 2:
@@ -218,11 +232,11 @@ def _shorts(name: str) -> set[str]:
 def likelihood(a: tuple, b: tuple, given: set[str]) -> float | None:
     """Log likelihood that two forms are spellings of one name; None if they can't be."""
     if a[0] == "P":
-        surname = _word(a[1], b[1], short=False)
+        surname = _surname(a[1], b[1])
         first = _given(a[2], b[2], given)
         if (surname is None or first is None) and a[2] and b[2] and len(a[2]) > 3 and len(b[2]) > 3:
             # The order may have been read wrongly in one of the two.
-            surname, first = _word(a[1], b[2], short=False), _given(a[2], b[1], given)
+            surname, first = _surname(a[1], b[2]), _given(a[2], b[1], given)
             if surname is None or first is None or surname + first < SLIP:
                 return None
         if surname is None or first is None:
