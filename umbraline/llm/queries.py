@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbraline.llm import address_rewrites, bin_slack, lookalike, name_attribution, pair_index_bpe, refinement, weak_spans
+from umbraline.llm import address_rewrites, bin_slack, censored_lengths, lookalike, name_attribution, pair_index_bpe, refinement, weak_spans
 from umbraline.plans.lineage import cut
 from umbraline.sources.tables import table
 
@@ -116,6 +116,19 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_slack.fill(p7_requests(spark, sf_dir), table(spark, sf_dir, "model_limits"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return censored_lengths.judged(table(spark, sf_dir, "documents")).where("cut").select("doc_id")
+
+
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return censored_lengths.by_source(censored_lengths.judged(table(spark, sf_dir, "documents")))
+
+
+def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The field limits of each source with their censoring posterior."""
+    return censored_lengths.field_limits(table(spark, sf_dir, "documents").where("text is not null and source is not null"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_locations": p1_locations,
@@ -129,5 +142,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_requests": p7_requests,
     "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_sources": p8_sources,
+    "p8_limits": p8_limits,
 }
 ORACLES: dict[str, str] = {}
