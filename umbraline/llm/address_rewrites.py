@@ -91,6 +91,15 @@ def is_word(token: str) -> bool:
     return token[0].isalpha() or sum(x.isalpha() for x in token) > 1
 
 
+_SPLIT = regex.compile(r"\s*[,;|\t\n/]\s*|\s+-\s+|\s{2,}").split
+_ZIP = regex.compile(r"\d{5}(?:-?\d{4})?").fullmatch
+_NUMBER = regex.compile(r"\d{1,6}[a-z]?").fullmatch
+_UNIT_ID = regex.compile(r"\d{1,4}-?[a-z]?|[a-z]-?\d{1,4}|[a-z](?!\w)").fullmatch
+_LEADING_UNIT = regex.compile(r"(\d+[a-z]?)\s*/\s*(?=\d+\s+\p{L})").match
+_DOTTED = regex.compile(r"(?<=\b\p{L})\.(?=\p{L}\b)").sub
+_RUN_ON = regex.compile(r"\p{L}\.\p{L}{2}").search
+
+
 class Parser:
     """Parts of an address text under a set of rewrites; ``second``: words that often stand before the kind."""
 
@@ -104,17 +113,17 @@ class Parser:
     def parse(self, text: str) -> dict | None:
         """The parts, or None if there is neither a house number nor a box."""
         t = unicodedata.normalize("NFKC", text).lower()
-        t = regex.sub(r"(?<=\b\p{L})\.(?=\p{L}\b)", "", t).replace(".", " " if regex.search(r"\p{L}\.\p{L}{2}", t) else "")
+        t = _DOTTED("", t).replace(".", " " if _RUN_ON(t) else "")
         t = t.strip()
         unit = ""
-        if m := regex.match(r"(\d+[a-z]?)\s*/\s*(?=\d+\s+\p{L})", t):
+        if m := _LEADING_UNIT(t):
             unit, t = m.group(1), t[m.end() :]
-        parts = [x for x in regex.split(r"\s*[,;|\t\n/]\s*|\s+-\s+|\s{2,}", regex.sub(r"#\s*", " # ", t).replace("  # ", " # ").strip()) if x]
+        parts = [x for x in _SPLIT(" # ".join(x.strip() for x in t.split("#")).strip()) if x]
         toks = [(w.strip("'\"()"), k) for k, x in enumerate(parts) for w in x.split() if w.strip("'\"()-")]
         toks, box = self._box(toks)
         toks, found = self._unit(toks)
         unit = unit or found
-        zips = [i for i, (w, _) in enumerate(toks) if regex.fullmatch(r"\d{5}(?:-?\d{4})?", w)]
+        zips = [i for i, (w, _) in enumerate(toks) if _ZIP(w)]
         number = None if box else self._number(toks)
         if not box and number is None:
             return None
@@ -128,7 +137,7 @@ class Parser:
             separated = end == len(toks) or toks[end][1] != seg or end - at <= 1
             name, kind, direction, left, tentative = self._street(words, separated)
             rest = toks[:number] + [(w, seg + 0.5) for w in left] + toks[end:]
-            zips = [i for i, (w, _) in enumerate(rest) if regex.fullmatch(r"\d{5}(?:-?\d{4})?", w)]
+            zips = [i for i, (w, _) in enumerate(rest) if _ZIP(w)]
         code = rest[zips[0]][0][:5] if zips else ""
         state, city = self._place(rest, set(zips))
         if number is not None and not direction and city and city[-1] in DIRECTIONS and len(city) > 1:
@@ -155,7 +164,7 @@ class Parser:
                 j = i + 1
                 while j < len(toks) and toks[j][0] in UNITS:
                     j += 1
-                if j < len(toks) and regex.fullmatch(r"\d{1,4}-?[a-z]?|[a-z]-?\d{1,4}|[a-z](?!\w)", toks[j][0]):
+                if j < len(toks) and _UNIT_ID(toks[j][0]):
                     if len(toks[j][0]) == 1 and not toks[j][0].isdigit() and w in ("no", "fl"):
                         continue
                     return toks[:i] + toks[j + 1 :], toks[j][0]
@@ -164,7 +173,7 @@ class Parser:
     def _number(self, toks: list) -> int | None:
         able = []
         for i, (w, seg) in enumerate(toks):
-            if regex.fullmatch(r"\d{1,6}[a-z]?", w) and i + 1 < len(toks) and toks[i + 1][1] == seg and is_word(toks[i + 1][0]):
+            if _NUMBER(w) and i + 1 < len(toks) and toks[i + 1][1] == seg and is_word(toks[i + 1][0]):
                 follow = []
                 for x, k in toks[i + 1 :]:
                     if k != seg or not is_word(x):
@@ -470,17 +479,47 @@ def locations(df: DataFrame, id_col: str = "id", text_col: str = "text") -> Data
     shape = ["dir", "kind", "unit", "city", "state", "zip"]
     tuples = named.groupBy("num", "street", *shape).agg(F.sum("n").alias("n"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(shape)
-        return group.drop(columns="n").assign(location=resolve(group.to_dict("records")))
-
-    # One group is one number and street: its distinct part tuples, not its rows.
-    resolved = tuples.groupBy("num", "street").applyInPandas(run, f"num string, street string, {', '.join(f'{c} string' for c in shape)}, location int")
+    resolved = _resolved(tuples, shape)
     located = named.join(resolved, ["num", "street", *shape]).select("text", F.concat_ws("|", "num", "street", F.col("location").cast("string")).alias("location"))
     other = parsed.where("num is null").select("text", F.concat(F.lit("="), F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")).alias("location"))
     return rows.join(located.unionByName(other), "text").select(F.col("id").alias(id_col), "location")
 
 
+def _resolved(tuples: DataFrame, shape: list[str]) -> DataFrame:
+    """``tuples`` with their location within a number and street.
+
+    A group is one number and street: its distinct part tuples, not its rows. The partitions are
+    sorted, so a task goes from group to group without a frame for each.
+    """
+    fields = ["num", "street", *shape, "n"]
+    out = ["num", "street", *shape, "location"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, group, done = None, [], []
+
+        def settle() -> None:
+            rows = [dict(zip(fields, r)) for r in group]
+            done.extend((*r[:-1], k) for r, k in zip(group, resolve(rows)))
+
+        for batch in batches:
+            for row in batch[fields].itertuples(index=False, name=None):
+                if row[:2] != key:
+                    if group:
+                        settle()
+                    key, group = row[:2], []
+                group.append(row)
+            if done:
+                yield pd.DataFrame(done, columns=out)
+                done = []
+        if group:
+            settle()
+        if done:
+            yield pd.DataFrame(done, columns=out)
+
+    placed = tuples.repartition("num", "street").sortWithinPartitions("num", "street", *shape)
+    return placed.mapInPandas(run, f"num string, street string, {', '.join(f'{c} string' for c in shape)}, location int")
+
+
 def same_location_pairs(located: DataFrame, id_col: str = "id") -> DataFrame:
     """(id_a, id_b): all pairs of one location, the smaller id first."""
     several = located.groupBy("location").count().where("count > 1").select("location")

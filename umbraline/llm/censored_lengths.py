@@ -28,7 +28,9 @@ WORD_SHARE = 0.0003
 #: Evidence that a rarer context borrows from the shorter one.
 BORROWED = 1.0
 START_RATE = 0.08
-TURNS = 4
+TURNS = 5
+#: What a text is held to be cut by before anything is known: with an open ending, and with a closed one.
+OPEN, CLOSED = 0.4, 0.02
 #: A limit holds at least so many texts, so many times what is expected, and lets at most this share pass.
 LIMIT_TEXTS, LIMIT_TIMES, LIMIT_PASS = 3, 5.0, 0.02
 #: A mark that the system leaves is no longer than this many characters.
@@ -69,7 +71,7 @@ def contexts(text: str, known: set[str], beginnings: set[str]) -> list[str]:
     return [shapes[2], " ".join(shapes[1:]), " ".join(shapes)]
 
 
-def fit_censored(lengths: np.ndarray, counts: np.ndarray, limit: float, rounds: int = 40) -> tuple[float, float]:
+def fit_censored(lengths: np.ndarray, counts: np.ndarray, limit: float, rounds: int = 300) -> tuple[float, float]:
     """Mean and deviation of log length by maximum likelihood, texts of ``limit`` and more being censored there."""
     x, n = np.log(np.maximum(lengths, 1.0)), counts.astype(float)
     free = lengths < limit
@@ -82,11 +84,14 @@ def fit_censored(lengths: np.ndarray, counts: np.ndarray, limit: float, rounds:
         z = (at - mu) / sd
         tail = max(1e-12, 0.5 * math.erfc(z / math.sqrt(2)))
         hazard = math.exp(-z * z / 2) / math.sqrt(2 * math.pi) / tail
-        first, second = mu + sd * hazard, sd * sd * (1 + z * hazard) + mu * mu + sd * mu * hazard
+        first, second = mu + sd * hazard, sd * sd * (1 + z * hazard) + mu * mu + 2 * sd * mu * hazard
         total = n.sum()
         m1 = ((n[free] * x[free]).sum() + held * first) / total
         m2 = ((n[free] * x[free] ** 2).sum() + held * second) / total
+        settled = abs(m1 - mu) < 1e-5
         mu, sd = m1, math.sqrt(max(0.0025, m2 - m1 * m1))
+        if settled:
+            break
     return mu, sd
 
 
@@ -215,13 +220,14 @@ def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     at = lambda m: bounds.where(F.col("measure") == m).select("source", F.col("length").alias(m), F.col("censored").alias(f"at_{m}"))
     real = endings.where("trial = 0").join(at("chars"), ["source", "chars"], "left").join(at("bytes"), ["source", "bytes"], "left")
     held = real.withColumn("censored", F.greatest("at_chars", "at_bytes")).select("id", "source", "kind", "mark", "closed", "c3", "censored")
-    held = cut(held.withColumn("p", F.coalesce("censored", F.lit(START_RATE))))
-    for _ in range(TURNS):
+    held = cut(held.withColumn("p", F.coalesce("censored", F.when(F.col("closed"), CLOSED).otherwise(OPEN))))
+    for turn in range(TURNS):
         rated = _rated(held, expected).withColumn("ending", _logit(F.col("r")) - _logit(F.lit(START_RATE)))
         # What a mark says, and how often a source cuts elsewhere than at its limits.
         marks = rated.where("mark <> ''").groupBy("mark").agg(F.avg("r").alias("m"), F.count(F.lit(1)).alias("n"))
         marks = marks.select("mark", (_logit((F.col("m") * F.col("n") + 2 * START_RATE) / (F.col("n") + 2)) - _logit(F.lit(START_RATE))).alias("says"))
-        free = held.where("censored is null").groupBy("source").agg(((F.sum("p") + 5 * START_RATE) / (F.count(F.lit(1)) + 5)).alias("rate"))
+        guess = F.sum("p") if turn else F.count(F.lit(1)) * START_RATE
+        free = held.where("censored is null").groupBy("source").agg(((guess + 5 * START_RATE) / (F.count(F.lit(1)) + 5)).alias("rate"))
         rate = F.greatest(F.lit(0.01), F.least(F.lit(0.6), F.coalesce("rate", F.lit(START_RATE))))
         odds = _logit(F.coalesce("censored", rate)) + F.col("ending") + F.coalesce("says", F.lit(0.0))
         # There are only four marks; sources may be many and are joined.

@@ -51,6 +51,8 @@ for _full, _short in NICKNAMES.items():
         FORMAL.setdefault(_nick, set()).add(_full)
 #: A word is a known given name if at least this share of the names has it (so there are under 3,000).
 NAME_SHARE = 0.001
+#: ... and so many different words beside it, as a share of its occurrences.
+VARIETY = 0.15
 PREFIX = 6
 #: Log likelihood below which a spelling is no variant of a candidate.
 LEAST_LIKELY = -10.5
@@ -294,9 +296,17 @@ def _joined(one: str, a: str, b: str) -> float | None:
 
 
 def _given_names(forms: DataFrame) -> set[str]:
-    words = forms.where("pii_type = 'PERSON'").select("row_id", F.explode(F.regexp_extract_all(F.lower("spelling"), F.lit(r"[\p{L}\p{M}]{3,}"), F.lit(0))).alias("w"))
-    total = forms.where("pii_type = 'PERSON'").count()
-    found = words.groupBy("w").count().where(F.col("count") >= max(3, total * NAME_SHARE)).collect()  # bounded by the share
+    """Words that many names have beside many different words; a surname stands beside few, however often it comes.
+
+    The shares bound the set, so it may be collected.
+    """
+    persons = forms.where("pii_type = 'PERSON'")
+    words = persons.select(F.array_distinct(F.regexp_extract_all(F.lower("spelling"), F.lit(r"[\p{L}\p{M}]{3,}"), F.lit(0))).alias("ws"))
+    beside = words.select("ws", F.explode("ws").alias("w")).select("w", F.explode_outer(F.array_except("ws", F.array("w"))).alias("other"))
+    pairs = beside.groupBy("w", "other").agg(F.count(F.lit(1)).alias("n"))
+    counted = pairs.groupBy("w").agg(F.sum("n").alias("n"), F.count("other").alias("others"))
+    least = max(3, persons.count() * NAME_SHARE)
+    found = counted.where((F.col("n") >= least) & (F.col("others") >= VARIETY * F.col("n"))).select("w").collect()
     return {fold(r.w) for r in found} - TITLES - PARTICLES - set(GENERATIONS)
 
 
