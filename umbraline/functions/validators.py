@@ -1,4 +1,4 @@
-"""Checksums and structure of identity numbers, as column expressions."""
+"""Checksums and structure of identity numbers, as SQL over a value ``{v}``."""
 
 from __future__ import annotations
 
@@ -7,37 +7,30 @@ from pyspark.sql import functions as F
 
 #: Prefixes that no employer number has (fixed values).
 EIN_RESERVED = ["00", "07", "08", "09", "17", "18", "19", "28", "29", "49", "69", "70", "78", "79", "89"]
+DIGITS = "regexp_replace({v}, '[^0-9]', '')"
 
 
-def digits(value: Column) -> Column:
-    return F.regexp_replace(value, r"[^0-9]", "")
+def _sum(weights: tuple[int, ...]) -> str:
+    return " + ".join(f"{w} * CAST(substring({DIGITS}, {i}, 1) AS INT)" for i, w in enumerate(weights, 1))
 
 
-def valid_ssn(value: Column) -> Column:
-    """Nine digits; area not 000, 666 or 9xx; group not 00; serial not 0000. Null stays null."""
-    d = digits(value)
-    area = F.substring(d, 1, 3)
-    return (F.length(d) == 9) & ~area.isin("000", "666") & (F.substring(d, 1, 1) != "9") & (F.substring(d, 4, 2) != "00") & (F.substring(d, 6, 4) != "0000")
+SQL = {
+    # Nine digits; area not 000, 666 or 9xx; group not 00; serial not 0000.
+    "ssn": f"(length({DIGITS}) = 9 AND substring({DIGITS}, 1, 3) NOT IN ('000', '666') AND substring({DIGITS}, 1, 1) <> '9' "
+    f"AND substring({DIGITS}, 4, 2) <> '00' AND substring({DIGITS}, 6, 4) <> '0000')",
+    # Nine digits whose prefix is assigned.
+    "ein": f"(length({DIGITS}) = 9 AND substring({DIGITS}, 1, 2) NOT IN ({', '.join(repr(x) for x in EIN_RESERVED)}))",
+    # 13 to 19 digits that pass the Luhn check.
+    "luhn": f"(length({DIGITS}) BETWEEN 13 AND 19 AND luhn_check({DIGITS}))",
+    # Nine digits whose sum weighted 3, 7, 1 is a multiple of ten.
+    "aba": f"(length({DIGITS}) = 9 AND coalesce(({_sum((3, 7, 1) * 3)}) % 10 = 0, false))",
+}
 
 
-def valid_ein(value: Column) -> Column:
-    """Nine digits whose prefix is assigned."""
-    d = digits(value)
-    return (F.length(d) == 9) & ~F.substring(d, 1, 2).isin(EIN_RESERVED)
+def valid_sql(kind: str, value: str) -> str:
+    """SQL that tells whether ``value`` passes the check ``kind``; null fails."""
+    return f"coalesce({SQL[kind].format(v=value)}, false)"
 
 
-def valid_luhn(value: Column) -> Column:
-    """13 to 19 digits that pass the Luhn check."""
-    d = digits(value)
-    return F.length(d).between(13, 19) & F.call_function("luhn_check", d)
-
-
-def valid_aba(value: Column) -> Column:
-    """Nine digits whose sum weighted 3, 7, 1 is a multiple of ten."""
-    d = digits(value)
-    at = lambda i: F.substring(d, i, 1).cast("int")
-    total = 3 * (at(1) + at(4) + at(7)) + 7 * (at(2) + at(5) + at(8)) + at(3) + at(6) + at(9)
-    return (F.length(d) == 9) & F.coalesce(total % 10 == 0, F.lit(False))
-
-
-VALIDATORS = {"ssn": valid_ssn, "ein": valid_ein, "luhn": valid_luhn, "aba": valid_aba}
+def valid(kind: str, value: str) -> Column:
+    return F.expr(valid_sql(kind, value))

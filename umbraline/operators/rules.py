@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from umbraline.functions.offsets import spans
-from umbraline.functions.validators import VALIDATORS
+from umbraline.functions.offsets import quoted, spans, spans_sql
+from umbraline.functions.validators import valid_sql
 from umbraline.operators.rule_tables import RULES, Rule
 from umbraline.sources.tables import LINE_KEY
 
@@ -32,27 +30,22 @@ def _pattern(rule: Rule) -> str:
     return rule.pattern if rule.case_sensitive else "(?i)" + rule.pattern
 
 
-def _hits(rule: Rule, money: Column) -> Column:
-    """array<struct<rule, pii_type, span_start, span_end, value, confidence, needs_review>> of one rule on a line."""
-    cue = reduce(lambda a, b: a | b, [F.col("context").contains(c) for c in rule.cues]) if rule.cues else F.lit(False)
-
-    def hit(m: Column) -> Column:
-        ok = F.coalesce(VALIDATORS[rule.validator](m["value"]), F.lit(False)) if rule.validator else F.lit(True)
-        sure = F.when(cue, F.least(F.lit(0.99), F.lit(rule.confidence + 0.08))).otherwise(F.lit(rule.confidence))
-        review = ~ok | (~cue if rule.review_unless_context else F.lit(False))
-        inside = F.exists(money, lambda x: (x["span_start"] <= m["span_start"]) & (x["span_end"] >= m["span_end"]))
-        keep = ok | cue
-        if rule.context_required:
-            keep = keep & cue
-        if rule.money_guard:
-            keep = keep & ~inside
-        return F.struct(
-            F.lit(rule.name).alias("rule"), F.lit(rule.pii_type).alias("pii_type"), m["span_start"].alias("span_start"), m["span_end"].alias("span_end"),
-            m["value"].alias("value"), F.round(F.when(ok, sure).otherwise(F.least(sure, F.lit(0.6))), 4).alias("confidence"), review.alias("needs_review"),
-            keep.alias("keep"),
-        )
-
-    return F.filter(F.transform(spans(F.col("text"), _pattern(rule)), hit), lambda h: h["keep"])
+def _hits(rule: Rule) -> str:
+    """SQL of one rule's hits on a line with ``text``, ``context`` and ``money``."""
+    cue = "(" + " OR ".join(f"contains(context, {quoted(c)})" for c in rule.cues) + ")" if rule.cues else "false"
+    ok = valid_sql(rule.validator, "m.value") if rule.validator else "true"
+    sure = f"CASE WHEN {cue} THEN least(0.99D, {rule.confidence + 0.08!r}D) ELSE {rule.confidence!r}D END"
+    review = f"NOT {ok} OR NOT {cue}" if rule.review_unless_context else f"NOT {ok}"
+    keep = f"({ok} OR {cue})"
+    if rule.money_guard:
+        keep += " AND NOT exists(money, x -> x.span_start <= m.span_start AND x.span_end >= m.span_end)"
+    row = (
+        f"named_struct('rule', {quoted(rule.name)}, 'pii_type', {quoted(rule.pii_type)}, 'span_start', m.span_start, 'span_end', m.span_end, 'value', m.value, "
+        f"'confidence', round(CASE WHEN {ok} THEN {sure} ELSE least({sure}, 0.6D) END, 4), 'needs_review', {review})"
+    )
+    hits = f"transform(filter({spans_sql('text', _pattern(rule))}, m -> {keep}), m -> {row})"
+    # A rule that needs a cue is not even tried on a line without one.
+    return f"CASE WHEN {cue} THEN {hits} END" if rule.context_required else hits
 
 
 def detect_rules(lines: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
@@ -61,10 +54,12 @@ def detect_rules(lines: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     A match is dropped without its required cue, inside an amount where the rule guards against
     that, and if its check fails with no cue near. Null and empty lines have none.
     """
-    money = F.concat(spans(F.col("text"), MONEY), spans(F.col("text"), PERCENT))
-    scanned = with_context(lines).withColumn("money", money)
-    hits = scanned.select(*LINE_KEY, F.explode(F.concat(*(_hits(r, F.col("money")) for r in rules))).alias("h"))
-    return hits.select(*LINE_KEY, "h.rule", "h.pii_type", "h.span_start", "h.span_end", "h.value", "h.confidence", "h.needs_review")
+    money = F.concat(spans("text", MONEY), spans("text", PERCENT))
+    # explode keeps the amounts of a line from being found again for every rule.
+    scanned = with_context(lines).withColumn("money", F.explode(F.array(money)))
+    hits = F.expr(f"flatten(array_compact(array({', '.join(map(_hits, rules))})))")
+    found = scanned.select(*LINE_KEY, F.explode(hits).alias("h"))
+    return found.select(*LINE_KEY, "h.rule", "h.pii_type", "h.span_start", "h.span_end", "h.value", "h.confidence", "h.needs_review")
 
 
 def financial_tokens(text: Column) -> Column:
@@ -102,7 +97,7 @@ def find_figures(lines: DataFrame, kinds: list[tuple[str, str, str]] = FIGURES)
             start = (m["span_start"] + lead).cast("int")
             return F.struct(F.lit(kind).alias("kind"), F.lit(reason).alias("reason"), start.alias("span_start"), (start + F.length(value)).alias("span_end"), value.alias("value"))
 
-        return F.transform(spans(F.col("text"), pattern), trimmed)
+        return F.transform(spans("text", pattern), trimmed)
 
     found = lines.select(*LINE_KEY, F.explode(F.concat(*(family(*k) for k in kinds))).alias("f"))
     return found.select(*LINE_KEY, "f.*").where(F.col("value").rlike(r"[\p{L}\p{N}]"))

@@ -110,7 +110,7 @@ def figures(spark, d):
 @query(O.VALIDATORS)
 def validators(spark, d):
     c = T.candidates(spark, d).where("text is not null")
-    return c.select("cand_id", *(F.coalesce(f(F.col("text")), F.lit(False)).alias(f"valid_{n}") for n, f in V.VALIDATORS.items()))
+    return c.select("cand_id", *(V.valid(kind, "text").alias(f"valid_{kind}") for kind in V.SQL))
 
 
 # Labels and their values
