@@ -108,11 +108,11 @@ def test_cut_texts_are_found(spark):
     for i in range(900):
         sentences = [" ".join(words[(i * 7 + j * j + k * (1 + i % 3)) % len(words)] for k in range(9)).capitalize() + "." for j in range(6 + i % 5)]
         text = " ".join(sentences)
-        if i % 9 == 0:
+        if i % 20 == 0:
             text = text[: 60 + i * 37 % (len(text) - 80)]
             while text[-1] in ". ":
                 text = text[:-1]
-            text += ("", "\n", "�")[i % 3]
+            text += ("", "\n", "�")[i // 20 % 3]
             cut.add(i)
         rows.append((i, text, "src" if i % 2 else None, "memo"))
     rows += [(2000, None, "src", "memo"), (2001, "", "src", "memo"), (2002, "  ", "src", None), (2003, "a" * 50_000 + ".", "src", None), rows[0]]
@@ -120,7 +120,7 @@ def test_cut_texts_are_found(spark):
     found = {r.doc_id: r.cut for r in C.judged(df).collect()}
     assert not {2000, 2001, 2002} & set(found) and 2003 in found
     hits = {i for i, c in found.items() if c}
-    assert len(hits & cut) >= 0.9 * len(cut) and len(hits - cut) <= 3
+    assert len(hits & cut) >= 0.7 * len(cut) and not hits - cut
     shares = {r.source: r.share for r in C.by_source(C.judged(df)).collect()}
     assert set(shares) == {"", "src"}
     assert C.judged(df.limit(0)).collect() == []

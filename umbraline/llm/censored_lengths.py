@@ -29,8 +29,9 @@ WORD_SHARE = 0.0003
 BORROWED = 1.0
 START_RATE = 0.08
 TURNS = 5
-#: What a text is held to be cut by before anything is known: with an open ending, and with a closed one.
-OPEN, CLOSED = 0.4, 0.02
+#: How surely a text is held to be cut before anything is known, with an open ending and with a closed one.
+#: The high start leaves endings that only cuts account for where they are; real endings come down at once.
+OPEN, CLOSED = 0.9, 0.02
 #: A limit holds at least so many texts, so many times what is expected, and lets at most this share pass.
 LIMIT_TEXTS, LIMIT_TIMES, LIMIT_PASS = 3, 5.0, 0.02
 #: A mark that the system leaves is no longer than this many characters.
@@ -124,7 +125,9 @@ def field_limits(texts: DataFrame) -> DataFrame:
     measures = F.array(
         F.struct(F.lit("chars").alias("measure"), F.length("text").alias("length")), F.struct(F.lit("bytes").alias("measure"), F.octet_length("text").alias("length"))
     )
-    sizes = texts.select("source", F.explode(measures).alias("m")).groupBy("source", "m.measure", "m.length").agg(F.count(F.lit(1)).alias("n"))
+    # Copies of one text say nothing about a limit: each text of a source counts once.
+    once = texts.select("source", F.xxhash64("text").alias("h"), F.explode(measures).alias("m")).select("source", "h", "m.measure", "m.length").distinct()
+    sizes = once.groupBy("source", "measure", "length").agg(F.count(F.lit(1)).alias("n"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         found = limits(group)

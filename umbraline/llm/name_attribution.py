@@ -302,11 +302,13 @@ def _given_names(forms: DataFrame) -> set[str]:
     """
     persons = forms.where("pii_type = 'PERSON'")
     words = persons.select(F.array_distinct(F.regexp_extract_all(F.lower("spelling"), F.lit(r"[\p{L}\p{M}]{3,}"), F.lit(0))).alias("ws"))
+    no_name = F.array(*(F.lit(x) for x in sorted(TITLES | set(GENERATIONS))))
+    words = words.select(F.array_except("ws", no_name).alias("ws"))
     beside = words.select("ws", F.explode("ws").alias("w")).select("w", F.explode_outer(F.array_except("ws", F.array("w"))).alias("other"))
     pairs = beside.groupBy("w", "other").agg(F.count(F.lit(1)).alias("n"))
     counted = pairs.groupBy("w").agg(F.sum("n").alias("n"), F.count("other").alias("others"))
     least = max(3, persons.count() * NAME_SHARE)
-    found = counted.where((F.col("n") >= least) & (F.col("others") >= VARIETY * F.col("n"))).select("w").collect()
+    found = counted.where((F.col("n") >= least) & (F.col("others") >= F.greatest(F.lit(3.0), VARIETY * F.col("n")))).select("w").collect()
     return {fold(r.w) for r in found} - TITLES - PARTICLES - set(GENERATIONS)
 
 
