@@ -23,6 +23,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its few files make fewer tasks than that; larger inputs stay as they are."""
+    """A scan over all cores where its few files make fewer tasks than that; larger scans stay as they are.
+
+    Only for frames without a shuffle: asking for the partitions would run one.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def shuffled(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all shuffle partitions, by ``keys`` if given; these are not coalesced before slow Python work.
+
+    A grouping by the same keys needs no further shuffle.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)

@@ -287,3 +287,34 @@ SELECT *, round(covered / nullif((x1 - x0) * (y1 - y0), 0), 4) AS share FROM b""
 COMPONENTS = f"""WITH RECURSIVE {CANDS}, e AS (SELECT a.cand_id AS a, b.cand_id AS b FROM c a JOIN c b USING (fixture, page_no, block_no, line_no)
 UNION SELECT a.cand_id, b.cand_id FROM c a JOIN c b ON a.fixture = b.fixture AND a.group_id = b.group_id),
 r(a, b) AS (SELECT cand_id, cand_id FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS cand_id, min(b) AS component FROM r GROUP BY a"""
+
+# Cleaning
+
+TRIMMED = f"""WITH {CANDS}, h AS (SELECT cand_id, span_start, text, length(regexp_extract(text, {q(rf'(?i)^((?:{N.TITLES})\.? +)')}, 1)) AS n FROM c WHERE pii_type = 'PERSON' AND text IS NOT NULL),
+v AS (SELECT cand_id, CAST(span_start + n AS INTEGER) AS span_start, regexp_replace(substr(text, n + 1), '[''\u2019][sS]$', '') AS value FROM h)
+SELECT cand_id, span_start, CAST(span_start + length(value) AS INTEGER) AS span_end, value FROM v WHERE value <> ''"""
+COMPOUNDS = f"""WITH {CANDS}, p AS (SELECT cand_id, string_split_regex({COLLAPSED}, '(?i) (?:&|and|\\+) ') AS p FROM c WHERE pii_type = 'PERSON' AND text IS NOT NULL),
+k AS (SELECT cand_id, p, i, p[i] AS part, string_split(p[-1], ' ')[-1] AS last FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM p) WHERE len(p) > 1)
+SELECT cand_id, CAST(i - 1 AS INTEGER) AS part_no, CASE WHEN contains(trim(part, ' '), ' ') THEN trim(part, ' ') ELSE trim(part, ' ') || ' ' || last END AS part FROM k"""
+_J = r"(\p{Lu}[\p{L}'\x{2019}-]+) (?:&|and) (\p{Lu}[\p{L}'\x{2019}-]+(?: \p{Lu}\.?)?) (\p{Lu}[\p{L}'\x{2019}-]+)"
+JOINT = f"WITH {LINES} SELECT {KEY}, regexp_extract(text, {q(_J)}, 1) AS first, regexp_extract(text, {q(_J)}, 2) AS second, regexp_extract(text, {q(_J)}, 3) AS surname FROM l WHERE regexp_matches(text, {q(_J)})"
+LABEL_TEXTS = f"""WITH {CANDS}, {LABELS_CTE}, v AS (SELECT DISTINCT fixture, {NORM_TEXT.replace('(text,', '(label,')} AS v FROM lab)
+SELECT cand_id FROM (SELECT *, {NORM_TEXT} AS v FROM c WHERE text IS NOT NULL) SEMI JOIN (SELECT * FROM v WHERE v <> '') USING (fixture, v)"""
+SENSITIVE = f"""WITH p AS ({PERSON_SHAPE}), {CANDS} SELECT cand_id, regexp_matches(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{{2,}}') OR is_person
+OR regexp_matches(text, '(?i)[0-9]+ .*\\b(street|st|avenue|ave|road|rd|drive|dr|lane|ln|court|ct)\\b') OR regexp_matches(text, ', [A-Z]{{2}}\\b')
+OR length(regexp_replace(text, '[^0-9]', '', 'g')) >= 5 AS sensitive FROM c JOIN p USING (cand_id) WHERE text IS NOT NULL"""
+_LONG = lambda x: f"list_filter(string_split({fold(x)}, ' '), lambda v: length(v) >= 3)"
+LEAKING = f"""WITH {_REG}, k AS (SELECT record_id, CASE WHEN coalesce(trim(pseudonym, ' '), '') = '' THEN 'empty' WHEN {fold('pseudonym')} = {fold('original')} THEN 'identical'
+WHEN list_has_any({_LONG('pseudonym')}, {_LONG('original')}) THEN 'shares a word' END AS problem FROM reg WHERE original IS NOT NULL) SELECT * FROM k WHERE problem IS NOT NULL"""
+VARIANTS = f"""WITH {CANDS}, n AS (SELECT DISTINCT fixture, {NORM} AS name FROM c WHERE pii_type = 'PERSON' AND text IS NOT NULL),
+k AS (SELECT fixture, name, regexp_replace(regexp_replace({COLLAPSED.replace('(text,', '(name,')}, {q(rf'(?i)^(({N.TITLES})\.? )+')}, ''), {q(rf'(?i)(,? ?\b({N.SUFFIXES})\.?)+$')}, '') AS t FROM n),
+w AS (SELECT *, contains(t, ',') AS comma, list_filter(string_split(t, ' '), lambda v: v <> '') AS words FROM k),
+g AS (SELECT fixture, name, CASE WHEN comma THEN list_filter(string_split(trim(split_part(t, ',', 2), ' '), ' '), lambda v: v <> '') ELSE words[1:greatest(len(words) - 1, 0)] END AS given,
+CASE WHEN comma THEN trim(split_part(t, ',', 1), ' ') ELSE words[-1] END AS surname FROM w),
+o AS (SELECT fixture, name, unnest(list_distinct([array_to_string(given, ' ') || ' ' || surname, surname || ', ' || array_to_string(given, ' '),
+trim(array_to_string(list_filter(given, lambda v: length(replace(v, '.', '')) > 1), ' ') || ' ' || surname, ' '), replace(array_to_string(given, ' ') || ' ' || surname, '-', ' ')])) AS variant
+FROM g WHERE surname <> '' AND len(given) > 0) SELECT * FROM o WHERE length(variant) >= 4 AND variant <> name"""
+SUBJECTS = f"""WITH {CANDS}, r AS (SELECT fixture, pii_type, {NORM_TEXT} AS value, coalesce(confidence, 0.0) AS confidence, cand_id FROM c WHERE text IS NOT NULL AND pii_type IS NOT NULL AND length(text) >= 4)
+SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY fixture, pii_type, value ORDER BY confidence DESC, cand_id) = 1"""
+SUFFIXED = f"""WITH {CANDS}, s AS (SELECT cand_id, lower(regexp_extract(trim(text, ' '), {q(rf'(?i)[ ,]({N.SUFFIXES})\.?$')}, 1)) AS suffix FROM c WHERE pii_type = 'PERSON' AND text IS NOT NULL)
+SELECT * FROM s WHERE suffix <> ''"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from umbraline.functions import names as N
 from umbraline.functions import text as X
 from umbraline.functions import validators as V
-from umbraline.operators import graph, labels, pseudonyms, relations, rules
+from umbraline.operators import cleaning, graph, labels, pseudonyms, relations, rules
 from umbraline.operators.rule_tables import RULES
 from umbraline.plans import oracle as O
 from umbraline.sources import tables as T
@@ -322,6 +322,64 @@ def line_rects(spark, d):
     return block.withColumn("share", F.round(F.col("covered") / F.nullif(area, F.lit(0.0)), 4))
 
 
+# Cleaning
+
+
+@query(O.TRIMMED)
+def trimmed_persons(spark, d):
+    return cleaning.trimmed(T.candidates(spark, d))
+
+
+@query(O.COMPOUNDS)
+def split_compounds(spark, d):
+    return cleaning.split_compounds(T.candidates(spark, d))
+
+
+@query(O.JOINT)
+def joint_names(spark, d):
+    return cleaning.joint_names(T.lines(spark, d))
+
+
+@query(f"WITH {O.CANDS} SELECT cand_id FROM c WHERE {O.NORM} IN ({O.listed(N.STATE_CODES)})")
+def bare_states(spark, d):
+    return cleaning.bare_states(T.candidates(spark, d))
+
+
+@query(O.LABEL_TEXTS)
+def label_texts(spark, d):
+    return cleaning.label_texts(T.candidates(spark, d), labels.detect_labels(T.lines(spark, d)))
+
+
+@query(f"WITH {O.CANDS}, {O.LINES} SELECT cand_id FROM c SEMI JOIN (SELECT * FROM l WHERE color = {cleaning.REPLACED_COLOR}) USING (fixture, page_no, block_no, line_no)")
+def in_replaced_text(spark, d):
+    return cleaning.in_replaced_text(T.candidates(spark, d), T.lines(spark, d))
+
+
+@query(O.SENSITIVE)
+def sensitive_values(spark, d):
+    return T.candidates(spark, d).where("text is not null").select("cand_id", cleaning.looks_sensitive(F.col("text")).alias("sensitive"))
+
+
+@query(O.LEAKING)
+def leaking_pseudonyms(spark, d):
+    return cleaning.leaking_pseudonyms(T.records(T.table(spark, d, "registry").drop("ingested_at"), ["record_id"]))
+
+
+@query(O.VARIANTS)
+def spelling_variants(spark, d):
+    return cleaning.spelling_variants(T.candidates(spark, d))
+
+
+@query(O.SUBJECTS)
+def subjects(spark, d):
+    return cleaning.subjects(T.candidates(spark, d))
+
+
+@query(O.SUFFIXED)
+def name_suffixes(spark, d):
+    return cleaning.suffixed(T.candidates(spark, d))
+
+
 # Resolution, entities, rewriting
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbraline.plans.lineage import shuffled
+
 LINE_KEY = ["fixture", "page_no", "block_no", "line_no"]
 
 
@@ -20,8 +22,8 @@ def records(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text lines of the pages, each once."""
-    return records(table(spark, sf_dir, "fixture_lines").drop("ingested_at"), LINE_KEY)
+    """The text lines of the pages, each once; by page, so that groupings and windows within pages need no further shuffle."""
+    return records(shuffled(table(spark, sf_dir, "fixture_lines").drop("ingested_at"), "fixture", "page_no"), LINE_KEY)
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
