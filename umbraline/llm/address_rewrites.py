@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from umbraline.plans.lineage import cut, spread
+from umbraline.plans.lineage import cut, shuffled
 
 # States, directions, words before a unit, kinds of streets in full.
 STATES = dict(
@@ -464,7 +464,7 @@ def locations(df: DataFrame, id_col: str = "id", text_col: str = "text") -> Data
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     rows = rows.groupBy("id").agg(F.min("text").alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
-    texts = cut(spread(rows.groupBy("text").agg(F.count(F.lit(1)).alias("n"))))
+    texts = cut(shuffled(rows.groupBy("text").agg(F.count(F.lit(1)).alias("n"))))
     parsed, _ = mine(texts)
     # A tentative kind that no rewrite explains was the city, or else part of the name.
     lost, placeless = F.col("tentative"), F.col("city") == ""
@@ -516,7 +516,7 @@ def _resolved(tuples: DataFrame, shape: list[str]) -> DataFrame:
         if done:
             yield pd.DataFrame(done, columns=out)
 
-    placed = tuples.repartition("num", "street").sortWithinPartitions("num", "street", *shape)
+    placed = shuffled(tuples, "num", "street").sortWithinPartitions("num", "street", *shape)
     return placed.mapInPandas(run, f"num string, street string, {', '.join(f'{c} string' for c in shape)}, location int")
 
 

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbraline.plans.lineage import cut, spread
+from umbraline.plans.lineage import cut, shuffled
 
 #: Random cuts of each text; all texts are cut.
 TRIALS = 12
@@ -167,7 +167,7 @@ def _endings(texts: DataFrame, known: set[str]) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", "source", "kind", "mark", "trial", "c1", "c2", "c3", "closed", "chars", "bytes"])
 
     schema = "id bigint, source string, kind string, mark string, trial int, c1 string, c2 string, c3 string, closed boolean, chars int, bytes int"
-    return spread(texts).mapInPandas(run, schema)
+    return texts.mapInPandas(run, schema)
 
 
 def _logit(p: Column) -> Column:
@@ -214,7 +214,7 @@ def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.coalesce(F.col(kind_col), F.lit("")).alias("kind"),
         F.col(text_col).alias("text"),
     ).where(F.col("id").isNotNull() & F.col("text").rlike(r"\S"))
-    texts = texts.groupBy("id").agg(F.min(F.struct("text", "source", "kind")).alias("t")).select("id", "t.*")
+    texts = shuffled(texts, "id").groupBy("id").agg(F.min(F.struct("text", "source", "kind")).alias("t")).select("id", "t.*")
     texts = texts.withColumns({"chars": F.length("text"), "bytes": F.octet_length("text")})
     bounds = field_limits(texts).select("source", "measure", "length", "censored")
     endings = cut(_endings(texts, known_words(texts)))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbraline.llm.address_rewrites import stands_for, within_one_slip
-from umbraline.plans.lineage import cut, spread
+from umbraline.plans.lineage import cut, shuffled
 
 # Titles, generations, particles, legal forms, short forms of given names.
 TITLES = set("dr prof hon rev mr mrs ms miss sir dame herr frau fr sra".split())
@@ -321,7 +321,7 @@ def _normalised(forms: DataFrame, given: set[str]) -> DataFrame:
             found = [reader.normal(k, t) for k, t in zip(batch["pii_type"], batch["spelling"])]
             yield batch[["row_id", "scope", "pii_type"]].assign(form=["\t".join(f) if f else None for f in found])
 
-    return spread(forms).mapInPandas(run, "row_id bigint, scope string, pii_type string, form string")
+    return forms.mapInPandas(run, "row_id bigint, scope string, pii_type string, form string")
 
 
 def _scored(pairs: DataFrame, given: set[str]) -> DataFrame:
@@ -346,7 +346,8 @@ def entities(spellings: DataFrame) -> DataFrame:
     no entity; a repeated row is one record. Equal forms of a scope are collapsed before anything
     is compared, so an entity that holds a third of all rows is a few forms.
     """
-    forms = spellings.where("row_id is not null and scope is not null and spelling is not null").select("row_id", "scope", "pii_type", "spelling").distinct()
+    forms = spellings.where("row_id is not null and scope is not null and spelling is not null").select("row_id", "scope", "pii_type", "spelling")
+    forms = shuffled(forms, "row_id").distinct()
     given = _given_names(forms)
     normal = cut(_normalised(forms, given).where("form is not null"))
     counted = normal.groupBy("scope", "pii_type", "form").agg(F.count_distinct("row_id").alias("n"))
@@ -362,7 +363,7 @@ def entities(spellings: DataFrame) -> DataFrame:
     right = keyed.withColumnsRenamed({"form": "b", "n": "nb", "rank": "rb"})
     above = F.struct("rb", "nb", F.length("b"), "b") > F.struct("ra", "na", F.length("a"), "a")
     pairs = left.join(right, ["scope", "pii_type", "key"]).where(above).select("scope", "pii_type", "a", "na", "b", "nb").distinct()
-    scored = _scored(spread(pairs), given)
+    scored = _scored(shuffled(pairs), given)
     # A slip that is seen as often as its supposed origin is a name of its own.
     posterior = F.log("nb") + F.col("score") - F.when((F.col("na") >= 3) & (F.col("score") <= SLIP), F.col("na") * 1.0).otherwise(0.0)
     attached = scored.withColumn("posterior", posterior).where(F.col("posterior") >= LEAST_LIKELY).groupBy("scope", "pii_type", "a").agg(F.max_by("b", F.struct("posterior", "b")).alias("b"))

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbraline.plans.lineage import cut, spread
+from umbraline.plans.lineage import cut, shuffled
 
 TYPES = ["PERSON", "EMAIL", "PHONE", "SSN", "EIN", "PASSPORT", "DRIVERS_LICENSE", "ADDRESS"]
 CLASSES = [*TYPES, "NONE"]
@@ -310,7 +310,7 @@ def _proposed(rows: DataFrame, given: set[str], common: set[str]) -> DataFrame:
                 found.append(line)
             yield batch[["tbl", "row_id", "text"]].assign(spans=found)
 
-    return spread(rows).mapInPandas(run, f"tbl string, row_id bigint, text string, spans {_SPANS}")
+    return rows.mapInPandas(run, f"tbl string, row_id bigint, text string, spans {_SPANS}")
 
 
 def _decided(proposed: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -347,7 +347,7 @@ def mentions(rows: DataFrame, names: DataFrame) -> DataFrame:
     ``names`` (name) gives the gazetteer. Rows repeated under one id are one record (the least text
     of an id stands for it), rows with null text or id are left out, empty texts have no spans.
     """
-    rows = rows.where("row_id is not null and text is not null").groupBy("tbl", "row_id").agg(F.min("text").alias("text"))
+    rows = shuffled(rows.where("row_id is not null and text is not null"), "tbl", "row_id").groupBy("tbl", "row_id").agg(F.min("text").alias("text"))
     given, common = given_names(names), common_words(rows, names)
     proposed = cut(_proposed(rows, given, common))
     patterns = proposed.select(F.explode("spans.votes").alias("votes")).groupBy("votes").count()  # bounded by the labelers' votes
