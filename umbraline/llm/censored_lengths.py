@@ -18,6 +18,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from umbraline.plans.lineage import cut, shuffled
 
@@ -28,7 +29,7 @@ WORD_SHARE = 0.0003
 #: Evidence that a rarer context borrows from the shorter one.
 BORROWED = 1.0
 START_RATE = 0.08
-TURNS = 5
+TURNS = 3
 #: How surely a text is held to be cut before anything is known, with an open ending and with a closed one.
 #: The high start leaves endings that only cuts account for where they are; real endings come down at once.
 OPEN, CLOSED = 0.9, 0.02
@@ -194,8 +195,9 @@ def _rated(texts: DataFrame, expected: DataFrame) -> DataFrame:
     and a text never counts for itself. Rare contexts borrow from the shorter ones.
     """
     whole = texts.groupBy("kind", "c3").agg(F.sum(1 - F.col("p")).alias("w3")).join(expected, ["kind", "c3"])
+    # The windows run over contexts, not over texts.
     for k in (2, 1):
-        whole = whole.join(whole.groupBy("kind", f"c{k}").agg(F.sum("w3").alias(f"w{k}")), ["kind", f"c{k}"])
+        whole = whole.withColumn(f"w{k}", F.sum("w3").over(Window.partitionBy("kind", f"c{k}")))
     found = texts.join(whole.select("kind", "c3", "a1", "a2", "a3", "w1", "w2", "w3"), ["kind", "c3"])
     r = F.lit(START_RATE)
     for k in (1, 2, 3):
