@@ -9,7 +9,7 @@ from umbraline.functions import names as N
 from umbraline.functions import offsets
 from umbraline.functions import text as X
 from umbraline.functions import validators as V
-from umbraline.operators import graph, labels, pseudonyms, relations, rules
+from umbraline.operators import cleaning, graph, labels, pseudonyms, relations, rules
 from umbraline.sources import sinks, tables
 from umbraline.streaming import arrivals
 
@@ -135,3 +135,21 @@ def test_the_core_stands_without_the_subpackage():
         if os.path.basename(folder) != "llm":
             assert not any("umbraline.llm" in open(os.path.join(folder, f), encoding="utf-8").read() for f in files if f.endswith(".py"))
     assert tables.LINE_KEY == ["fixture", "page_no", "block_no", "line_no"]
+
+
+def test_cleaning(spark):
+    rows = [
+        (1, "f", 0, 0, 0, 3, 16, "Dr. Ann Lee's", "PERSON", 0.9, "ner"), (2, "f", 0, 0, 0, 0, 16, "Mark & Jane Lang", "PERSON", 0.9, "ner"),
+        (3, "f", 0, 0, 0, 0, 2, " CA.", "CITY_STATE", 0.5, "ner"), (4, "f", 0, 0, 0, 0, 2, None, "PERSON", 0.5, "ner"),
+        (5, "f", 0, 0, 0, 0, 2, "LEE, Ann Jr.", "PERSON", 0.5, "ner"),
+    ]
+    df = spark.createDataFrame(rows, CAND)
+    got = {r.cand_id: (r.span_start, r.span_end, r.value) for r in cleaning.trimmed(df).collect()}
+    assert got[1] == (7, 14, "Ann Lee") and 4 not in got
+    assert [(r.part_no, r.part) for r in cleaning.split_compounds(df).orderBy("part_no").collect()] == [(0, "Mark Lang"), (1, "Jane Lang")]
+    assert [r.cand_id for r in cleaning.bare_states(df).collect()] == [3]
+    assert {(r.cand_id, r.suffix) for r in cleaning.suffixed(df).collect()} == {(5, "jr")}
+    assert cleaning.subjects(df.limit(0)).collect() == [] and len(cleaning.subjects(df).collect()) == 4
+    assert "Lee, Ann" in {r.variant for r in cleaning.spelling_variants(spark.createDataFrame([(9, "f", 0, 0, 0, 0, 7, "Ann Lee", "PERSON", 0.9, "ner")], CAND)).collect()}
+    records = spark.createDataFrame([(1, "Ann Lee", "Ann Moe"), (2, "Ann Lee", None), (3, "Ann Lee", "ann lee"), (4, "Ann Lee", "Bo Moe"), (5, None, "x")], "record_id bigint, original string, pseudonym string")
+    assert {(r.record_id, r.problem) for r in cleaning.leaking_pseudonyms(records).collect()} == {(1, "shares a word"), (2, "empty"), (3, "identical")}
