@@ -124,3 +124,27 @@ def test_cut_texts_are_found(spark):
     shares = {r.source: r.share for r in C.by_source(C.judged(df)).collect()}
     assert set(shares) == {"", "src"}
     assert C.judged(df.limit(0)).collect() == []
+
+
+def test_posterior_is_settled(spark, monkeypatch):
+    """Half the texts of a source that cuts often have an ending that random cuts also have: three turns are too few."""
+    state = "source string, kind string, mark string, closed boolean, c3 string, censored double, n bigint, c1 string, c2 string, a1 double, a2 double, a3 double, p double"
+    rows = [(f"s{i % 2}", "memo", "", False, f"x y {i}", -1.0, 6 + i, str(i), f"y {i}", 0.3 * i, 0.2 * i, 0.1 * i, C.OPEN) for i in range(24)]
+    states = spark.createDataFrame(rows, state)
+    turns, rated = [], C._rated
+    monkeypatch.setattr(C, "_rated", lambda s: turns.append(1) or rated(s))
+    found = {r.c3: r.p for r in C._settled(states).collect()}
+    assert len(turns) > 3
+    w = {r[4]: r[6] for r in rows}
+    rate = {s: sum(w[r[4]] * found[r[4]] for r in rows if r[0] == s) for s in ("s0", "s1")}
+    for source, *_, c3, _, n, _, _, a1, a2, a3, _ in rows:  # one more turn by hand
+        r, others = C.START_RATE, max(0.0, n * (1 - found[c3]) - (1 - found[c3]))
+        for a in (a1, a2, a3):
+            r = (a + r) / (a + others + 1)
+        texts = sum(x[6] for x in rows if x[0] == source)
+        share = max(0.01, min(0.6, (rate[source] + 5 * C.START_RATE) / (texts + 5)))
+        odds = share / (1 - share) * r / (1 - r) * (1 - C.START_RATE) / C.START_RATE
+        assert abs(odds / (1 + odds) - found[c3]) < 2 * C.SETTLED
+    monkeypatch.setattr(C, "MOST_TURNS", 2)
+    with pytest.raises(RuntimeError):
+        C._settled(states)

@@ -29,7 +29,9 @@ WORD_SHARE = 0.0003
 #: Evidence that a rarer context borrows from the shorter one.
 BORROWED = 1.0
 START_RATE = 0.08
-TURNS = 3
+#: The posterior is settled when no text's moves by more than SETTLED in a turn. Turns only bring it nearer, by about
+#: a third of what is left each; what needs more than MOST_TURNS is an error, not a result.
+SETTLED, MOST_TURNS = 0.001, 200
 #: How surely a text is held to be cut before anything is known, with an open ending and with a closed one.
 #: The high start leaves endings that only cuts account for where they are; real endings come down at once.
 OPEN, CLOSED = 0.9, 0.02
@@ -188,22 +190,51 @@ def _expected(endings: DataFrame) -> DataFrame:
     return contexts.na.fill(0.0, ["a1", "a2", "a3"])
 
 
-def _rated(texts: DataFrame, expected: DataFrame) -> DataFrame:
-    """``texts`` with ``r``: of all texts that end so, the share that random cuts account for.
+def _rated(states: DataFrame) -> DataFrame:
+    """``states`` with ``r``: of all texts that end so, the share that random cuts account for.
 
     ``p`` is what each text is held to be cut by so far; only the rest of it counts as a whole text,
     and a text never counts for itself. Rare contexts borrow from the shorter ones.
     """
-    whole = texts.groupBy("kind", "c3").agg(F.sum(1 - F.col("p")).alias("w3")).join(expected, ["kind", "c3"])
+    whole = states.groupBy("kind", "c1", "c2", "c3").agg(F.sum(F.col("n") * (1 - F.col("p"))).alias("w3"))
     # The windows run over contexts, not over texts.
     for k in (2, 1):
         whole = whole.withColumn(f"w{k}", F.sum("w3").over(Window.partitionBy("kind", f"c{k}")))
-    found = texts.join(whole.select("kind", "c3", "a1", "a2", "a3", "w1", "w2", "w3"), ["kind", "c3"])
+    found = states.join(whole.drop("c1", "c2"), ["kind", "c3"])
     r = F.lit(START_RATE)
     for k in (1, 2, 3):
         others = F.greatest(F.lit(0.0), F.col(f"w{k}") - (1 - F.col("p")))
         r = (F.col(f"a{k}") + BORROWED * r) / (F.col(f"a{k}") + others + BORROWED)
-    return found.withColumn("r", r).drop("a1", "a2", "a3", "w1", "w2", "w3")
+    return found.withColumn("r", r).drop("w1", "w2", "w3")
+
+
+def _forgetful(df: DataFrame) -> DataFrame:
+    """``df`` cut off, without the constraints that a checkpoint hands on: over many turns the planner drowns in them."""
+    done = cut(df)._jdf
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), df.sparkSession)
+
+
+def _settled(states: DataFrame) -> DataFrame:
+    """``states`` with the posterior ``p`` and the rating ``r``, by turns until no posterior moves."""
+    names = [c for c in states.columns if c not in ("p", "r")]
+    moved = None
+    for turn in range(MOST_TURNS):
+        rated = _rated(states.select(*names, "p")).withColumn("ending", _logit(F.col("r")) - _logit(F.lit(START_RATE)))
+        # What a mark says, and how often a source cuts elsewhere than at its limits.
+        marks = rated.where("mark <> ''").groupBy("mark").agg(F.sum(F.col("r") * F.col("n")).alias("m"), F.sum("n").alias("n"))
+        marks = marks.select("mark", (_logit((F.col("m") + 2 * START_RATE) / (F.col("n") + 2)) - _logit(F.lit(START_RATE))).alias("says"))
+        guess = F.sum(F.col("p") * F.col("n")) if turn else F.sum("n") * START_RATE
+        free = states.where("censored < 0").groupBy("source").agg(((guess + 5 * START_RATE) / (F.sum("n") + 5)).alias("rate"))
+        rate = F.greatest(F.lit(0.01), F.least(F.lit(0.6), F.coalesce("rate", F.lit(START_RATE))))
+        odds = _logit(F.when(F.col("censored") < 0, rate).otherwise(F.col("censored"))) + F.col("ending") + F.coalesce("says", F.lit(0.0))
+        # There are only four marks; sources may be many and are joined.
+        told = rated.join(F.broadcast(marks), "mark", "left").join(free, "source", "left").withColumn("new", 1 / (1 + F.exp(-odds)))
+        states = _forgetful(told.select(*names, F.col("new").alias("p"), "r", F.abs(F.col("new") - F.col("p")).alias("moved")))
+        moved = states.agg(F.max("moved")).first()[0]
+        states = states.drop("moved")
+        if moved is None or moved <= SETTLED:
+            return states
+    raise RuntimeError(f"the posterior still moves by {moved} after {MOST_TURNS} turns")
 
 
 def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", kind_col: str = "kind") -> DataFrame:
@@ -224,20 +255,12 @@ def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     at = lambda m: bounds.where(F.col("measure") == m).select("source", F.col("length").alias(m), F.col("censored").alias(f"at_{m}"))
     real = endings.where("trial = 0").join(at("chars"), ["source", "chars"], "left").join(at("bytes"), ["source", "bytes"], "left")
-    held = real.withColumn("censored", F.greatest("at_chars", "at_bytes")).select("id", "source", "kind", "mark", "closed", "c3", "censored")
-    held = cut(held.withColumn("p", F.coalesce("censored", F.when(F.col("closed"), CLOSED).otherwise(OPEN))))
-    for turn in range(TURNS):
-        rated = _rated(held, expected).withColumn("ending", _logit(F.col("r")) - _logit(F.lit(START_RATE)))
-        # What a mark says, and how often a source cuts elsewhere than at its limits.
-        marks = rated.where("mark <> ''").groupBy("mark").agg(F.avg("r").alias("m"), F.count(F.lit(1)).alias("n"))
-        marks = marks.select("mark", (_logit((F.col("m") * F.col("n") + 2 * START_RATE) / (F.col("n") + 2)) - _logit(F.lit(START_RATE))).alias("says"))
-        guess = F.sum("p") if turn else F.count(F.lit(1)) * START_RATE
-        free = held.where("censored is null").groupBy("source").agg(((guess + 5 * START_RATE) / (F.count(F.lit(1)) + 5)).alias("rate"))
-        rate = F.greatest(F.lit(0.01), F.least(F.lit(0.6), F.coalesce("rate", F.lit(START_RATE))))
-        odds = _logit(F.coalesce("censored", rate)) + F.col("ending") + F.coalesce("says", F.lit(0.0))
-        # There are only four marks; sources may be many and are joined.
-        told = rated.join(F.broadcast(marks), "mark", "left").join(free, "source", "left").withColumn("p", 1 / (1 + F.exp(-odds)))
-        held = cut(told.select("id", "source", "kind", "mark", "closed", "c3", "censored", "p", "r"))
+    # Texts of one state are alike in all that bears on the posterior; -1 is no limit.
+    state = ["source", "kind", "mark", "closed", "c3", "censored"]
+    held = cut(real.withColumn("censored", F.coalesce(F.greatest("at_chars", "at_bytes"), F.lit(-1.0))).select("id", *state))
+    counted = held.groupBy(*state).agg(F.count(F.lit(1)).alias("n")).join(expected, ["kind", "c3"])
+    start = F.when(F.col("censored") >= 0, F.col("censored")).when(F.col("closed"), CLOSED).otherwise(OPEN)
+    held = held.join(_settled(_forgetful(counted.withColumn("p", start))).select(*state, "p", "r"), state)
     # A text that ends with a whole sentence or list item stops nowhere inside, even at a limit.
     complete = F.col("closed") & (F.col("r") < 0.5 * START_RATE)
     return held.select(F.col("id").alias(id_col), "source", F.col("p").alias("posterior"), ((F.col("p") >= 0.5) & ~complete).alias("cut"))
