@@ -153,3 +153,16 @@ def test_cleaning(spark):
     assert "Lee, Ann" in {r.variant for r in cleaning.spelling_variants(spark.createDataFrame([(9, "f", 0, 0, 0, 0, 7, "Ann Lee", "PERSON", 0.9, "ner")], CAND)).collect()}
     records = spark.createDataFrame([(1, "Ann Lee", "Ann Moe"), (2, "Ann Lee", None), (3, "Ann Lee", "ann lee"), (4, "Ann Lee", "Bo Moe"), (5, None, "x")], "record_id bigint, original string, pseudonym string")
     assert {(r.record_id, r.problem) for r in cleaning.leaking_pseudonyms(records).collect()} == {(1, "shares a word"), (2, "empty"), (3, "identical")}
+
+
+def test_values_are_found_beside_signs_and_in_any_case(spark):
+    values = ["Lee, John", "Acme (West) Co", "O'Neill", "a+b@c.de"]
+    rows = [(i, "f", 0, 0, 99, 0, 5, v, "PERSON", 0.9, "ner") for i, v in enumerate(values)]
+    texts = [
+        "from LEE, JOHN.", "(lee,  john)", "x\tLee, John's", "Lee, Johnson", "'acme (west) co'", "[O'NEILL]", "O'Neills", "<A+B@C.DE>", "aab@c.de", None, "",
+    ]
+    lines, df = lines_of(spark, texts), spark.createDataFrame(rows, CAND)
+    got = {(r.line_no, r.value) for r in relations.propagated(lines, df).collect()}
+    assert got == {(0, values[0]), (1, values[0]), (2, values[0]), (4, values[1]), (5, values[2]), (7, values[3])}
+    counted = lambda ts: [(r.n_values, r.n_leaked) for r in relations.leaks(lines_of(spark, ts), df).collect()]
+    assert counted(texts) == [(4, 4)] and counted(["Lee, Johnson", "O'Neills", "aab@c.de", None]) == [(4, 0)]

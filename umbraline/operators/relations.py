@@ -219,15 +219,30 @@ def rewritten_lines(lines: DataFrame, candidates: DataFrame) -> DataFrame:
     return done.select(*LINE_KEY, text.alias("text"))
 
 
+def _runs(text: Column) -> Column:
+    """The distinct runs of letters and digits of ``text``, in lower case; the empty run, which values of signs alone go by, is in each."""
+    return F.array_distinct(F.array_append(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.lit("")))
+
+
+def _first_run(value: Column) -> Column:
+    return F.regexp_extract(F.lower(value), r"[\p{L}\p{N}]+", 0)
+
+
+def _holds(text: Column, value: Column) -> Column:
+    """Whether ``text`` has ``value`` as a whole word or phrase, in any case; white space of any kind is one blank."""
+    literal = F.regexp_replace(F.regexp_replace(value, r"([^\p{L}\p{N}\s])", r"\\$1"), r"\s+", r"\\s+")
+    return F.regexp_like(text, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])"), literal, F.lit(r"(?![\p{L}\p{N}_])")))
+
+
 def leaks(rewritten: DataFrame, candidates: DataFrame) -> DataFrame:
     """(fixture, pii_type, n_values, n_leaked): values that a document still shows after the rewriting.
 
-    Values are looked up by their words in the lines of their document, not against every line.
+    The first run of letters and digits of a value leads to the lines of its document that hold it, then the line is searched.
     """
     values = candidates.where("text is not null and pii_type is not null").select("fixture", "pii_type", F.lower(normalized(F.col("text"))).alias("value")).distinct()
-    values = values.where(F.length("value") >= 4).withColumn("word", F.element_at(F.split("value", " "), 1))
-    words = rewritten.select("fixture", F.lower("text").alias("line"), F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("word"))
-    seen = values.join(words, ["fixture", "word"]).where(F.contains("line", "value")).select("fixture", "pii_type", "value").distinct().withColumn("leaked", F.lit(1))
+    values = values.where(F.length("value") >= 4).withColumn("word", _first_run(F.col("value")))
+    words = rewritten.select("fixture", "text", F.explode(_runs(F.col("text"))).alias("word"))
+    seen = values.join(words, ["fixture", "word"]).where(_holds(F.col("text"), F.col("value"))).select("fixture", "pii_type", "value").distinct().withColumn("leaked", F.lit(1))
     joined = values.join(seen, ["fixture", "pii_type", "value"], "left")
     return joined.groupBy("fixture", "pii_type").agg(F.count(F.lit(1)).alias("n_values"), F.sum(F.coalesce("leaked", F.lit(0)).cast("bigint")).alias("n_leaked"))
 
@@ -235,13 +250,13 @@ def leaks(rewritten: DataFrame, candidates: DataFrame) -> DataFrame:
 def propagated(lines: DataFrame, candidates: DataFrame) -> DataFrame:
     """(line key, pii_type, value, n): further whole-word occurrences of sure values of the same document.
 
-    The first word of a value leads to the lines that hold it (a hash join), then the line is searched.
+    The first run of letters and digits of a value leads to the lines that hold it (a hash join), then the line is searched.
     """
     sure = candidates.where("text is not null and confidence >= 0.85 and pii_type in ('PERSON', 'ORG_PRIVATE', 'EMAIL', 'SSN', 'EIN', 'PHONE')")
     values = sure.select("fixture", "pii_type", normalized(F.col("text")).alias("value")).where(F.length("value") >= 4).distinct()
-    values = values.withColumn("word", F.element_at(F.split("value", " "), 1))
-    words = lines.where("text is not null").select(*LINE_KEY, "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[^ \t\r\n\f\x0B]+"), F.lit(0)))).alias("w"))
-    found = words.withColumn("word", F.btrim("w", F.lit(" .,;:"))).join(values, ["fixture", "word"]).where(F.contains(F.concat(F.lit(" "), F.regexp_replace("text", r"[.,;:]", " "), F.lit(" ")), F.concat(F.lit(" "), F.regexp_replace("value", r"[.,;:]", " "), F.lit(" "))))
+    values = values.withColumn("word", _first_run(F.col("value")))
+    words = lines.where("text is not null").select(*LINE_KEY, "text", F.explode(_runs(F.col("text"))).alias("word"))
+    found = words.join(values, ["fixture", "word"]).where(_holds(F.col("text"), F.col("value")))
     places = found.select(*LINE_KEY, "pii_type", "value").distinct()
     own = sure.select(*LINE_KEY, "pii_type", normalized(F.col("text")).alias("value")).distinct()
     return places.join(own, [*LINE_KEY, "pii_type", "value"], "left_anti")
