@@ -148,3 +148,24 @@ def test_posterior_is_settled(spark, monkeypatch):
     monkeypatch.setattr(C, "MOST_TURNS", 2)
     with pytest.raises(RuntimeError):
         C._settled(states)
+
+
+def test_slips_are_judged_by_share_at_every_size(spark):
+    rows = []
+    for scope, times in (("few", 1), ("many", 25)):
+        # A tenth is a slip of the other; of four beside six it is a name of its own.
+        for name, n in (("Marta Wexelenfield", 30), ("Marta Wexelenfeild", 3), ("Olga Brandtholm", 6), ("Olga Brandtholt", 4)):
+            rows += [(len(rows) + i, scope, "PERSON", name) for i in range(n * times)]
+    df = spark.createDataFrame(rows, "row_id bigint, scope string, pii_type string, spelling string")
+    entity = {(scope, name): {f.entity for f in found} for (scope, name), found in _by_name(N.entities(df).collect(), rows).items()}
+    for scope in ("few", "many"):
+        assert entity[scope, "Marta Wexelenfield"] == entity[scope, "Marta Wexelenfeild"]
+        assert entity[scope, "Olga Brandtholm"] != entity[scope, "Olga Brandtholt"]
+
+
+def _by_name(found, rows):
+    by = {}
+    names = {r[0]: (r[1], r[3]) for r in rows}
+    for f in found:
+        by.setdefault(names[f.row_id], []).append(f)
+    return by

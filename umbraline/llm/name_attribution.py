@@ -56,6 +56,8 @@ VARIETY = 0.15
 PREFIX = 6
 #: Log likelihood below which a spelling is no variant of a candidate.
 LEAST_LIKELY = -10.5
+#: A slip seen at least so often beside its supposed origin is a name of its own.
+OWN_SHARE = 0.5
 SLIP, TWO_SLIPS, INITIAL, SHORT, NO_MIDDLE, PART, ACRONYM = -3.6, -8.0, -2.0, -1.6, -0.7, -2.5, -3.0
 
 
@@ -264,6 +266,16 @@ def likelihood(a: tuple, b: tuple, given: set[str]) -> float | None:
     return None if words is None else words + ending
 
 
+def slipped(a: tuple, b: tuple, given: set[str]) -> bool:
+    """Whether letters differ between two forms by a slip, and not only by what is left out or shortened."""
+    slips = (SLIP, TWO_SLIPS, SHORT + SLIP)
+    if a[0] == "P":
+        by_surname = _surname(a[1], b[1]) in (*slips, SLIP + PART, TWO_SLIPS + PART)
+        return by_surname or (min(len(a[2]), len(b[2])) > 1 and _given(a[2], b[2], given) in slips)
+    x, y = a[1].split(), b[1].split()
+    return len(x) == len(y) and any(_word(p, q) in slips for p, q in zip(x, y))
+
+
 def _words(x: list[str], y: list[str]) -> float | None:
     """Word by word, in order; two words of one side may be written as one on the other."""
     best: dict[tuple[int, int], float] = {(0, 0): 0.0}
@@ -325,7 +337,7 @@ def _normalised(forms: DataFrame, given: set[str]) -> DataFrame:
 
 
 def _scored(pairs: DataFrame, given: set[str]) -> DataFrame:
-    """``pairs`` (scope, pii_type, a, na, b, nb) with the log likelihood; pairs that can't be are left out."""
+    """``pairs`` (scope, pii_type, a, na, b, nb) with the log likelihood, and whether it is of a slip; pairs that can't be are left out."""
     shared = pairs.sparkSession.sparkContext.broadcast(given)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -333,9 +345,10 @@ def _scored(pairs: DataFrame, given: set[str]) -> DataFrame:
         for batch in batches:
             score = [likelihood(tuple(a.split("\t")), tuple(b.split("\t")), names) for a, b in zip(batch["a"], batch["b"])]
             batch = batch.assign(score=pd.Series(score, index=batch.index, dtype="float64"))
-            yield batch[batch["score"] >= LEAST_LIKELY]
+            batch = batch[batch["score"] >= LEAST_LIKELY]
+            yield batch.assign(slip=[slipped(tuple(a.split("\t")), tuple(b.split("\t")), names) for a, b in zip(batch["a"], batch["b"])])
 
-    return pairs.mapInPandas(run, "scope string, pii_type string, a string, na bigint, b string, nb bigint, score double")
+    return pairs.mapInPandas(run, "scope string, pii_type string, a string, na bigint, b string, nb bigint, score double, slip boolean")
 
 
 def entities(spellings: DataFrame) -> DataFrame:
@@ -364,9 +377,10 @@ def entities(spellings: DataFrame) -> DataFrame:
     above = F.struct("rb", "nb", F.length("b"), "b") > F.struct("ra", "na", F.length("a"), "a")
     pairs = left.join(right, ["scope", "pii_type", "key"]).where(above).select("scope", "pii_type", "a", "na", "b", "nb").distinct()
     scored = _scored(shuffled(pairs), given)
-    # A slip that is seen as often as its supposed origin is a name of its own.
-    posterior = F.log("nb") + F.col("score") - F.when((F.col("na") >= 3) & (F.col("score") <= SLIP), F.col("na") * 1.0).otherwise(0.0)
-    attached = scored.withColumn("posterior", posterior).where(F.col("posterior") >= LEAST_LIKELY).groupBy("scope", "pii_type", "a").agg(F.max_by("b", F.struct("posterior", "b")).alias("b"))
+    # A slip that is seen as often as its supposed origin is a name of its own, be there few rows or many.
+    own = F.col("slip") & (F.col("na") >= 3) & (F.col("na") >= OWN_SHARE * F.col("nb"))
+    posterior = F.log("nb") + F.col("score")
+    attached = scored.where(~own).withColumn("posterior", posterior).groupBy("scope", "pii_type", "a").agg(F.max_by("b", F.struct("posterior", "b")).alias("b"))
     parents = ranked.select("scope", "pii_type", F.col("form").alias("a")).join(attached, ["scope", "pii_type", "a"], "left")
     parents = cut(parents.select("scope", "pii_type", "a", F.coalesce("b", "a").alias("root")))
     for _ in range(math.ceil(math.log2(64))):  # parents rank higher, so chains are short; each turn doubles the reach
