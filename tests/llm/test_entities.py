@@ -169,3 +169,30 @@ def _by_name(found, rows):
     for f in found:
         by.setdefault(names[f.row_id], []).append(f)
     return by
+
+
+def test_the_fitted_density_decides_what_a_limit_is(spark, monkeypatch):
+    """Notes of nearly one length fill their greatest length by nature; without the density it would count as a limit."""
+    lengths = np.clip(np.random.default_rng(5).normal(96, 1.6, 600).round(), 90, 99).astype(int)
+    counts = pd.Series(lengths).value_counts().rename_axis("length").reset_index(name="n")
+    assert counts.loc[counts.length == 99, "n"].iloc[0] >= C.LIMIT_TEXTS and C.limits(counts) == []
+    monkeypatch.setattr(C.CensoredFit, "density", lambda self, x: np.zeros(len(x)))
+    assert 99 in {r["length"] for r in C.limits(counts)}
+
+
+def test_all_limits_of_a_source_are_fitted_at_once():
+    lengths = np.random.default_rng(3).lognormal(6, 0.8, 8000).astype(int) + 1
+    lengths = np.where(np.arange(8000) % 4 > 0, np.minimum(lengths, 700), np.minimum(lengths, 2000))
+    counts = pd.Series(lengths).value_counts().rename_axis("length").reset_index(name="n").sort_values("length")
+    fit = C.CensoredFit(counts.length.to_numpy(float), counts.n.to_numpy(float), np.array([700.0, 2000.0]))
+    assert abs(fit.mu - 6) < 0.05 and abs(fit.sd - 0.8) < 0.05 and abs(fit.share[0] - 0.75) < 0.04
+    assert [r["length"] for r in C.limits(counts)] == [700, 2000] and C.limits(counts.iloc[:0]) == []
+
+
+def test_endings_are_read_from_the_end():
+    known, words = {"the", "office"}, ["office", "the"]
+    assert C.context("all the offi", 12, known, words) == "aa the aa<"
+    assert C.context("x" * 5000 + " 12,50", 5006, known, words) == "9x2 , 9x2"
+    assert C.context("", 0, known, words) == "^ ^ ^" and C.context("報告", 2, known, words) == "^ 報 告".replace("報", "Aa" if "報".isupper() else "aa").replace("告", "aa")
+    assert C.mark_of("cut...\n") == ("cut", "ellipsis") and C.mark_of("cut\n") == ("cut", "newline") and C.mark_of("...") == ("", "ellipsis")
+    assert C.is_closed('It was "sent."') and C.is_closed("due 12.") and not C.is_closed("due $12.") and not C.is_closed("and") and not C.is_closed("")

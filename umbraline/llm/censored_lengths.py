@@ -1,17 +1,21 @@
 """Texts that were cut short, and how often each source cuts.
 
-Per source, right-censored length distributions are fitted by maximum likelihood; at each length
-where far more texts end than the fit allows and hardly any go beyond, the posterior of censoring
-is the prior of a cut there. The ending gives the other evidence: how texts of a kind really end, against how
-they end when every text is cut at random places. Marks behind the cut are learned from the texts
-that bear them.
+Per source, one length distribution is fitted by maximum likelihood, right-censored at all limits of
+the source at once. A length becomes a limit if far more texts end there than the fitted density
+explains and most texts that come so far stop there; what a text at a limit is held to be cut by is
+the spike's share beside that density. The ending gives the other evidence: how texts of a kind really
+end, against how they end when every text is cut at random places. Marks behind the cut are learned
+from the texts that bear them.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -35,31 +39,49 @@ SETTLED, MOST_TURNS = 0.001, 200
 #: How surely a text is held to be cut before anything is known, with an open ending and with a closed one.
 #: The high start leaves endings that only cuts account for where they are; real endings come down at once.
 OPEN, CLOSED = 0.9, 0.02
-#: A limit holds at least so many texts, so many times what is expected, and lets at most this share pass.
-LIMIT_TEXTS, LIMIT_TIMES, LIMIT_PASS = 3, 5.0, 0.02
-#: A mark that the system leaves is no longer than this many characters.
-MARK_LENGTH = 8
+#: A limit holds at least so many texts, so many times what the fitted density explains, and this share of all
+#: texts that come so far; all texts of its source being of the density, so full a length is rarer than RARE.
+LIMIT_TEXTS, LIMIT_TIMES, LIMIT_SHARE, RARE = 3, 5.0, 0.5, 1e-3
 
-_TOKEN = regex.compile(r"\p{Han}|(?:(?!\p{Han})[\p{L}\p{M}])+|\p{N}+|\n|[^\s\p{L}\p{N}]")
-_MARK = regex.compile(r"(?:\s|…|�|\.{3})+$")
+# Read from the end, so that the last tokens are found without the rest of the text.
+_TOKEN = regex.compile(r"(?rV1)\p{Han}|[[\p{L}\p{M}]--\p{Han}]+|\p{N}+|\n|[^\s\p{L}\p{N}]")
+_CLOSED = regex.compile(r"(?<![$\d])[\p{L}\p{M}\d%)\"»”']*[.!?。？！][\"”»')]*$|\(\d{4}\)$")
 
 
 def mark_of(text: str) -> tuple[str, str]:
     """The text without what stands behind its end, and the name of that mark."""
-    m = _MARK.search(text)
-    if not m:
+    body = text
+    while True:
+        rest = body.rstrip()
+        rest = rest[:-1] if rest.endswith(("…", "�")) else rest[:-3] if rest.endswith("...") else rest
+        if len(rest) == len(body):
+            break
+        body = rest
+    tail = text[len(body) :]
+    if not tail:
         return text, ""
-    tail = m.group()
     name = "replacement" if "�" in tail else "ellipsis" if "…" in tail or "..." in tail else "newline" if regex.fullmatch(r"\r?\n", tail) else "space"
-    return text[: m.start()], name
+    return body, name
+
+
+def is_closed(body: str) -> bool:
+    """Whether the last run without blanks ends a sentence; an amount with a point behind it does not."""
+    last = body.rsplit(None, 1)[-1:]
+    return bool(last) and bool(_CLOSED.search(" " + last[0]))
+
+
+def begins(token: str, words: list[str]) -> bool:
+    """Whether ``token`` is the beginning of one of the sorted ``words``, and not the word itself."""
+    at = bisect_right(words, token)
+    return at < len(words) and words[at].startswith(token)
 
 
-def contexts(text: str, known: set[str], beginnings: set[str]) -> list[str]:
-    """The last token, two and three tokens of ``text``: numbers by length, unknown words by case.
+def context(text: str, end: int, known: set[str], words: list[str]) -> str:
+    """The last three tokens of ``text[:end]``: numbers by length, unknown words by case; ``^`` where there are fewer.
 
     An unknown last word that begins a known one is marked as such.
     """
-    tokens = _TOKEN.findall(text[-400:])[-3:]
+    tokens = [m.group() for m in islice(_TOKEN.finditer(text, 0, end), 3)]
     shapes = []
     for t in tokens:
         if t[0].isdigit():
@@ -69,54 +91,99 @@ def contexts(text: str, known: set[str], beginnings: set[str]) -> list[str]:
             shapes.append(low if low in known else "Aa" if t[0].isupper() else "aa")
         else:
             shapes.append(t)
-    if tokens and shapes[-1] in ("Aa", "aa") and tokens[-1].lower() in beginnings:
-        shapes[-1] += "<"
-    shapes = ["^"] * (3 - len(shapes)) + shapes
-    return [shapes[2], " ".join(shapes[1:]), " ".join(shapes)]
-
-
-def fit_censored(lengths: np.ndarray, counts: np.ndarray, limit: float, rounds: int = 300) -> tuple[float, float]:
-    """Mean and deviation of log length by maximum likelihood, texts of ``limit`` and more being censored there."""
-    x, n = np.log(np.maximum(lengths, 1.0)), counts.astype(float)
-    free = lengths < limit
-    held, at = n[~free].sum(), math.log(max(limit, 1.0))
-    if n[free].sum() < 2:
-        return at, 1.0
-    mu = float(np.average(x[free], weights=n[free]))
-    sd = max(0.05, math.sqrt(float(np.average((x[free] - mu) ** 2, weights=n[free]))))
-    for _ in range(rounds):
-        z = (at - mu) / sd
-        tail = max(1e-12, 0.5 * math.erfc(z / math.sqrt(2)))
-        hazard = math.exp(-z * z / 2) / math.sqrt(2 * math.pi) / tail
-        first, second = mu + sd * hazard, sd * sd * (1 + z * hazard) + mu * mu + 2 * sd * mu * hazard
-        total = n.sum()
-        m1 = ((n[free] * x[free]).sum() + held * first) / total
-        m2 = ((n[free] * x[free] ** 2).sum() + held * second) / total
-        settled = abs(m1 - mu) < 1e-5
-        mu, sd = m1, math.sqrt(max(0.0025, m2 - m1 * m1))
-        if settled:
-            break
-    return mu, sd
+    if tokens and shapes[0] in ("Aa", "aa") and begins(tokens[0].lower(), words):
+        shapes[0] += "<"
+    return " ".join(["^"] * (3 - len(shapes)) + shapes[::-1])
+
+
+def _upper_tail(z: np.ndarray) -> np.ndarray:
+    return np.maximum(1e-300, 0.5 * np.vectorize(math.erfc, otypes=[float])(z / math.sqrt(2)))
+
+
+class CensoredFit:
+    """Log-normal lengths of one source, right-censored at ``at`` (ascending), by maximum likelihood.
+
+    A text comes under the limit ``at[j]`` with probability ``share[j]``, or under none (the last share); it is seen
+    at its own length, or at its limit if it is longer. Both the density and the shares come from expectation
+    maximisation over the histogram.
+    """
+
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, at: np.ndarray, rounds: int = 500):
+        self.lengths, self.at, n = lengths, at, counts.astype(float)
+        x = np.log(lengths)
+        k, total = len(at), n.sum()
+        place = np.searchsorted(lengths, at)
+        self.share = np.full(k + 1, 1.0 / (k + 1))
+        # ahead[j, i]: whether a whole text of length i may come under limit j.
+        ahead = np.vstack([lengths[None, :] <= at[:, None], np.ones((1, len(lengths)), bool)]) if k else np.ones((1, len(lengths)), bool)
+        self.mu = float(np.average(x, weights=n))
+        self.sd = max(0.05, math.sqrt(float(np.average((x - self.mu) ** 2, weights=n))))
+        for _ in range(rounds):
+            cut_mass = self.spike() if k else np.zeros(0)
+            whole_mass = self.density(at) * self.reach(at) if k else np.zeros(0)
+            held = n[place] * cut_mass / np.maximum(cut_mass + whole_mass, 1e-300)
+            whole = n.copy()
+            whole[place] -= held
+            z = (np.log(at) - self.mu) / self.sd if k else np.zeros(0)
+            hazard = np.exp(-z * z / 2) / math.sqrt(2 * math.pi) / _upper_tail(z) if k else np.zeros(0)
+            first = self.mu + self.sd * hazard
+            second = self.sd**2 * (1 + z * hazard) + self.mu**2 + 2 * self.sd * self.mu * hazard
+            m1 = ((whole * x).sum() + (held * first).sum()) / total
+            m2 = ((whole * x * x).sum() + (held * second).sum()) / total
+            weight = self.share[:, None] * ahead
+            of_limit = (weight / np.maximum(weight.sum(0), 1e-300) * whole).sum(1)
+            of_limit[:k] += held
+            settled = abs(m1 - self.mu) < 1e-6 and np.abs(of_limit / total - self.share).max() < 1e-6
+            self.mu, self.sd, self.share = float(m1), math.sqrt(max(0.0025, m2 - m1 * m1)), of_limit / total
+            if settled:
+                break
+
+    def density(self, lengths: np.ndarray) -> np.ndarray:
+        """The probability of each length as such."""
+        z = (np.log(lengths) - self.mu) / self.sd
+        return np.exp(-z * z / 2) / (lengths * self.sd * math.sqrt(2 * math.pi))
+
+    def reach(self, lengths: np.ndarray) -> np.ndarray:
+        """The share of texts that are seen whole at each length, if they have it."""
+        return self.share[-1] + (self.share[:-1, None] * (self.at[:, None] >= lengths[None, :])).sum(0)
+
+    def spike(self) -> np.ndarray:
+        """The probability of being cut at each limit."""
+        return self.share[:-1] * _upper_tail((np.log(self.at) - self.mu) / self.sd)
+
+    def censored(self) -> np.ndarray:
+        """For a text at each limit, the posterior of being cut there."""
+        cut_mass, whole = self.spike(), self.density(self.at) * self.reach(self.at)
+        return cut_mass / np.maximum(cut_mass + whole, 1e-300)
 
 
 def limits(sizes: pd.DataFrame) -> list[dict]:
-    """The candidate limits of one source and measure, from its lengths and their counts."""
+    """The limits of one source and measure, from its lengths and their counts.
+
+    The length that stands out most from the fit becomes a limit and the fit is repeated with it, until none stands out.
+    """
     sizes = sizes[sizes["length"] > 0].sort_values("length")
     lengths, counts = sizes["length"].to_numpy(float), sizes["n"].to_numpy(float)
-    total, out = counts.sum(), []
-    beyond = total - np.cumsum(counts)
-    for i in np.flatnonzero((counts >= LIMIT_TEXTS) & (beyond <= np.maximum(total * 0.2, MARK_LENGTH))):
-        limit, seen = lengths[i], counts[i]
-        if counts[lengths > limit + MARK_LENGTH].sum() > total * LIMIT_PASS:
-            continue
-        mu, sd = fit_censored(lengths, counts, limit)
-        z = (math.log(limit) - mu) / sd
-        expected = total * math.exp(-z * z / 2) / (limit * sd * math.sqrt(2 * math.pi))
-        near = (np.abs(lengths - limit) <= 30) & (np.abs(lengths - limit) > MARK_LENGTH) & (lengths < limit)
-        expected = max(expected, counts[near].sum() / (30 - MARK_LENGTH), 0.05)
-        if seen >= LIMIT_TIMES * expected:
-            out.append({"length": int(limit), "seen": int(seen), "expected": expected, "censored": min(0.995, 1 - expected / seen), "mu": mu, "sd": sd})
-    return out
+    if not len(lengths):
+        return []
+    total, at = counts.sum(), np.zeros(0)
+    stays = counts / np.cumsum(counts[::-1])[::-1]
+    able = (counts >= LIMIT_TEXTS) & (stays >= LIMIT_SHARE)
+    while True:
+        fit = CensoredFit(lengths, counts, at)
+        expected = np.maximum(total * fit.density(lengths) * fit.reach(lengths), 1e-12)
+        # The bound of Chernoff on so many texts at one length, for all lengths of the histogram.
+        log_tail = counts - expected - counts * np.log(counts / expected)
+        out = able & (counts >= LIMIT_TIMES * expected) & (log_tail < math.log(RARE / len(lengths))) & ~np.isin(lengths, at)
+        if not out.any():
+            break
+        at = np.sort(np.append(at, lengths[out][np.argmin(log_tail[out])]))
+    seen = counts[np.searchsorted(lengths, at)]
+    explained = total * fit.density(at) * fit.reach(at)
+    return [
+        {"length": int(a), "seen": int(n), "expected": float(e), "censored": float(min(0.995, c)), "mu": fit.mu, "sd": fit.sd}
+        for a, n, e, c in zip(at, seen, explained, fit.censored())
+    ]
 
 
 def field_limits(texts: DataFrame) -> DataFrame:
@@ -150,27 +217,29 @@ def known_words(texts: DataFrame) -> set[str]:
 
 
 def _endings(texts: DataFrame, known: set[str]) -> DataFrame:
-    """For each text its real ending (trial 0) and TRIALS random cuts: (id, source, kind, mark, trial, c1, c2, c3, closed)."""
-    shared = texts.sparkSession.sparkContext.broadcast(known)
+    """For each text its real ending, and counted for each batch how TRIALS random cuts of every text end.
+
+    (id, source, kind, mark, c3, closed, chars, bytes, n): trials have a null id.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(sorted(known))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = shared.value
-        beginnings = {w[:k] for w in words for k in range(1, len(w))}
+        own = set(words)
         for batch in batches:
-            rows = []
+            rows, trials = [], Counter()
             for i, source, kind, text, chars, octets in zip(*(batch[c] for c in ("id", "source", "kind", "text", "chars", "bytes"))):
                 body, mark = mark_of(text)
-                closed = bool(regex.search(r"(?<![$\d])[\p{L}\p{M}\d%)\"»”']*[.!?。？！][\"”»')]*$|\(\d{4}\)$", body[-60:])) and mark != "ellipsis"
-                rows.append((i, source, kind, mark, 0, *contexts(body, words, beginnings), closed, chars, octets))
+                rows.append((i, source, kind, mark, context(body, len(body), own, words), is_closed(body) and mark != "ellipsis", chars, octets, 1))
                 seed = zlib.crc32(f"{i} {len(text)}".encode())
-                for t in range(1, TRIALS + 1):
+                for _ in range(TRIALS):
                     seed = (seed * 1103515245 + 12345) & 0x7FFFFFFF
-                    at = 1 + seed % max(1, len(body))
-                    rows.append((i, source, kind, "", t, *contexts(body[:at].rstrip(), words, beginnings), False, 0, 0))
-            yield pd.DataFrame(rows, columns=["id", "source", "kind", "mark", "trial", "c1", "c2", "c3", "closed", "chars", "bytes"])
+                    trials[kind, context(body, 1 + seed % max(1, len(body)), own, words)] += 1
+            rows += [(None, None, kind, None, c3, None, None, None, n) for (kind, c3), n in trials.items()]
+            out = pd.DataFrame(rows, columns=["id", "source", "kind", "mark", "c3", "closed", "chars", "bytes", "n"])
+            yield out.astype({"id": "Int64", "closed": "boolean", "chars": "Int32", "bytes": "Int32"})
 
-    schema = "id bigint, source string, kind string, mark string, trial int, c1 string, c2 string, c3 string, closed boolean, chars int, bytes int"
-    return texts.mapInPandas(run, schema)
+    return texts.mapInPandas(run, "id bigint, source string, kind string, mark string, c3 string, closed boolean, chars int, bytes int, n bigint")
 
 
 def _logit(p: Column) -> Column:
@@ -178,12 +247,17 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def _shorter(endings: DataFrame) -> DataFrame:
+    """``endings`` with the last token ``c1`` and the last two ``c2`` of the context."""
+    tokens = F.split("c3", " ")
+    return endings.withColumns({"c1": F.element_at(tokens, -1), "c2": F.array_join(F.slice(tokens, 2, 2), " ")})
+
+
 def _expected(endings: DataFrame) -> DataFrame:
     """(kind, c1, c2, c3, a1, a2, a3): for the contexts that end texts, how many cuts at START_RATE end so."""
-    real = endings.where("trial = 0")
-    scale = START_RATE * real.count() / max(1, endings.where("trial > 0").count())
-    trials = endings.where("trial > 0").groupBy("kind", "c1", "c2", "c3").agg((F.count(F.lit(1)) * scale).alias("a"))
-    contexts = real.select("kind", "c1", "c2", "c3").distinct()
+    trials = endings.where("id is null").groupBy("kind", "c3").agg((F.sum("n") * (START_RATE / TRIALS)).alias("a"))
+    trials = cut(_shorter(trials))
+    contexts = _shorter(endings.where("id is not null").select("kind", "c3").distinct())
     for k in (3, 2, 1):
         of = trials.groupBy("kind", f"c{k}").agg(F.sum("a").alias(f"a{k}"))
         contexts = contexts.join(of, ["kind", f"c{k}"], "left")
@@ -254,7 +328,7 @@ def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     expected = cut(_expected(endings))
 
     at = lambda m: bounds.where(F.col("measure") == m).select("source", F.col("length").alias(m), F.col("censored").alias(f"at_{m}"))
-    real = endings.where("trial = 0").join(at("chars"), ["source", "chars"], "left").join(at("bytes"), ["source", "bytes"], "left")
+    real = endings.where("id is not null").drop("n").join(at("chars"), ["source", "chars"], "left").join(at("bytes"), ["source", "bytes"], "left")
     # Texts of one state are alike in all that bears on the posterior; -1 is no limit.
     state = ["source", "kind", "mark", "closed", "c3", "censored"]
     held = cut(real.withColumn("censored", F.coalesce(F.greatest("at_chars", "at_bytes"), F.lit(-1.0))).select("id", *state))
