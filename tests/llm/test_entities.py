@@ -2,6 +2,8 @@
 
 import itertools
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from umbraline.llm import address_rewrites as A
@@ -92,8 +94,8 @@ def test_variants_of_one_name_and_relatives(spark):
 
 
 def test_limits_are_found_and_natural_lengths_are_none():
-    import numpy as np
-    import pandas as pd
+
+
 
     lengths = np.exp(np.random.default_rng(1).normal(6, 0.6, 3000)).astype(int) + 1
     counts = lambda x: pd.Series(x).value_counts().rename_axis("length").reset_index(name="n")
