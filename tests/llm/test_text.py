@@ -4,6 +4,7 @@ import itertools
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from umbraline.llm import lookalike, refinement, weak_spans
 
@@ -67,8 +68,6 @@ RECORDS = [
 
 
 def test_formatting_copies(spark):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame(RECORDS, "id bigint, text string").selectExpr("*", "'t' kind", "'y' first_id", "1 level")
     found = {(r.first_id, r.copies) for r in refinement.copies(df, "id", "text", ["kind"], F.lit(True)).collect()}
     assert found == {(1, 3), (7, 2)}
@@ -78,8 +77,6 @@ def test_formatting_copies(spark):
 
 
 def test_many_copies_of_one_record(spark):
-    from pyspark.sql import functions as F
-
     df = spark.range(3000).selectExpr("id", "CASE id % 3 WHEN 0 THEN 'a: x; b: y' WHEN 1 THEN 'B=Y | A=X' ELSE concat('a: ', id) END text")
     found = [(r.first_id, r.copies) for r in refinement.copies(df, "id", "text", [], F.lit(True)).collect()]
     assert found == [(0, 2000)]
@@ -118,3 +115,15 @@ def test_proposals_of_odd_texts(text):
     proposer = weak_spans.Proposer({"anna"}, set())
     for a, b, shape in proposer.spans(text):
         assert 0 <= a < b <= len(text) and len(proposer.votes(text, a, b, shape)) == 6
+
+
+def test_labels_of_several_words_and_rare_ones(spark):
+    texts = [
+        "Payer: A Co; Date of birth: 1/2/90; Name: Bo", "Name: Bo | Date of birth: 1/2/90 | Payer: A Co", "date of birth = 1/2/90; name = bo; payer = a co",
+        "Payer: A Co; Date of hire: 1/2/90; Name: Bo",  # the value stands under another label
+        "DATE OF BIRTH: 1/2/90 NAME: BO PAYER: A CO",  # no borders: the labels are known from the others
+    ]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10 + i, f"Name: P{i}; Payer: X{i} Co; Phone: 555{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    found = {(r.first_id, r.copies) for r in refinement.copies(df, "id", "text", [], F.lit(True)).collect()}
+    assert found == {(0, 4)}
