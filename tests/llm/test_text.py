@@ -127,3 +127,9 @@ def test_labels_of_several_words_and_rare_ones(spark):
     df = spark.createDataFrame(rows, "id bigint, text string")
     found = {(r.first_id, r.copies) for r in refinement.copies(df, "id", "text", [], F.lit(True)).collect()}
     assert found == {(0, 4)}
+
+
+def test_a_very_long_text_is_one_text(spark):
+    long = "​Аé" * 60_000
+    df = spark.createDataFrame([(1, "g", long), (2, "g", "Aé" * 60_000), (3, "g", "ⅼ"), (4, "g", "l")], "id bigint, g string, text string")
+    assert {(r.id_a, r.id_b) for r in lookalike.same_look_pairs(df, ["g"], "id").collect()} == {(1, 2), (3, 4)}

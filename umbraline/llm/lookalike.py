@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from umbraline.plans.lineage import cut
+
 # Letters and signs of other scripts beside the Latin ones of the same shape.
 LOOKALIKES = (
     "АA ВB СC ЕE НH ІI ЈJ КK МM ОO РP ЅS ТT ХX УY ҮY ԌG ԚQ ԜW "  # Cyrillic capitals
@@ -39,7 +41,7 @@ def _looks(ch: str) -> str:
     if 0xAC00 <= ord(ch) <= 0xD7A3:  # Hangul syllables stay whole
         return ch
     tag, _, rest = unicodedata.decomposition(ch).partition(" ")
-    if tag in SAME_LOOK or (tag == "<compat>" and category in ("Lu", "Ll") and len(rest.split()) > 1):
+    if tag in SAME_LOOK or (tag == "<compat>" and (category == "Nl" or (category in ("Lu", "Ll") and len(rest.split()) > 1))):
         return "".join(_looks(chr(int(x, 16))) for x in rest.split())
     pairs = _pairs()
     return "".join(pairs.get(x, x) for x in unicodedata.normalize("NFD", ch))
@@ -90,27 +92,28 @@ def canonical_texts(texts: DataFrame) -> DataFrame:
 
     Two marks of a cluster are recomposed, further ones stay behind the letter. A text of which
     nothing shows gets ''. Null texts are left out; whole texts are processed whatever their length.
+    The code points carry the number of their text, which is joined again at the end, so the work
+    grows with the characters and not with their square.
     """
     looks, pairs = _tables(texts.sparkSession)
-    distinct = texts.select("text").where(F.col("text").rlike(r"[^\x00-\x7F]")).distinct()
-    points = distinct.select("text", F.posexplode(F.split("text", "")).alias("pos", "ch"))
+    # Numbered and cut: the numbers must not change when a task runs again.
+    distinct = cut(texts.select("text").where(F.col("text").rlike(r"[^\x00-\x7F]")).distinct().withColumn("n", F.monotonically_increasing_id()))
+    points = distinct.select("n", F.posexplode(F.split("text", "")).alias("pos", "ch"))
     shown = points.join(looks, "ch", "left").select(
-        "text", "pos", F.posexplode_outer(F.coalesce("looks", F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("class"))))).alias("sub", "x")
+        "n", "pos", F.posexplode_outer(F.coalesce("looks", F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("class"))))).alias("sub", "x")
     )
-    in_order = Window.partitionBy("text").orderBy("pos", "sub")
-    clustered = shown.select("text", "pos", "sub", "x.c", "x.class", F.sum((F.coalesce("x.class", F.lit(1)) == 0).cast("int")).over(in_order).alias("cluster"))
-    clusters = clustered.groupBy("text", "cluster").agg(
-        F.sort_array(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("class", "pos", "sub", "c")))).alias("parts")
-    )
+    in_order = Window.partitionBy("n").orderBy("pos", "sub")
+    clustered = shown.select("n", "pos", "sub", "x.c", "x.class", F.sum((F.coalesce("x.class", F.lit(1)) == 0).cast("int")).over(in_order).alias("cluster"))
+    clusters = clustered.groupBy("n", "cluster").agg(F.sort_array(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("class", "pos", "sub", "c")))).alias("parts"))
     part = lambda i: F.coalesce(F.get(F.col("parts"), F.lit(i))["c"], F.lit(""))
     one = clusters.withColumn("pair", F.concat(part(0), part(1))).join(pairs, "pair", "left")
     first = F.coalesce("composed", F.concat(part(0), part(1)))
-    two = one.select("text", "cluster", "parts", first.alias("head")).withColumn("pair", F.concat("head", part(2))).join(pairs, "pair", "left")
+    two = one.select("n", "cluster", "parts", first.alias("head")).withColumn("pair", F.concat("head", part(2))).join(pairs, "pair", "left")
     rest = F.array_join(F.transform(F.slice("parts", 4, F.greatest(F.size("parts") - 3, F.lit(1))), lambda p: p["c"]), "")
     put = F.when(F.size("parts") == 0, "").otherwise(F.concat(F.coalesce("composed", F.concat("head", part(2))), rest))
-    letters = two.select("text", F.struct("cluster", put.alias("c")).alias("piece"))
-    joined = letters.groupBy("text").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
-    return joined.select("text", F.array_join(F.transform("pieces", lambda p: p["c"]), "").alias("canonical"))
+    letters = two.select("n", F.struct("cluster", put.alias("c")).alias("piece"))
+    joined = letters.groupBy("n").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+    return distinct.join(joined.select("n", F.array_join(F.transform("pieces", lambda p: p["c"]), "").alias("canonical")), "n").select("text", "canonical")
 
 
 def canonical_form(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -133,8 +136,8 @@ def same_look_pairs(df: DataFrame, group_cols: list[str], id_col: str, text_col:
     )
     if keep is not None:
         rows = rows.where(keep)
-    forms = canonical_form(rows, "__text").distinct()
-    several = forms.groupBy(*group_cols, "canonical").agg(F.count_distinct("__text").alias("n")).where("n > 1").drop("n")
+    forms = cut(canonical_form(rows, "__text").distinct())
+    several = forms.groupBy(*group_cols, "canonical").agg(F.min("__text").alias("x"), F.max("__text").alias("y")).where("x < y").drop("x", "y")
     members = forms.join(several, [*group_cols, "canonical"], "left_semi")
     a = members.withColumnsRenamed({"__id": "ida", "__text": "ta"})
     b = members.withColumnsRenamed({"__id": "idb", "__text": "tb"})
