@@ -1,6 +1,7 @@
 """Addresses, names and truncated texts."""
 
 import itertools
+import time
 
 import numpy as np
 import pandas as pd
@@ -198,3 +199,24 @@ def test_endings_are_read_from_the_end():
     assert C.context("", 0, known, words) == "^ ^ ^" and C.context("報告", 2, known, words) == "^ 報 告".replace("報", "Aa" if "報".isupper() else "aa").replace("告", "aa")
     assert C.mark_of("cut...\n") == ("cut", "ellipsis") and C.mark_of("cut\n") == ("cut", "newline") and C.mark_of("...") == ("", "ellipsis")
     assert C.is_closed('It was "sent."') and C.is_closed("due 12.") and not C.is_closed("due $12.") and not C.is_closed("and") and not C.is_closed("")
+
+
+def test_many_places_of_one_street_are_resolved_in_linear_time():
+    rows = [
+        {"dir": "", "kind": ("street", "")[i % 2], "unit": "", "city": f"c{i // 2:05d}ville", "state": "ca", "zip": f"{10000 + i // 2}", "n": 1}
+        for i in range(20_000)
+    ]
+    began = time.perf_counter()
+    found = A.resolve([*rows, dict(rows[0], city="", zip="")])
+    assert time.perf_counter() - began < 20
+    assert all(found[i] == found[i + 1] for i in range(0, 20_000, 2))
+
+
+def test_misspelt_street_names_are_rewritten_by_evidence(spark):
+    names = ["Kilnwood", *(f"{a}{b}" for a in ("Amber", "Osprey", "Russet", "Walnut", "Indigo") for b in ("lock", "glen", "fell", "mere", "shaw"))]
+    rows = [(i, f"{100 + i % 52} {names[i % 26]} Street, Norville, OH 45{100 + i % 52}") for i in range(104)]
+    rows += [(900, "126 Kilnwod Street, Norville, OH 45126"), (901, "Norville, 126 Kilnwood Street, OH 45126")]
+    texts = spark.createDataFrame([(i, t, 1) for i, t in rows], "rid bigint, text string, n bigint")
+    parsed, known = A.mine(texts)
+    assert ("name", "kilnwod", "kilnwood") in {tuple(r) for r in known.collect()}
+    assert {r.name for r in parsed.where("rid in (900, 901)").collect()} == {"kilnwood"}

@@ -1,16 +1,15 @@
 """One location behind many spellings of a postal address.
 
 Each distinct text is parsed into number, direction, street name, kind of street, unit or box, city,
-state and postal code. Addresses that agree elsewhere show which tokens stand for each other; the
-statistically significant pairs become rewrites, all texts are parsed again with them, and this
-goes on until no new rewrite appears. Single slips in street names are linked by deletion variants
-among addresses of one number. Within one number and street the parts a record leaves out are then
-filled from the records that have them.
+state and postal code. Addresses that agree elsewhere show which kinds, cities and street names stand
+for each other; the statistically significant pairs become rewrites, the texts that hold one are parsed
+again, and this goes on until no new rewrite appears. The rewrites are a table that is joined to the
+tokens of the texts, so neither their number nor their evidence is bounded by the driver. Within one
+number and street the parts a record leaves out are then filled from the records that have them.
 """
 
 from __future__ import annotations
 
-import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -46,12 +45,11 @@ KINDS = set(
     "alley avenue boulevard circle common court crescent crossing drive expressway freeway highway lane loop parkway path place plaza "
     "road row square street terrace trail turnpike walk way".split()
 )
-#: Significance of a rewrite: likelihood ratio statistic of the pair against chance.
-LEAST_G = 15.0
-#: A rewrite that is applied everywhere has at least this share of the distinct addresses behind it, and two (so there are at most 20,000).
-REWRITE_SHARE = 0.00005
+#: Significance of a rewrite: likelihood ratio statistic of the pair against chance, for tokens and for whole street
+#: names, of which one sighting can be enough where hardly two streets ever share a number and a place.
+LEAST_G, LEAST_NAME_G = 15.0, 9.0
+#: Share of the streets that have a word before their kind; so there are at most a hundred such words.
 SECOND_SHARE = 0.01
-ROUNDS = 6
 
 Rewrites = dict[tuple[str, str], str]
 
@@ -120,6 +118,7 @@ class Parser:
             unit, t = m.group(1), t[m.end() :]
         parts = [x for x in _SPLIT(" # ".join(x.strip() for x in t.split("#")).strip()) if x]
         toks = [(w.strip("'\"()"), k) for k, x in enumerate(parts) for w in x.split() if w.strip("'\"()-")]
+        held = sorted({w for w, _ in toks})
         toks, box = self._box(toks)
         toks, found = self._unit(toks)
         unit = unit or found
@@ -144,7 +143,7 @@ class Parser:
             direction, city = DIRECTIONS[city[-1]], city[:-1]
         return {
             "num": f"box {box}" if box else toks[number][0].lstrip("0") or "0", "dir": direction, "name": " ".join(name), "kind": kind,
-            "tentative": tentative, "unit": unit.replace("-", ""), "city": " ".join(city), "state": state, "zip": code,
+            "tentative": tentative, "unit": unit.replace("-", ""), "city": " ".join(city), "state": state, "zip": code, "words": held,
         }
 
     @staticmethod
@@ -193,21 +192,18 @@ class Parser:
             left = words[at + 1 :]
             if left and not direction and left[0] in DIRECTIONS:
                 direction, left = DIRECTIONS[left[0]], left[1:]
-            return self._spelt(words[:at]), self.kind(words[at]), direction, left, False
+            return words[:at], self.kind(words[at]), direction, left, False
         if separated and len(words) > 1 and words[-1] in DIRECTIONS and not direction:
             direction, words = DIRECTIONS[words[-1]], words[:-1]
         second = next((j for j in range(1, len(words)) if words[j] in self.second), None)
         if second is not None:
             last = words[second + 1 :]
             if separated and len(last) == 1 and last[0] not in CODES:
-                return self._spelt(words[: second + 1]), last[0], direction, [], True
-            return self._spelt(words[: second + 1]), "", direction, last, False
+                return words[: second + 1], last[0], direction, [], True
+            return words[: second + 1], "", direction, last, False
         if separated and len(words) == 2:
-            return self._spelt(words[:1]), words[1], direction, [], True
-        return (self._spelt(words), "", direction, [], False) if separated else (self._spelt(words[:1]), "", direction, words[1:], False)
-
-    def _spelt(self, words: list[str]) -> list[str]:
-        return [self.rewrites.get(("name", w), w) for w in words]
+            return words[:1], words[1], direction, [], True
+        return (words, "", direction, [], False) if separated else (words[:1], "", direction, words[1:], False)
 
     def _place(self, rest: list, zips: set[int]) -> tuple[str, list[str]]:
         words = [(w, k) for i, (w, k) in enumerate(rest) if i not in zips and is_word(w)]
@@ -229,28 +225,49 @@ class Parser:
         return state, [self.rewrites.get(("city", w), w) for w, _ in words]
 
 
-_FIELDS = "num string, dir string, name string, kind string, tentative boolean, unit string, city string, state string, zip string"
-PARTS = ["num", "dir", "name", "kind", "tentative", "unit", "city", "state", "zip"]
+_FIELDS = "num string, dir string, name string, kind string, tentative boolean, unit string, city string, state string, zip string, words array<string>"
+PARTS = ["num", "dir", "name", "kind", "tentative", "unit", "city", "state", "zip", "words"]
+_REWRITES = "array<struct<role:string,a:string,b:string>>"
 
 
-def _parsed(texts: DataFrame, rewrites: Rewrites, second: set[str]) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast((rewrites, second))
+def _parsed(texts: DataFrame) -> DataFrame:
+    """``texts`` (rid, text, n, told) with the parts of each; ``told`` are the rewrites of the text's own tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parser = Parser(*shared.value)
+        none = dict.fromkeys(PARTS, "") | {"tentative": False, "num": None, "words": []}
         for batch in batches:
-            rows = [parser.parse(t) for t in batch["text"]]
-            none = dict.fromkeys(PARTS, "") | {"tentative": False, "num": None}
-            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame([r or none for r in rows], columns=PARTS)], axis=1)
+            rows = []
+            for text, told in zip(batch["text"], batch["told"]):
+                told = [] if told is None else list(told)
+                parser = Parser({(t["role"], t["a"]): t["b"] for t in told}, {t["a"] for t in told if t["role"] == "second"})
+                rows.append(parser.parse(text) or none)
+            yield pd.concat([batch[["rid", "text", "n"]].reset_index(drop=True), pd.DataFrame(rows, columns=PARTS)], axis=1)
+
+    return texts.mapInPandas(run, f"rid bigint, text string, n bigint, {_FIELDS}")
+
 
-    return texts.mapInPandas(run, f"text string, n bigint, {_FIELDS}")
+def _variant(a: Column, b: Column) -> Column:
+    """Whether ``a`` can be an abbreviation of ``b``: same first letter, letters in order."""
+    in_order = F.concat(F.lit("^"), F.regexp_replace(a, "(.)", r"\\Q$1\\E.*"))
+    return (F.length(a) < F.length(b)) & F.regexp_like(b, in_order)
 
 
-def _second_words(parsed: DataFrame) -> set[str]:
-    """Words right before the kind in at least SECOND_SHARE of the streets: at most a hundred."""
-    last = parsed.where("kind <> '' and not tentative and name like '% %'").select(F.element_at(F.split("name", " "), -1).alias("w"))
-    total = parsed.where("num is not null").count()
-    return {r.w for r in last.groupBy("w").count().where(F.col("count") >= max(2, total * SECOND_SHARE)).collect()}
+def _settled_kinds(parsed: DataFrame) -> DataFrame:
+    """A tentative kind that no rewrite explains was the city, or else part of the name."""
+    lost, placeless = F.col("tentative"), F.col("city") == ""
+    return parsed.withColumns({
+        "name": F.when(lost & ~placeless, F.concat_ws(" ", "name", "kind")).otherwise(F.col("name")),
+        "city": F.when(lost & placeless, F.col("kind")).otherwise(F.col("city")),
+        "kind": F.when(lost, "").otherwise(F.col("kind")),
+    })
+
+
+def _second_words(parsed: DataFrame) -> DataFrame:
+    """(role, a, b): words right before the kind in at least SECOND_SHARE of the streets."""
+    last = parsed.where("kind <> '' and not tentative and name like '% %'").select(F.element_at(F.split("name", " "), -1).alias("a"))
+    total = parsed.where("num is not null").agg(F.count(F.lit(1)).alias("total"))  # one row
+    counted = last.groupBy("a").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total))
+    return counted.where(F.col("n") >= F.greatest(F.lit(2.0), F.col("total") * SECOND_SHARE)).select(F.lit("second").alias("role"), "a", F.col("a").alias("b"))
 
 
 def _evidence(parsed: DataFrame) -> DataFrame:
@@ -269,52 +286,33 @@ def _evidence(parsed: DataFrame) -> DataFrame:
     pairs = cities.withColumn("usual", usual).where("city <> usual").select(F.split("city", " ").alias("x"), F.split("usual", " ").alias("y"))
     diff = F.filter(F.arrays_zip("x", "y"), lambda p: p["x"] != p["y"])
     tokens = pairs.where(F.size("x") == F.size("y")).withColumn("d", diff).where(F.size("d") == 1)
-    tokens = tokens.select(F.lit("city").alias("role"), F.col("d")[0]["x"].alias("a"), F.col("d")[0]["y"].alias("b"))
+    tokens = tokens.select(F.lit("city").alias("role"), F.get("d", F.lit(0))["x"].alias("a"), F.get("d", F.lit(0))["y"].alias("b"))
     return kinds.unionByName(tokens).groupBy("role", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def significant(evidence: list[tuple[str, str, str, int]], seen: Counter, total: int, least: float) -> Rewrites:
-    """The rewrites: one for each token, to where it stands most often, if the pair beats chance and looks like a variant."""
-    best: dict[tuple[str, str], tuple[int, str]] = {}
-    stands: Counter = Counter()
-    for role, a, _, n in evidence:
-        stands[role, a] += n
-    for role, a, b, n in evidence:
-        chance = max(seen[role, a], n) * max(seen[role, b], n) / max(total, 1)
-        g = 2 * n * math.log(max(n / max(chance, 1e-9), 1e-9))
-        # The stated abbreviations are of any frequency, a misspelling is rare beside its word.
-        variant = stands_for(a, b) or (within_one_slip(a, b) and seen[role, a] * 5 <= seen[role, b])
-        # A kind may be written in ways that share no letters, if it hardly ever stands for anything else.
-        variant = variant or (role == "kind" and n >= 2 * least and n >= 0.8 * stands[role, a])
-        if n >= least and g >= LEAST_G and variant and a not in KINDS and (n, b) > best.get((role, a), (0, "")):
-            best[role, a] = (n, b)
-    return {k: b for k, (_, b) in best.items()}
-
-
-def mine(texts: DataFrame) -> tuple[DataFrame, Rewrites]:
-    """``texts`` (text, n) parsed with all rewrites, and the rewrites: mined in rounds until no new one appears."""
-    rewrites, second = {}, set()
-    parsed = cut(_parsed(texts, rewrites, second))
-    for turn in range(ROUNDS):
-        second = second | _second_words(parsed)
-        total = parsed.where("num is not null").count()
-        least = max(2.0, total * REWRITE_SHARE)
-        evidence = [(r.role, r.a, r.b, r.n) for r in _evidence(parsed).where(F.col("n") >= least).collect()]
-        tokens = parsed.where("num is not null").select(
-            F.explode(F.concat(F.array(F.struct(F.lit("kind").alias("role"), F.col("kind").alias("w"))),
-                               F.transform(F.split("city", " "), lambda w: F.struct(F.lit("city").alias("role"), w.alias("w"))))).alias("t")
-        )
-        wanted = {(role, x) for role, a, b, _ in evidence for x in (a, b)}
-        wanted_df = texts.sparkSession.createDataFrame(sorted(wanted) or [("", "")], "role string, w string")
-        counted = tokens.select("t.role", "t.w").join(F.broadcast(wanted_df), ["role", "w"], "left_semi").groupBy("role", "w").count()
-        seen = Counter({(r.role, r.w): r["count"] for r in counted.collect()})
-        new = {k: v for k, v in significant(evidence, seen, total, least).items() if k not in rewrites}
-        if not new and turn:
-            break
-        rewrites |= new
-        rewrites = {k: rewrites.get((k[0], v), v) for k, v in rewrites.items()}
-        parsed = cut(_parsed(texts, rewrites, second))
-    return parsed, rewrites
+def _g(n: Column, chance: Column) -> Column:
+    return 2 * n * F.log(n / F.greatest(chance, F.lit(1e-12)))
+
+
+def token_rewrites(parsed: DataFrame) -> DataFrame:
+    """(role, a, b): one rewrite for each token, to where it stands most often, if the pair beats chance and looks like a variant."""
+    placed = parsed.where("num is not null")
+    item = lambda role, w: F.struct(F.lit(role).alias("role"), w.alias("w"))
+    tokens = placed.select(F.explode(F.concat(F.array(item("kind", F.col("kind"))), F.transform(F.split("city", " "), lambda w: item("city", w)))).alias("t"))
+    seen = tokens.where("t.w <> ''").groupBy("t.role", "t.w").agg(F.count(F.lit(1)).alias("seen"))
+    evidence = _evidence(parsed).where("n >= 2").withColumn("stands", F.sum("n").over(Window.partitionBy("role", "a")))
+    pairs = evidence.join(seen.withColumnsRenamed({"w": "a", "seen": "seen_a"}), ["role", "a"]).join(seen.withColumnsRenamed({"w": "b", "seen": "seen_b"}), ["role", "b"])
+    pairs = pairs.crossJoin(F.broadcast(placed.agg(F.count(F.lit(1)).alias("total"))))  # one row
+    chance = F.greatest("seen_a", "n") * F.greatest("seen_b", "n") / F.col("total")
+    # The stated abbreviations are of any frequency, a misspelling is rare beside its word.
+    variant = _variant(F.col("a"), F.col("b")) | (_one_slip(F.col("a"), F.col("b")) & (F.col("seen_a") * 5 <= F.col("seen_b")))
+    # A kind may be written in ways that share no letters, if it hardly ever stands for anything else.
+    variant = variant | ((F.col("role") == "kind") & (F.col("n") >= 4) & (F.col("n") >= 0.8 * F.col("stands")))
+    good = pairs.where(variant & ~F.col("a").isin(sorted(KINDS)) & (_g(F.col("n"), chance) >= LEAST_G))
+    best = good.groupBy("role", "a").agg(F.max(F.struct("n", "b")).alias("x")).select("role", "a", "x.b")
+    # Of two that stand for each other the one that comes later in the alphabet gives way.
+    back = best.select("role", F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("both"))
+    return best.join(back, ["role", "a", "b"], "left").where("both is null or a > b").select("role", "a", "b")
 
 
 def _deletions(word: Column) -> Column:
@@ -332,88 +330,141 @@ def _one_slip(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b) <= 1) | ((F.length(a) == F.length(b)) & (F.levenshtein(a, b) == 2) & same_letters)
 
 
-def _spelling(parsed: DataFrame, field: str) -> DataFrame:
-    """(w, right): each word of ``field`` that is one slip from a single word at least eight times as frequent."""
-    words = parsed.where("num is not null").select(F.explode(F.split(field, " ")).alias("w")).where(F.length("w") >= 5)
-    counted = cut(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
-    keyed = counted.select("w", "n", F.explode(_deletions(F.col("w"))).alias("v"))
-    right = keyed.where("n >= 8").select(F.col("w").alias("b"), F.col("n").alias("nb"), "v")
-    pairs = keyed.join(right, "v").where((F.col("nb") >= 8 * F.col("n")) & _one_slip(F.col("w"), F.col("b")))
-    return pairs.groupBy("w").agg(F.count_distinct("b").alias("options"), F.first("b").alias("right")).where("options = 1").select("w", "right")
-
-
-def _respelt(parsed: DataFrame, field: str) -> DataFrame:
-    """``parsed`` with the misspelt words of ``field`` set right; each distinct value is looked up once."""
-    values = parsed.where(F.col(field) != "").select(F.col(field).alias("value")).distinct()
-    words = values.select("value", F.posexplode(F.split("value", " ")).alias("pos", "w")).join(_spelling(parsed, field), "w", "left")
-    fixed = words.groupBy("value").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("right", "w").alias("w")))).alias("x"), F.count("right").alias("changed"))
-    fixed = fixed.where("changed > 0").select(F.col("value").alias(field), F.array_join(F.transform("x", lambda p: p["w"]), " ").alias("__right"))
-    return parsed.join(fixed, field, "left").withColumn(field, F.coalesce("__right", field)).drop("__right")
-
-
-def _names(parsed: DataFrame) -> DataFrame:
-    """(num, name, canonical): each street name of a number with the usual spelling it is one slip from.
+def name_rewrites(parsed: DataFrame) -> DataFrame:
+    """(a, b): street names that are one slip from another at the same number and place, more often than by chance.
 
-    Names meet at equal deletion variants; a rare spelling goes to the most frequent one that shares
-    a postal code or city with it, or, where it has neither, to the only one there is.
+    By chance two names meet as often as different streets share a number and a place at all, times
+    how frequent both are. A name is rewritten to a more frequent one (the first of the alphabet on
+    a tie) if it stands beside it in at least half of its places. Records without a place meet all
+    names of their number, where chance is greater, and take the only one that fits.
     """
-    base = parsed.where("num is not null and name <> ''").groupBy("num", "name").agg(
-        F.sum("n").alias("n"),
-        F.array_except(F.concat(F.collect_set("zip"), F.collect_set("city")), F.array(F.lit(""))).alias("areas"),
-        F.max((F.col("zip") == "") & (F.col("city") == "")).alias("bare"),
-    )
+    areas = F.filter(F.array(F.col("zip"), F.col("city")), lambda x: x != "")
     squeezed = F.regexp_replace("name", " ", "")
-    base = cut(base.withColumn("s", squeezed))
-    keyed = base.where(F.length("s") >= 4).select("num", "name", "n", "s", "areas", F.explode(_deletions(F.col("s"))).alias("v"))
-    a = keyed.select("num", "v", F.col("name").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"), F.col("areas").alias("areas_a"))
-    b = keyed.select("num", "v", F.col("name").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"), F.col("areas").alias("areas_b"))
-    slip = _one_slip(F.col("sa"), F.col("sb"))
-    linked = (
-        a.join(b, ["num", "v"])
-        .where((F.col("a") != F.col("b")) & slip)
-        .where((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a"))))
-        .where((F.size("areas_a") == 0) | (F.size("areas_b") == 0) | F.arrays_overlap("areas_a", "areas_b"))
-        .groupBy("num", "a")
-        .agg(
-            F.max(F.struct(F.size(F.array_intersect("areas_a", "areas_b")), "nb", "b")).alias("best"),
-            F.count_distinct("b").alias("options"), F.first(F.size("areas_a")).alias("has_area"),
-        )
-    )
-    linked = linked.where("has_area > 0 or options = 1").select("num", F.col("a").alias("name"), F.col("best.b").alias("to"))
-    once = linked.join(linked.select("num", F.col("name").alias("to"), F.col("to").alias("further")), ["num", "to"], "left")
-    once = once.select("num", "name", F.coalesce("further", "to").alias("canonical"))
-    return base.select("num", "name").join(once, ["num", "name"], "left").select("num", "name", F.coalesce("canonical", "name").alias("canonical"))
+    base = parsed.where("num is not null and name <> ''").select("num", "name", squeezed.alias("s"), areas.alias("areas"), "n")
+    seen = cut(base.groupBy("name").agg(F.count_distinct("num").alias("places"), F.sum("n").alias("n")))
+    placed = cut(base.select("num", F.explode_outer("areas").alias("area"), "name", "s").distinct())
+    blocks = placed.where("area is not null").groupBy("num", "area").agg(F.count(F.lit(1)).alias("k"))
+    wide = placed.select("num", "name").distinct().groupBy("num").agg(F.count(F.lit(1)).alias("k"))
+    meets = lambda x, name: x.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias(name))
+    chances = meets(blocks, "near").crossJoin(meets(wide, "far")).crossJoin(seen.agg(F.sum("places").alias("total")))  # one row
+
+    keyed = placed.where(F.length("s") >= 4).select("num", "area", "name", "s", F.explode(_deletions(F.col("s"))).alias("v"))
+    b = keyed.select("num", "area", "v", F.col("name").alias("b"), F.col("s").alias("sb"))
+    slip = _one_slip(F.col("s"), F.col("sb")) & (F.col("name") != F.col("b"))
+    same_place = keyed.where("area is not null").join(b, ["num", "area", "v"]).where(slip).select("num", F.col("name").alias("a"), "b").distinct()
+    near = same_place.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")).withColumn("bare", F.lit(False))
+    bare = keyed.where("area is null").join(b.drop("area"), ["num", "v"]).where(slip).select("num", F.col("name").alias("a"), "b").distinct()
+    bare = bare.groupBy("num", "a").agg(F.min("b").alias("b"), F.max("b").alias("other")).where("b = other").select("num", "a", "b")
+    bare = bare.unionByName(bare.select("num", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()  # either may be the slip
+    far = bare.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")).withColumn("bare", F.lit(True))
+    pairs = near.unionByName(far).join(seen.select(F.col("name").alias("a"), F.col("places").alias("pa"), F.col("n").alias("na")), "a")
+    pairs = pairs.join(seen.select(F.col("name").alias("b"), F.col("places").alias("pb"), F.col("n").alias("nb")), "b").crossJoin(F.broadcast(chances))
+    chance = F.when(F.col("bare"), F.col("far")).otherwise(F.col("near")) * 2 * F.col("pa") * F.col("pb") / F.col("total") / F.col("total")
+    good = pairs.where((F.col("k") * 2 >= F.col("pa")) & ((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))))
+    good = good.where(_g(F.col("k"), chance) >= LEAST_NAME_G)
+    return good.groupBy("a").agg(F.max(F.struct("k", "nb", "b")).alias("x")).select("a", "x.b")
+
+
+def _extended(known: DataFrame, new: DataFrame) -> DataFrame:
+    """``known`` and ``new`` (role, a, b), each led on where its result is itself rewritten."""
+    both = known.unionByName(new)
+    on = both.select("role", F.col("a").alias("b"), F.col("b").alias("further"))
+    return cut(both.join(on, ["role", "b"], "left").select("role", "a", F.coalesce("further", "b").alias("b")))
+
+
+def _respelt(parsed: DataFrame, names: DataFrame) -> DataFrame:
+    """``parsed`` with kinds settled and street names rewritten."""
+    led = names.select(F.col("a").alias("name"), F.col("b").alias("__right"))
+    return _settled_kinds(parsed).join(led, "name", "left").withColumn("name", F.coalesce("__right", "name")).drop("__right")
+
+
+def mine(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``texts`` (rid, text, n) parsed and spelt with all rewrites, and the rewrites (role, a, b), mined until no new one appears.
+
+    Every token and every name is rewritten once at most, so this ends.
+    """
+    spark = texts.sparkSession
+    known = spark.createDataFrame([], "role string, a string, b string")
+    parsed = cut(_parsed(texts.withColumn("told", F.lit(None).cast(_REWRITES))))
+    while True:
+        while True:
+            new = token_rewrites(_spelt_names(parsed, known)).unionByName(_second_words(parsed))
+            new = cut(new.join(known, ["role", "a"], "left_anti"))
+            if new.isEmpty():
+                break
+            known = _extended(known, new)
+            tokens = parsed.where("num is not null").select("rid", F.explode("words").alias("a"))
+            touched = tokens.join(new.select("a").distinct(), "a", "left_semi").select("rid").distinct()
+            told = tokens.join(touched, "rid", "left_semi").join(known.where("role <> 'name'"), "a")
+            told = told.groupBy("rid").agg(F.collect_set(F.struct("role", "a", "b")).alias("told"))
+            again = _parsed(shuffled(parsed.select("rid", "text", "n").join(told, "rid")))
+            parsed = cut(parsed.join(told, "rid", "left_anti").unionByName(again))
+        spelt = cut(_respelt(parsed, known.where("role = 'name'")))
+        found = name_rewrites(spelt).select(F.lit("name").alias("role"), "a", "b")
+        found = cut(found.join(known, ["role", "a"], "left_anti"))
+        if found.isEmpty():
+            return spelt, known
+        known = _extended(known, found)
+
+
+def _spelt_names(parsed: DataFrame, known: DataFrame) -> DataFrame:
+    """``parsed`` with street names rewritten, kinds being as they are."""
+    led = known.where("role = 'name'").select(F.col("a").alias("name"), F.col("b").alias("__right"))
+    return parsed.join(led, "name", "left").withColumn("name", F.coalesce("__right", "name")).drop("__right")
+
+
+def _only(t: list, p: int, others: list[list]) -> object | None:
+    """The value of part ``p`` in the rows that fit ``t`` elsewhere, if there is only one."""
+    found = None
+    for u in others:
+        if u[p] in ("", None) or u[p] == found:
+            continue
+        if all(q == p or u[q] == t[q] or u[q] in ("", None) or t[q] in ("", None) for q in range(4)):
+            if found is not None:
+                return None
+            found = u[p]
+    return found
 
 
 def resolve(rows: list[dict]) -> list[int]:
-    """The location of each row (dir, kind, unit, city, state, zip, n) of one number and street."""
+    """The location of each row (dir, kind, unit, city, state, zip, n) of one number and street.
+
+    A part that is missing is filled if the rows that fit elsewhere have only one value for it, until
+    nothing is filled any more. Rows of a place are compared with those of that place and of none.
+    """
     areas = _areas(rows)
-    filled = [[areas[i], r["kind"], r["dir"], r["unit"]] for i, r in enumerate(rows)]
-    distinct = list(dict.fromkeys(map(tuple, filled)))
-    # A part that is missing is filled if the rows that fit elsewhere have only one value for it.
-    for _ in range(3):
-        known, changed = [list(t) for t in distinct], {}
+    filled = [(areas[i], r["kind"], r["dir"], r["unit"]) for i, r in enumerate(rows)]
+    distinct = list(dict.fromkeys(filled))
+    while True:
+        known = [list(t) for t in distinct]
+        by_area: dict = {}
         for t in known:
-            old = tuple(t)
-            for p in (0, 1, 2, 3):
+            by_area.setdefault(t[0], []).append(t)
+        nowhere, changed = by_area.get(None, []), {}
+        for t, old in zip(known, distinct):
+            for p in range(4):
                 if t[p] in ("", None):
-                    fits = {
-                        u[p] for u in known
-                        if u[p] not in ("", None) and all(q == p or u[q] == t[q] or u[q] in ("", None) or t[q] in ("", None) for q in range(4))
-                    }
-                    if len(fits) == 1:
-                        t[p] = fits.pop()
+                    others = known if t[0] is None else by_area[t[0]] + (nowhere if by_area[t[0]] is not nowhere else [])
+                    value = _only(t, p, others)
+                    t[p] = t[p] if value is None else value
             changed[old] = tuple(t)
-        filled = [list(changed[tuple(t)]) for t in filled]
+        filled = [changed[t] for t in filled]
         if all(k == v for k, v in changed.items()):
             break
         distinct = list(dict.fromkeys(changed.values()))
     numbers: dict[tuple, int] = {}
-    return [numbers.setdefault(tuple(t), len(numbers)) for t in filled]
+    return [numbers.setdefault(t, len(numbers)) for t in filled]
+
+
+def _short(word: str) -> set[str]:
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
 
 
 def _areas(rows: list[dict]) -> list[int | None]:
-    """The city of each row as a number: equal or one slip apart; rows without a city go by postal code."""
+    """The city of each row as a number: equal, one slip apart or the end of the other; rows without a city go by postal code.
+
+    Cities and codes meet in an index of their deletion variants and endings, so the time is linear in the rows.
+    """
     weight: Counter = Counter()
     zips: dict[str, set[str]] = {}
     for r in rows:
@@ -422,29 +473,41 @@ def _areas(rows: list[dict]) -> list[int | None]:
             zips.setdefault(r["city"], set())
             if r["zip"]:
                 zips[r["city"]].add(r["zip"])
-    ordered = sorted(weight, key=lambda c: (-weight[c], c))
     area: dict[str, int] = {}
+    place: dict[str, int] = {}
+    index: dict[tuple[str, str], list[str]] = {}
     areas = 0
-    for city in ordered:
-        for other, k in area.items():
-            near = within_one_slip(city.replace(" ", ""), other.replace(" ", "")) or f" {city} ".endswith(f" {other} ") or f" {other} ".endswith(f" {city} ")
-            if near and (not zips[city] or not zips[other] or any(within_one_slip(x, y) for x in zips[city] for y in zips[other])):
-                area[city] = k
-                break
+    for city in sorted(weight, key=lambda c: (-weight[c], c)):
+        plain, words = city.replace(" ", ""), city.split()
+        ends = [" ".join(words[i:]) for i in range(len(words))]
+        met = {o for v in _short(plain) for o in index.get(("slip", v), ()) if within_one_slip(plain, o.replace(" ", ""))}
+        met.update(index.get(("ends", city), ()))
+        met.update(o for e in ends for o in index.get(("is", e), ()))
+        near = {z for x in zips[city] for z in _short(x)}
+        fits = [o for o in met if not zips[city] or not zips[o] or any(within_one_slip(x, y) for y in zips[o] if _short(y) & near for x in zips[city])]
+        if fits:
+            area[city] = area[min(fits, key=place.get)]
         else:
             area[city] = areas
             areas += 1
+        place[city] = len(place)
+        for key in [("slip", v) for v in _short(plain)] + [("ends", e) for e in ends] + [("is", city)]:
+            index.setdefault(key, []).append(city)
     by_zip: dict[str, set[int]] = {}
+    by_short: dict[str, set[str]] = {}
     for r in rows:
         if r["city"] and r["zip"]:
             by_zip.setdefault(r["zip"], set()).add(area[r["city"]])
+    for z in by_zip:
+        for v in _short(z):
+            by_short.setdefault(v, set()).add(z)
     out: list[int | None] = []
     lone: dict[str, int] = {}
     for r in rows:
         if r["city"]:
             out.append(area[r["city"]])
         elif r["zip"]:
-            ks = by_zip.get(r["zip"]) or {k for z, v in by_zip.items() if within_one_slip(z, r["zip"]) for k in v}
+            ks = by_zip.get(r["zip"]) or {k for v in _short(r["zip"]) for z in by_short.get(v, ()) if within_one_slip(z, r["zip"]) for k in by_zip[z]}
             if len(ks) == 1:
                 out.append(next(iter(ks)))
             else:
@@ -464,21 +527,12 @@ def locations(df: DataFrame, id_col: str = "id", text_col: str = "text") -> Data
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     rows = rows.groupBy("id").agg(F.min("text").alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
-    texts = cut(shuffled(rows.groupBy("text").agg(F.count(F.lit(1)).alias("n"))))
+    # Numbered and cut: the numbers must not change when a task runs again.
+    texts = cut(shuffled(rows.groupBy("text").agg(F.count(F.lit(1)).alias("n"))).withColumn("rid", F.monotonically_increasing_id()))
     parsed, _ = mine(texts)
-    # A tentative kind that no rewrite explains was the city, or else part of the name.
-    lost, placeless = F.col("tentative"), F.col("city") == ""
-    parsed = parsed.withColumns({
-        "name": F.when(lost & ~placeless, F.concat_ws(" ", "name", "kind")).otherwise(F.col("name")),
-        "city": F.when(lost & placeless, F.col("kind")).otherwise(F.col("city")),
-        "kind": F.when(lost, "").otherwise(F.col("kind")),
-    })
-    parsed = cut(_respelt(_respelt(parsed, "name"), "city"))
-    named = parsed.where("num is not null").join(_names(parsed), ["num", "name"], "left")
-    named = named.withColumn("street", F.coalesce("canonical", "name"))
     shape = ["dir", "kind", "unit", "city", "state", "zip"]
+    named = parsed.where("num is not null").withColumnRenamed("name", "street")
     tuples = named.groupBy("num", "street", *shape).agg(F.sum("n").alias("n"))
-
     resolved = _resolved(tuples, shape)
     located = named.join(resolved, ["num", "street", *shape]).select("text", F.concat_ws("|", "num", "street", F.col("location").cast("string")).alias("location"))
     other = parsed.where("num is null").select("text", F.concat(F.lit("="), F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")).alias("location"))
