@@ -1,6 +1,7 @@
 """Addresses, names and truncated texts."""
 
 import itertools
+import math
 import time
 
 import numpy as np
@@ -220,3 +221,39 @@ def test_misspelt_street_names_are_rewritten_by_evidence(spark):
     parsed, known = A.mine(texts)
     assert ("name", "kilnwod", "kilnwood") in {tuple(r) for r in known.collect()}
     assert {r.name for r in parsed.where("rid in (900, 901)").collect()} == {"kilnwood"}
+
+
+def test_nicknames_outside_the_list_are_mined_and_relatives_are_not(spark):
+    surnames = [f"{a}{b}" for a in ("Wexel", "Torum", "Griar", "Corab", "Zanar", "Fenund") for b in ("ford", "stead", "holme", "wick", "gard", "lund", "marsh", "combe", "vale", "thorpe")]
+    others = ["Marta", "Priya", "Haldor", "Yelena", "Ottoline", "Casimir", "Bernadine", "Ludovic", "Philippa", "Rosalind"]
+    rows = []
+    for i, name in enumerate(surnames):
+        rows += [(f"Wilhelmina {name}", name), (f"Wilhelmina {name}", name), (f"Minka {name}", name)] if i % 5 == 0 else []
+        rows += [(f"{others[(i // 5 + i) % 10]} {name}", None), (f"{others[(3 * (i // 5) + 2 * i + 4) % 10]} {name}", None)]
+    df = spark.createDataFrame([(i, "s", "PERSON", spelling) for i, (spelling, _) in enumerate(rows)], "row_id bigint, scope string, pii_type string, spelling string")
+    assert "minka" not in N.Lexicon(set()).formal
+    entity = {r.row_id: r.entity for r in N.entities(df).collect()}
+    of = {}
+    for i, (spelling, name) in enumerate(rows):
+        of.setdefault((name, spelling), set()).add(entity[i])
+    for (name, spelling), found in of.items():
+        if name and spelling.startswith("Minka"):
+            assert found == of[name, f"Wilhelmina {name}"]
+    relatives = [entity[i] for i, (_, name) in enumerate(rows) if name is None]
+    assert not set(relatives) & {entity[i] for i, (_, name) in enumerate(rows) if name}
+
+
+def test_two_slips_in_front_and_names_run_together_meet(spark):
+    rows = [("PERSON", "Marta Vorimaldstone")] * 4 + [("PERSON", "Marta Ovrimladstone"), ("PERSON", "Vorimaldstone Marta"), ("PERSON", "Amrta Vorimaldstone")]
+    rows += [("ORG_PRIVATE", "Blue Ridge National Bank")] * 3 + [("ORG_PRIVATE", "Blueridge Natl Bank"), ("ORG_PRIVATE", "BlueRidgeNationalBank"), ("ORG_PRIVATE", "Blue Ridge Lumber")]
+    df = spark.createDataFrame([(i, "s", k, t) for i, (k, t) in enumerate(rows)], "row_id bigint, scope string, pii_type string, spelling string")
+    entity = [r.entity for r in sorted(N.entities(df).collect())]
+    assert len(set(entity[:7])) == 1 and len(set(entity[7:11])) == 1 and entity[12] != entity[7]
+
+
+def test_likelihoods_come_from_the_attachments(spark):
+    schema = "scope string, pii_type string, a string, na bigint, b string, nb bigint, events array<string>, slip boolean"
+    pairs = [("s", "PERSON", f"a{i}", 100, f"b{i}", 900, ["slip"], True) for i in range(50)]
+    costs = N.learned_costs(spark.createDataFrame(pairs, schema), 50_000.0)
+    assert abs(math.exp(costs["slip"]) - 0.1) < 0.01 and costs["initial"] < N.PRIOR["initial"]
+    assert N.learned_costs(spark.createDataFrame([], schema), 0.0) == pytest.approx(N.PRIOR)

@@ -3,8 +3,10 @@
 Every spelling is brought to a normal form; within a scope the frequent, complete forms rank as
 candidate canonical forms. A spelling is attached to the candidate of the highest posterior: its
 frequency prior times the likelihood of the slips, abbreviations, initials, nicknames and left-out
-parts between the two. Candidates meet through deletion variants of the beginning of the surname
-(first word of a company), never by comparing all forms of a scope.
+parts between the two. How likely each of these is comes from expectation maximisation over the
+attachments, and nicknames are mined from the names themselves, a public list being only the prior of
+both. Candidates meet through keys on beginnings and ends of the name's parts, never by comparing all
+forms of a scope.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from umbraline.llm.address_rewrites import stands_for, within_one_slip
 from umbraline.plans.lineage import cut, shuffled
@@ -30,35 +33,54 @@ LEGAL = {
     "inc": "inc", "incorporated": "inc", "corp": "corp", "corporation": "corp", "llc": "llc", "llp": "llp", "lllp": "llp", "ltd": "ltd",
     "limited": "ltd", "co": "co", "company": "co", "lp": "lp", "plc": "plc", "gmbh": "gmbh", "pc": "pc", "pllc": "pllc",
 }
+# Short forms of English and Spanish given names, as commonly listed; a prior for what is mined.
 NICKNAMES = {
-    "alexander": "alex al sandy xander sasha lex", "amina": "mina", "andrew": "andy drew", "anais": "ana", "anthony": "tony ant", "benjamin": "ben benny benji",
-    "bjorn": "bjo", "charles": "charlie chuck chas chip carl", "chidi": "chi", "christopher": "chris kit topher kester", "daniel": "dan danny", "deborah": "deb debbie debby",
-    "dolores": "lola dolly lolita", "dorothy": "dot dottie dotty dolly dora", "edward": "ed eddie ned ted teddy", "eleanor": "ellie nell nora nellie ella lenore",
-    "elizabeth": "liz beth betty lizzie eliza libby bess betsy lisa elsie", "francis": "frank fran", "francisco": "paco pancho frank cisco kiko curro fran",
-    "frederick": "fred freddie fritz rick", "gerald": "gerry jerry", "guillermo": "memo guille willy", "haruki": "haru", "henrietta": "hetty etta hattie henny harriet",
-    "ignacio": "nacho iggy", "ines": "nes", "ingrid": "inga", "isabella": "bella izzy isa belle bel", "jacqueline": "jackie jacqui", "james": "jim jimmy jamie jem",
-    "jose": "pepe chepe", "joseph": "joe joey", "karel": "kaja", "katherine": "kate katie kathy kit kitty kay", "kenneth": "ken kenny", "lawrence": "larry lars laurie",
-    "lena": "leni", "lucja": "lucy", "margaret": "maggie meg peggy marge margie greta daisy rita", "marta": "marti", "matthew": "matt matty", "michael": "mike mickey mick mikey",
-    "nathaniel": "nat nate nathan", "nicholas": "nick nico nicky klaus", "noemie": "noe mimi", "olga": "olya", "patricia": "pat patty trish tricia patsy", "penelope": "penny nell",
-    "philip": "phil pip", "priya": "pri", "rebecca": "becky becca", "renee": "ren", "richard": "rick dick rich richie ricky", "robert": "bob rob bobby robbie bert",
-    "samuel": "sam sammy", "soren": "sor", "stephanie": "steph stevie steffi", "susanna": "sue susie suzie susan zanna", "theodore": "ted theo teddy", "thomas": "tom tommy",
-    "tomas": "tom tommy", "ulku": "ulk", "victoria": "vicky tori vic vickie", "viktor": "vic vik", "wanda": "wan", "william": "bill will billy willie liam willy",
-    "yusuf": "yus joe", "zachary": "zach zack", "zoe": "zo",
+    "abigail": "abby", "abraham": "abe", "albert": "al bert", "alejandro": "alex", "alexander": "alex al sandy xander", "alfred": "fred alf",
+    "amanda": "mandy", "andrew": "andy drew", "anthony": "tony", "antonio": "tono", "arthur": "art", "barbara": "barb", "beatrice": "bea trixie",
+    "benjamin": "ben benny", "bernard": "bernie", "bradley": "brad", "caroline": "carrie", "catherine": "cathy kate", "charles": "charlie chuck chas",
+    "christine": "chris tina", "christopher": "chris kit", "cynthia": "cindy", "daniel": "dan danny", "david": "dave", "deborah": "deb debbie",
+    "dolores": "lola", "donald": "don", "dorothy": "dot dottie dolly", "douglas": "doug", "edward": "ed eddie ned ted teddy", "eleanor": "ellie nell nora",
+    "elizabeth": "liz beth betty lizzie eliza libby bess", "enrique": "quique", "eugene": "gene", "florence": "flo", "frances": "fran", "francis": "frank",
+    "francisco": "paco pancho frank", "frederick": "fred freddie", "geoffrey": "geoff", "gerald": "gerry jerry", "gregory": "greg", "guadalupe": "lupe",
+    "guillermo": "memo", "harold": "harry hal", "helen": "nell", "henrietta": "hetty etta", "henry": "hank harry", "ignacio": "nacho", "isabella": "bella izzy",
+    "jacob": "jake", "jacqueline": "jackie", "james": "jim jimmy jamie", "janet": "jan", "jeffrey": "jeff", "jennifer": "jen jenny", "jesus": "chuy",
+    "john": "jack johnny", "jonathan": "jon", "jose": "pepe", "joseph": "joe joey", "judith": "judy", "katherine": "kate katie kathy kit kitty",
+    "kenneth": "ken kenny", "kimberly": "kim", "lawrence": "larry", "leonard": "len leo", "louis": "lou", "luis": "lucho", "margaret": "maggie meg peggy",
+    "martha": "marty", "mary": "molly polly", "matthew": "matt", "maria": "mari", "michael": "mike mickey mick", "nancy": "nan", "nathaniel": "nat nate nathan",
+    "nicholas": "nick nicky", "oliver": "ollie", "pamela": "pam", "patricia": "pat patty trish", "patrick": "pat paddy", "penelope": "penny",
+    "peter": "pete", "philip": "phil pip", "raymond": "ray", "rebecca": "becky becca", "richard": "rick dick rich", "robert": "bob rob bobby",
+    "ronald": "ron", "rosario": "charo", "samuel": "sam sammy", "sarah": "sally", "stephanie": "steph", "stephen": "steve", "susan": "sue susie",
+    "susanna": "sue susie", "terence": "terry", "theodore": "ted theo teddy", "thomas": "tom tommy", "timothy": "tim", "valerie": "val",
+    "victoria": "vicky tori", "vincent": "vince", "virginia": "ginny", "walter": "walt", "william": "bill will billy willie", "zachary": "zach zack",
 }
-FORMAL = {}
-for _full, _short in NICKNAMES.items():
-    for _nick in _short.split():
-        FORMAL.setdefault(_nick, set()).add(_full)
 #: A word is a known given name if at least this share of the names has it (so there are under 3,000).
 NAME_SHARE = 0.001
 #: ... and so many different words beside it, as a share of its occurrences.
 VARIETY = 0.15
-PREFIX = 6
+#: A pair of given names beside one surname is a nickname from so many scopes and surnames on, if it is so far from chance.
+NICKNAME_PLACES, NICKNAME_G = 3, 20.0
 #: Log likelihood below which a spelling is no variant of a candidate.
 LEAST_LIKELY = -10.5
 #: A slip seen at least so often beside its supposed origin is a name of its own.
 OWN_SHARE = 0.5
-SLIP, TWO_SLIPS, INITIAL, SHORT, NO_MIDDLE, PART, ACRONYM = -3.6, -8.0, -2.0, -1.6, -0.7, -2.5, -3.0
+#: Log likelihoods that expectation maximisation starts from, each as good as PRIOR_ROWS rows, and its end.
+PRIOR = {
+    "slip": -3.6, "two": -8.0, "initial": -2.0, "short": -1.6, "missing": -3.5, "middle": -0.7, "part": -2.5, "acronym": -3.0, "legal": -0.7,
+    "joined": -1.8, "swapped": -1.0, "middle_initial": -1.0, "middle_other": -1.8,
+}
+PRIOR_ROWS, SETTLED, MOST_TURNS = 1000.0, 0.01, 200
+
+
+class Lexicon:
+    """Given names, and which short forms stand for which of them: the public list and what was mined."""
+
+    def __init__(self, given: set[str], mined: list[tuple[str, str]] = ()):
+        self.formal: dict[str, set[str]] = {}
+        self.shorts: dict[str, set[str]] = {}
+        for full, short in [(f, n) for f, ns in NICKNAMES.items() for n in ns.split()] + list(mined):
+            self.formal.setdefault(short, set()).add(full)
+            self.shorts.setdefault(full, set()).add(short)
+        self.given = given | set(self.shorts) | set(self.formal)
 
 
 @lru_cache(maxsize=200_000)
@@ -69,10 +91,10 @@ def fold(text: str) -> str:
 
 
 class Forms:
-    """Normal forms of spellings; ``given``: the known given names."""
+    """Normal forms of spellings by the given names of a lexicon."""
 
-    def __init__(self, given: set[str]):
-        self.given = given | set(NICKNAMES) | set(FORMAL)
+    def __init__(self, lexicon: Lexicon):
+        self.given = lexicon.given
         self.slips: set[str] = set()
         for g in self.given:
             if len(g) >= 4:
@@ -141,51 +163,87 @@ class Forms:
         return self.person(text) if kind == "PERSON" else self.organisation(text)
 
 
-def keys(form: tuple) -> list[str]:
-    """Deletion variants of the beginning of the surname or first word; the initials of a company."""
-    words = form[1].split()
-    out = set()
-    for head in form[1].split("-") if form[0] == "P" else words[:1]:
-        head = head[:PREFIX]
-        out |= {head} | {head[:i] + head[i + 1 :] for i in range(len(head))}
+def _cuts(word: str, n: int = 6) -> set[str]:
+    """The first ``n`` letters and these without each one of them: beginnings one slip apart share one."""
+    head = word[:n]
+    return {head} | {head[:i] + head[i + 1 :] for i in range(len(head))}
+
+
+def keys(form: tuple, lexicon: Lexicon) -> tuple[list[str], list[str]]:
+    """What a form is looked up by as a variant, and what it is found by as a canonical form.
+
+    Persons meet at the beginning of a surname (one slip apart at most) with the initial of the given
+    name or of one it stands for; at the end of a long surname with the given name, for two slips in
+    front; at the whole surname with the given name but for its first letter. A form without a given
+    name meets all of its surname, and each form also those whose surname is its given name. Companies
+    meet at the beginning of all words with the last word's initial or the last letter, at the first
+    letter and the second word for abbreviations, and at their initials.
+    """
+    variant, canonical = set(), set()
     if form[0] == "O":
+        words, joined = form[1].split(), form[1].replace(" ", "")
+        both = {f"{c} {x}" for c in _cuts(joined) for x in (words[-1][0], "$" + joined[-1])}
+        both.add(f"{joined[:6]} {words[-1][1:4]}|")
+        both.add(f"~{words[0][0]} {words[1][:3]}" if len(words) > 1 else f"~{words[0][0]}{words[0][-1]}")
         if len(words) > 2:
-            out.add("=" + "".join(w[0] for w in words))
+            both.add("=" + "".join(w[0] for w in words))
         if len(words) == 1 and 3 <= len(words[0]) <= 5:
-            out.add("=" + words[0])
-    return sorted(out)
-
-
-def rank(form: tuple) -> int:
+            both.add("=" + words[0])
+        # A name written as one word meets those of several words, and the other way round.
+        one, more = {f"{c} ." for c in _cuts(joined)}, {f"{c} 1" for c in _cuts(joined)}
+        return sorted(both | (one if len(words) == 1 else more)), sorted(both | (more if len(words) == 1 else one))
+    surname, given = form[1], form[2]
+    initials = {given[0]} | {f[0] for f in lexicon.formal.get(given, ())} if given else set()
+    for head in {*surname.split("-"), surname.replace("-", "")}:
+        for c in _cuts(head):
+            variant |= {f"{c} {i}" for i in initials or "*"}
+            canonical |= {f"{c} {i}" for i in initials | {"*"}}
+        if len(given) > 2:
+            both = {f"{head}| {x}" for x in (given[1:4], given[:3], "".join(sorted(given[:2])))}
+            both |= {f"<{head[-3:]} {given[:4]}"} if len(head) >= 8 else set()
+            variant |= both
+            canonical |= both
+    if len(given) > 3 and surname:
+        variant |= {f"{c} {surname[0]}" for c in _cuts(given)}
+    return sorted(variant), sorted(canonical)
+
+
+def rank(form: tuple, lexicon: Lexicon) -> int:
     """How complete a form is: a full given name before a short one before an initial; a company's words before its initials."""
     if form[0] == "O":
         return int(len(form[1]) > 5 or " " in form[1])
     given = form[2]
-    return 0 if len(given) < 2 else 1 if given in FORMAL and given not in NICKNAMES else 2
+    return 0 if len(given) < 2 else 1 if given in lexicon.formal and given not in lexicon.shorts else 2
+
+
+Events = tuple[str, ...]
+
+
+def cost(events: Events, costs: dict[str, float] = PRIOR) -> float:
+    return sum(costs[e] for e in events)
 
 
-def _word(a: str, b: str, short: bool = True) -> float | None:
-    """Log likelihood that one of two words is a spelling of the other."""
+def _word(a: str, b: str, short: bool = True) -> Events | None:
+    """What must have happened for one of two words to be a spelling of the other; None if nothing can explain it."""
     if a == b:
-        return 0.0
+        return ()
     if min(len(a), len(b)) >= 4 and within_one_slip(a, b):
-        return SLIP
+        return ("slip",)
     if short and min(len(a), len(b)) >= 2 and (stands_for(a, b) or stands_for(b, a)):
-        return SHORT
+        return ("short",)
     if short and min(len(a), len(b)) >= 4 and any(stands_for(x[:i] + x[i + 1 :], y) for x, y in ((a, b), (b, a)) for i in range(len(x))):
-        return SHORT + SLIP
+        return ("short", "slip")
     if min(len(a), len(b)) >= 8 and _two_slips(a, b):
-        return TWO_SLIPS
+        return ("two",)
     return None
 
 
-def _surname(a: str, b: str) -> float | None:
+def _surname(a: str, b: str) -> Events | None:
     """As for words; a double name may be given by one of its parts."""
-    x, y = a.replace("-", ""), b.replace("-", "")
-    best = _word(x, y, short=False)
+    best = _word(a.replace("-", ""), b.replace("-", ""), short=False)
     if best is None and ("-" in a) != ("-" in b):
-        part = [s for p in (a if "-" in a else b).split("-") if (s := _word(p, b if "-" in a else a, short=False)) is not None]
-        best = max(part) + PART if part else None
+        part = [(*e, "part") for p in (a if "-" in a else b).split("-") if (e := _word(p, b if "-" in a else a, short=False)) is not None]
+        best = max(part, key=cost) if part else None
     return best
 
 
@@ -205,80 +263,68 @@ def _two_slips(a: str, b: str) -> bool:
     return row[-1] <= 2
 
 
-def _given(a: str, b: str, given: set[str]) -> float | None:
+def _given(a: str, b: str, lexicon: Lexicon) -> Events | None:
+    formal, shorts = lexicon.formal, lexicon.shorts
     if a == b:
-        return 0.0
+        return ()
     if not a or not b:
-        return INITIAL - 1.5
+        return ("missing",)
     if len(a) == 1 or len(b) == 1:
         one, other = (a, b) if len(a) == 1 else (b, a)
-        formal = {other} | FORMAL.get(other, set())
-        return INITIAL if any(f[0] == one for f in formal) else None
-    if b in FORMAL.get(a, ()) or a in FORMAL.get(b, ()):
-        return SHORT
-    if (a in FORMAL and b in FORMAL and FORMAL[a] & FORMAL[b]) or any(stands_for(x, f) for x, y in ((a, b), (b, a)) for f in FORMAL.get(y, ())):
-        return 2 * SHORT
-    if a in NICKNAMES and b in NICKNAMES:
+        return ("initial",) if any(f[0] == one for f in {other} | formal.get(other, set())) else None
+    if b in formal.get(a, ()) or a in formal.get(b, ()):
+        return ("short",)
+    if (a in formal and b in formal and formal[a] & formal[b]) or any(stands_for(x, f) for x, y in ((a, b), (b, a)) for f in formal.get(y, ())):
+        return ("short", "short")
+    if a in shorts and b in shorts:
         return None  # two names of their own
     if stands_for(a, b) or stands_for(b, a):
-        return SHORT
-    if a in given and b in given and not (a in FORMAL or b in FORMAL):
+        return ("short",)
+    if a in lexicon.given and b in lexicon.given and not (a in formal or b in formal):
         return None
     if within_one_slip(a, b) and min(len(a), len(b)) >= 3:
-        return SLIP
-    return SLIP + SHORT if any(len(x) >= 4 and within_one_slip(x, y) for x in {a} | _shorts(a) for y in {b} | _shorts(b)) else None
+        return ("slip",)
+    near = lambda n: {n} | shorts.get(n, set()) | formal.get(n, set())
+    return ("slip", "short") if any(len(x) >= 4 and within_one_slip(x, y) for x in near(a) for y in near(b)) else None
 
 
-def _shorts(name: str) -> set[str]:
-    return set(NICKNAMES.get(name, "").split()) | FORMAL.get(name, set())
-
-
-def likelihood(a: tuple, b: tuple, given: set[str]) -> float | None:
-    """Log likelihood that two forms are spellings of one name; None if they can't be."""
+def explained(a: tuple, b: tuple, lexicon: Lexicon) -> Events | None:
+    """What must have happened between two forms of one name; None if they can't be."""
     if a[0] == "P":
-        surname = _surname(a[1], b[1])
-        first = _given(a[2], b[2], given)
-        if (surname is None or first is None) and a[2] and b[2] and len(a[2]) > 3 and len(b[2]) > 3:
+        surname, first = _surname(a[1], b[1]), _given(a[2], b[2], lexicon)
+        swapped: Events = ()
+        if (surname is None or first is None) and len(a[2]) > 3 and len(b[2]) > 3:
             # The order may have been read wrongly in one of the two.
-            surname, first = _surname(a[1], b[2]), _given(a[2], b[1], given)
-            if surname is None or first is None or surname + first < SLIP:
+            surname, first = _surname(a[1], b[2]), _given(a[2], b[1], lexicon)
+            if surname is None or first is None or len(surname + first) > 1 or "two" in surname:
                 return None
+            swapped = ("swapped",)
         if surname is None or first is None:
             return None
-        out = surname + first
+        out = surname + first + swapped
         x, y = a[3].split(), b[3].split()
         if x and y:
-            middle = _given(x[0], y[0], given)
+            middle = _given(x[0], y[0], lexicon)
             if middle is None:
                 return None
-            out += middle / 2
+            out += ("middle_initial",) if middle == ("initial",) else ("middle_other",) * len(middle)
         elif x or y:
-            out += NO_MIDDLE
+            out += ("middle",)
         return out if a[4] == b[4] else None
     if a[2] and b[2] and a[2] != b[2]:
         return None
     x, y = a[1].split(), b[1].split()
-    ending = 0.0 if a[2] == b[2] else NO_MIDDLE
+    ending: Events = () if a[2] == b[2] else ("legal",)
     for short, long in ((x, y), (y, x)):
         if len(short) == 1 and len(long) > 2 and short[0] == "".join(w[0] for w in long):
-            return ACRONYM + ending
+            return ("acronym", *ending)
     words = _words(x, y)
     return None if words is None else words + ending
 
 
-def slipped(a: tuple, b: tuple, given: set[str]) -> bool:
-    """Whether letters differ between two forms by a slip, and not only by what is left out or shortened."""
-    slips = (SLIP, TWO_SLIPS, SHORT + SLIP)
-    if a[0] == "P":
-        by_surname = _surname(a[1], b[1]) in (*slips, SLIP + PART, TWO_SLIPS + PART)
-        return by_surname or (min(len(a[2]), len(b[2])) > 1 and _given(a[2], b[2], given) in slips)
-    x, y = a[1].split(), b[1].split()
-    return len(x) == len(y) and any(_word(p, q) in slips for p, q in zip(x, y))
-
-
-def _words(x: list[str], y: list[str]) -> float | None:
+def _words(x: list[str], y: list[str]) -> Events | None:
     """Word by word, in order; two words of one side may be written as one on the other."""
-    best: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    best: dict[tuple[int, int], Events] = {(0, 0): ()}
     for i in range(len(x) + 1):
         for j in range(len(y) + 1):
             if (now := best.get((i, j))) is None:
@@ -290,20 +336,20 @@ def _words(x: list[str], y: list[str]) -> float | None:
                     steps.append((i + 2, j + 1, _joined(y[j], x[i], x[i + 1])))
                 if j + 1 < len(y):
                     steps.append((i + 1, j + 2, _joined(x[i], y[j], y[j + 1])))
-            for a, b, cost in steps:
-                if cost is not None and now + cost > best.get((a, b), -99.0):
-                    best[a, b] = now + cost
+            for a, b, events in steps:
+                if events is not None and ((a, b) not in best or cost(now + events) > cost(best[a, b])):
+                    best[a, b] = now + events
     return best.get((len(x), len(y)))
 
 
-def _joined(one: str, a: str, b: str) -> float | None:
+def _joined(one: str, a: str, b: str) -> Events | None:
     if within_one_slip(one, a + b):
-        return SLIP / 2 if one == a + b else SLIP * 1.5
+        return ("joined",) if one == a + b else ("joined", "slip")
     for k in (len(a) - 1, len(a), len(a) + 1):
         if 3 < k < len(one):
             left, right = _word(one[:k], a, short=False), _word(one[k:], b)
             if left is not None and right is not None:
-                return SLIP / 2 + left + right
+                return ("joined", *left, *right)
     return None
 
 
@@ -324,8 +370,8 @@ def _given_names(forms: DataFrame) -> set[str]:
     return {fold(r.w) for r in found} - TITLES - PARTICLES - set(GENERATIONS)
 
 
-def _normalised(forms: DataFrame, given: set[str]) -> DataFrame:
-    shared = forms.sparkSession.sparkContext.broadcast(given)
+def _normalised(forms: DataFrame, lexicon: Lexicon) -> DataFrame:
+    shared = forms.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Forms(shared.value)
@@ -336,19 +382,69 @@ def _normalised(forms: DataFrame, given: set[str]) -> DataFrame:
     return forms.mapInPandas(run, "row_id bigint, scope string, pii_type string, form string")
 
 
-def _scored(pairs: DataFrame, given: set[str]) -> DataFrame:
-    """``pairs`` (scope, pii_type, a, na, b, nb) with the log likelihood, and whether it is of a slip; pairs that can't be are left out."""
-    shared = pairs.sparkSession.sparkContext.broadcast(given)
+def mined_nicknames(counted: DataFrame, given: set[str]) -> list[tuple[str, str]]:
+    """(full, short): given names that stand beside one surname of a scope far more often than by chance.
+
+    Each given name of a surname is compared with the most frequent one only. Relatives share a
+    surname too, but no two names of relatives do so again and again. The pairs are of names in
+    ``given``, whose share of all names bounds their number.
+    """
+    parts = F.split("form", "\t", -1)
+    people = counted.where("pii_type = 'PERSON'").select("scope", parts[1].alias("surname"), parts[2].alias("g"), "n").where("surname <> '' and length(g) > 2")
+    names = people.groupBy("scope", "surname", "g").agg(F.sum("n").alias("n"))
+    names = cut(names.withColumn("top", F.max(F.struct("n", "g")).over(Window.partitionBy("scope", "surname"))["g"]))
+    seen = names.groupBy("g").agg(F.count(F.lit(1)).alias("seen"))
+    pairs = names.where("g <> top").groupBy(F.least("g", "top").alias("x"), F.greatest("g", "top").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    all_pairs, all_names = pairs.agg(F.sum("n")).first()[0] or 0, names.count()
+    both = pairs.where(F.col("n") >= NICKNAME_PLACES)
+    for c in "xy":
+        both = both.join(seen.select(F.col("g").alias(c), F.col("seen").alias("seen_" + c)), c)
+    chance = 2.0 * all_pairs * F.col("seen_x") * F.col("seen_y") / F.lit(float(max(1, all_names)) ** 2)
+    found = both.where(2 * F.col("n") * F.log(F.col("n") / chance) >= NICKNAME_G).select("x", "y", "seen_x", "seen_y").collect()
+    # The more frequent one is the full name; a slip or an abbreviation in order needs no entry.
+    out = []
+    for r in found:
+        full, short = (r.x, r.y) if (r.seen_x, len(r.x)) >= (r.seen_y, len(r.y)) else (r.y, r.x)
+        if full in given and not within_one_slip(full, short) and not stands_for(short, full) and not stands_for(full, short):
+            out.append((full, short))
+    return sorted(out)
+
+
+def _explained(pairs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``pairs`` (scope, pii_type, a, na, b, nb) with the events between the forms and whether one is a slip; what nothing explains is left out."""
+    shared = pairs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = shared.value | set(NICKNAMES)
         for batch in batches:
-            score = [likelihood(tuple(a.split("\t")), tuple(b.split("\t")), names) for a, b in zip(batch["a"], batch["b"])]
-            batch = batch.assign(score=pd.Series(score, index=batch.index, dtype="float64"))
-            batch = batch[batch["score"] >= LEAST_LIKELY]
-            yield batch.assign(slip=[slipped(tuple(a.split("\t")), tuple(b.split("\t")), names) for a, b in zip(batch["a"], batch["b"])])
+            found = [explained(tuple(a.split("\t")), tuple(b.split("\t")), shared.value) for a, b in zip(batch["a"], batch["b"])]
+            batch = batch[[e is not None for e in found]].copy()
+            found = [list(e) for e in found if e is not None]
+            batch["events"] = pd.Series(found, index=batch.index, dtype="object")
+            batch["slip"] = pd.Series(["slip" in e or "two" in e for e in found], index=batch.index, dtype="bool")
+            yield batch
+
+    return pairs.mapInPandas(run, "scope string, pii_type string, a string, na bigint, b string, nb bigint, events array<string>, slip boolean")
+
+
+def _scored(pairs: DataFrame, costs: dict[str, float]) -> DataFrame:
+    table = F.create_map(*(F.lit(x) for kv in sorted(costs.items()) for x in kv))
+    return pairs.withColumn("score", F.aggregate("events", F.lit(0.0), lambda total, e: total + table[e]))
+
 
-    return pairs.mapInPandas(run, "scope string, pii_type string, a string, na bigint, b string, nb bigint, score double, slip boolean")
+def learned_costs(pairs: DataFrame, rows: float) -> dict[str, float]:
+    """Log likelihoods of the events by expectation maximisation: how many of all rows bear them, under the posterior of their candidates."""
+    costs = dict(PRIOR)
+    for _ in range(MOST_TURNS):
+        weight = F.col("nb") * F.exp("score")
+        shares = _scored(pairs, costs).where(F.col("score") >= LEAST_LIKELY).withColumn("w", weight)
+        shares = shares.withColumn("w", F.col("na") * F.col("w") / F.sum("w").over(Window.partitionBy("scope", "pii_type", "a")))
+        counted = {r.e: r.w for r in shares.select(F.explode("events").alias("e"), "w").groupBy("e").agg(F.sum("w").alias("w")).collect()}
+        new = {e: math.log((PRIOR_ROWS * math.exp(p) + counted.get(e, 0.0)) / (PRIOR_ROWS + rows)) for e, p in PRIOR.items()}
+        moved = max(abs(new[e] - costs[e]) for e in new)
+        costs = new
+        if moved <= SETTLED:
+            return costs
+    raise RuntimeError(f"the likelihoods still move by {moved} after {MOST_TURNS} turns")
 
 
 def entities(spellings: DataFrame) -> DataFrame:
@@ -361,29 +457,34 @@ def entities(spellings: DataFrame) -> DataFrame:
     """
     forms = spellings.where("row_id is not null and scope is not null and spelling is not null").select("row_id", "scope", "pii_type", "spelling")
     forms = shuffled(forms, "row_id").distinct()
+    forms = cut(forms)
     given = _given_names(forms)
-    normal = cut(_normalised(forms, given).where("form is not null"))
+    normal = cut(_normalised(forms, Lexicon(given)).where("form is not null"))
     counted = normal.groupBy("scope", "pii_type", "form").agg(F.count_distinct("row_id").alias("n"))
+    lexicon = Lexicon(given, mined_nicknames(counted, given))
+    shared = forms.sparkSession.sparkContext.broadcast(lexicon)
 
-    @F.pandas_udf("struct<keys:array<string>,rank:int>")
+    @F.pandas_udf("struct<variant:array<string>,canonical:array<string>,rank:int>")
     def described(form: pd.Series) -> pd.DataFrame:
         tuples = [tuple(f.split("\t")) for f in form]
-        return pd.DataFrame({"keys": [keys(t) for t in tuples], "rank": [rank(t) for t in tuples]})
+        found = [keys(t, shared.value) for t in tuples]
+        return pd.DataFrame({"variant": [v for v, _ in found], "canonical": [c for _, c in found], "rank": [rank(t, shared.value) for t in tuples]})
 
-    ranked = cut(counted.withColumn("d", described("form")).select("scope", "pii_type", "form", "n", "d.rank", "d.keys"))
-    keyed = ranked.select("scope", "pii_type", "form", "n", "rank", F.explode("keys").alias("key"))
-    left = keyed.withColumnsRenamed({"form": "a", "n": "na", "rank": "ra"})
-    right = keyed.withColumnsRenamed({"form": "b", "n": "nb", "rank": "rb"})
+    ranked = cut(counted.withColumn("d", described("form")).select("scope", "pii_type", "form", "n", "d.rank", "d.variant", "d.canonical"))
+    left = ranked.select("scope", "pii_type", F.col("form").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.explode("variant").alias("key"))
+    right = ranked.select("scope", "pii_type", F.col("form").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.explode("canonical").alias("key"))
     above = F.struct("rb", "nb", F.length("b"), "b") > F.struct("ra", "na", F.length("a"), "a")
     pairs = left.join(right, ["scope", "pii_type", "key"]).where(above).select("scope", "pii_type", "a", "na", "b", "nb").distinct()
-    scored = _scored(shuffled(pairs), given)
+    told = cut(_explained(shuffled(pairs), lexicon))
+    costs = learned_costs(told, float(counted.agg(F.sum("n")).first()[0] or 0))
+    scored = _scored(told, costs).where(F.col("score") >= LEAST_LIKELY)
     # A slip that is seen as often as its supposed origin is a name of its own, be there few rows or many.
     own = F.col("slip") & (F.col("na") >= 3) & (F.col("na") >= OWN_SHARE * F.col("nb"))
     posterior = F.log("nb") + F.col("score")
     attached = scored.where(~own).withColumn("posterior", posterior).groupBy("scope", "pii_type", "a").agg(F.max_by("b", F.struct("posterior", "b")).alias("b"))
     parents = ranked.select("scope", "pii_type", F.col("form").alias("a")).join(attached, ["scope", "pii_type", "a"], "left")
     parents = cut(parents.select("scope", "pii_type", "a", F.coalesce("b", "a").alias("root")))
-    for _ in range(math.ceil(math.log2(64))):  # parents rank higher, so chains are short; each turn doubles the reach
+    while True:  # parents rank higher, so chains end; each turn doubles the reach
         up = parents.select("scope", "pii_type", F.col("a").alias("root"), F.col("root").alias("further"))
         nearer = cut(parents.join(up, ["scope", "pii_type", "root"]).select("scope", "pii_type", "a", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")))
         parents = nearer.drop("moved")
