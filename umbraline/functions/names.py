@@ -6,24 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from umbraline.functions.text import collapsed, fold
+from umbraline.operators.rule_tables import FORM_WORDS
 
-# Words that no personal name contains.
-FORM_WORDS = (
-    "here mail with detach page form cut fold along line dotted tear staple clip ira iras nondeductible rollover contribution "
-    "distribution beneficiary traditional roth schedule department treasury internal revenue service attachment sequence omb copy "
-    "part section total subtotal amount balance due paid tax taxes income wages salary gross net adjusted taxable deduction "
-    "deductions credit credits refund withholding employer employee name address city state zip code number date signature title "
-    "single married filing jointly separately household widow widower yes no none see instructions check box if and or the of for "
-    "from this that continued important notice statement summary detail account type description quantity rate percent daytime "
-    "evening home work mobile cell phone email fax routing bank preparer occupation engineer manager analyst director officer "
-    "consultant attorney accountant taxpayer spouse filer ssn ein itin tin ptin social security identification need to keep have "
-    "has had will would should could can may might must is are was were be been being do does did make made get got go went come "
-    "came take took give gave want please note notes overview reminder action required pending next prior current previous review "
-    "reviewed confirm confirmed pay payment estimated return corporation company inc llc llp ltd trust estate partnership national "
-    "association federal united states america clinic hospital center centre university college school church foundation institute "
-    "agency office services county district authority board commission committee council campaign election presidential fund "
-    "program programme insurance health medical community society report worksheet only use"
-).split()
+# Codes of states, titles, endings of names.
 STATE_CODES = (
     "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC"
 ).split()

@@ -7,16 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from umbraline.functions.text import fold, normalized
+from umbraline.operators.rule_tables import OTHER_THRESHOLDS, THRESHOLDS
 from umbraline.sources.tables import LINE_KEY
 
-# Fixed values: (confirmed, probable) from which a type counts as such.
-THRESHOLDS = {
-    (0.55, 0.40): ["SSN", "EIN", "ITIN", "TIN", "IBAN", "CARD_NUMBER"],
-    (0.60, 0.45): ["ROUTING_NUMBER", "SWIFT_BIC", "UUID", "IP_ADDRESS", "MAC_ADDRESS", "EMAIL", "PHONE", "POSTAL_CODE"],
-    (0.65, 0.50): ["DOB", "PERSONAL_DATE", "ADDRESS", "STREET", "CITY_STATE"],
-    (0.68, 0.50): ["PERSON", "ORG_PRIVATE"],
-}
-OTHERS = (0.65, 0.45)
+# Of overlapping candidates the higher rank wins.
 SOURCE_RANK = {"manual": 4, "group": 3, "regex": 2}
 
 
@@ -36,10 +30,9 @@ def aggregate_confidence(evidence: Column, confidence: Column) -> Column:
 
 def adjudication(pii_type: Column, score: Column) -> Column:
     """CONFIRMED, PROBABLE or UNRESOLVED by the thresholds of the type."""
-    confirmed, probable = F.lit(OTHERS[0]), F.lit(OTHERS[1])
-    for (high, low), types in THRESHOLDS.items():
-        confirmed = F.when(pii_type.isin(types), high).otherwise(confirmed)
-        probable = F.when(pii_type.isin(types), low).otherwise(probable)
+    table = F.create_map(*(F.lit(x) for t, (high, low) in THRESHOLDS.items() for x in (t, [high, low])))
+    bounds = F.coalesce(table[pii_type], F.lit(list(OTHER_THRESHOLDS)))
+    confirmed, probable = bounds[0], bounds[1]
     return F.when(score >= confirmed, "CONFIRMED").when(score >= probable, "PROBABLE").otherwise("UNRESOLVED")
 
 
@@ -105,9 +98,11 @@ def all_words_confirmed(candidates: DataFrame) -> DataFrame:
 
 def clipped_by_labels(candidates: DataFrame, labels: DataFrame) -> DataFrame:
     """(cand_id, span_start, span_end, value): candidates moved past the label of their own line; none is left empty."""
-    own = labels.select(*LINE_KEY, "label_end")
-    joined = candidates.where("text is not null").join(own, LINE_KEY, "left")
-    start = F.when((F.col("span_start") < F.col("label_end")) & (F.col("span_end") > 0), F.greatest("span_start", "label_end")).otherwise(F.col("span_start"))
+    own = candidates.select("cand_id", "span_start", "span_end", *LINE_KEY).join(labels.select(*LINE_KEY, "label_start", "label_end"), LINE_KEY)
+    # Of several labels that a candidate touches the last one decides.
+    own = own.where("span_start < label_end and label_start < span_end").groupBy("cand_id").agg(F.max("label_end").alias("label_end"))
+    joined = candidates.where("text is not null").join(own, "cand_id", "left")
+    start = F.greatest("span_start", F.coalesce("label_end", F.lit(0)))
     moved = joined.withColumn("from", start).withColumn("part", F.substring("text", F.col("from") - F.col("span_start") + 1, F.length("text")))
     lead = F.length("part") - F.length(F.ltrim("part"))
     out = moved.where("from < span_end and trim(part) <> ''").select("cand_id", (F.col("from") + lead).cast("int").alias("span_start"), "span_end", F.trim("part").alias("value"))
@@ -116,7 +111,9 @@ def clipped_by_labels(candidates: DataFrame, labels: DataFrame) -> DataFrame:
 
 def retyped_from_labels(candidates: DataFrame, labels: DataFrame) -> DataFrame:
     """(cand_id, pii_type, label_type): candidates at least half inside the value of a label that announces one other type."""
-    values = labels.where(F.size("expects") == 1).select(*LINE_KEY, F.col("expects")[0].alias("label_type"), F.col("label_end").alias("a"), F.length("text").alias("b"))
+    behind = F.substring(F.col("text"), F.col("label_end") + 1, F.length("text"))
+    value_end = F.col("label_end") + F.length(behind) - F.length(F.ltrim(behind)) + F.length("value")
+    values = labels.withColumn("value_end", value_end).where(F.size("expects") == 1).select(*LINE_KEY, F.col("expects")[0].alias("label_type"), F.col("label_end").alias("a"), F.col("value_end").alias("b"))
     joined = candidates.where("text is not null and pii_type is not null and source <> 'manual'").join(values, LINE_KEY)
     inside = F.least("span_end", "b") - F.greatest("span_start", "a")
     half = inside * 2 >= F.col("span_end") - F.col("span_start")

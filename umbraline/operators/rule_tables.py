@@ -108,3 +108,294 @@ FIGURE_LABELS = [
     r"(units|shares|quantity|count|hours)",
     r"(occupation|job title|profession|filing status|status|marital status)",
 ]
+
+# Score from which a value of a type is confirmed, and from which it is probable.
+THRESHOLDS = {
+    "SSN": (0.55, 0.4),
+    "EIN": (0.55, 0.4),
+    "ITIN": (0.55, 0.4),
+    "TIN": (0.55, 0.4),
+    "IBAN": (0.55, 0.4),
+    "CARD_NUMBER": (0.55, 0.4),
+    "ROUTING_NUMBER": (0.6, 0.45),
+    "SWIFT_BIC": (0.6, 0.45),
+    "UUID": (0.6, 0.45),
+    "IP_ADDRESS": (0.6, 0.45),
+    "MAC_ADDRESS": (0.6, 0.45),
+    "EMAIL": (0.6, 0.45),
+    "PHONE": (0.6, 0.45),
+    "DOB": (0.65, 0.5),
+    "PERSONAL_DATE": (0.65, 0.5),
+    "PERSON": (0.68, 0.5),
+    "ORG_PRIVATE": (0.68, 0.5),
+    "ADDRESS": (0.65, 0.5),
+    "STREET": (0.65, 0.5),
+    "CITY_STATE": (0.65, 0.5),
+    "POSTAL_CODE": (0.6, 0.45),
+}
+OTHER_THRESHOLDS = (0.65, 0.45)
+
+# Words that no personal name contains.
+FORM_WORDS = [
+    "here",
+    "mail",
+    "with",
+    "detach",
+    "page",
+    "form",
+    "cut",
+    "fold",
+    "along",
+    "line",
+    "dotted",
+    "tear",
+    "staple",
+    "clip",
+    "ira",
+    "iras",
+    "nondeductible",
+    "rollover",
+    "contribution",
+    "distribution",
+    "beneficiary",
+    "traditional",
+    "roth",
+    "schedule",
+    "department",
+    "treasury",
+    "internal",
+    "revenue",
+    "service",
+    "attachment",
+    "sequence",
+    "omb",
+    "copy",
+    "part",
+    "section",
+    "total",
+    "subtotal",
+    "amount",
+    "balance",
+    "due",
+    "paid",
+    "tax",
+    "taxes",
+    "income",
+    "wages",
+    "salary",
+    "gross",
+    "net",
+    "adjusted",
+    "taxable",
+    "deduction",
+    "deductions",
+    "credit",
+    "credits",
+    "refund",
+    "withholding",
+    "employer",
+    "employee",
+    "name",
+    "address",
+    "city",
+    "state",
+    "zip",
+    "code",
+    "number",
+    "date",
+    "signature",
+    "title",
+    "single",
+    "married",
+    "filing",
+    "jointly",
+    "separately",
+    "household",
+    "widow",
+    "widower",
+    "yes",
+    "no",
+    "none",
+    "see",
+    "instructions",
+    "check",
+    "box",
+    "if",
+    "and",
+    "or",
+    "the",
+    "of",
+    "for",
+    "from",
+    "this",
+    "that",
+    "continued",
+    "important",
+    "notice",
+    "statement",
+    "summary",
+    "detail",
+    "account",
+    "type",
+    "description",
+    "quantity",
+    "rate",
+    "percent",
+    "daytime",
+    "evening",
+    "home",
+    "work",
+    "mobile",
+    "cell",
+    "phone",
+    "email",
+    "fax",
+    "routing",
+    "bank",
+    "preparer",
+    "occupation",
+    "engineer",
+    "manager",
+    "analyst",
+    "director",
+    "officer",
+    "consultant",
+    "attorney",
+    "accountant",
+    "taxpayer",
+    "spouse",
+    "filer",
+    "ssn",
+    "ein",
+    "itin",
+    "tin",
+    "ptin",
+    "social",
+    "security",
+    "identification",
+    "need",
+    "to",
+    "keep",
+    "have",
+    "has",
+    "had",
+    "will",
+    "would",
+    "should",
+    "could",
+    "can",
+    "may",
+    "might",
+    "must",
+    "is",
+    "are",
+    "was",
+    "were",
+    "be",
+    "been",
+    "being",
+    "do",
+    "does",
+    "did",
+    "make",
+    "made",
+    "get",
+    "got",
+    "go",
+    "went",
+    "come",
+    "came",
+    "take",
+    "took",
+    "give",
+    "gave",
+    "want",
+    "please",
+    "note",
+    "notes",
+    "overview",
+    "reminder",
+    "action",
+    "required",
+    "pending",
+    "next",
+    "prior",
+    "current",
+    "previous",
+    "review",
+    "reviewed",
+    "confirm",
+    "confirmed",
+    "pay",
+    "payment",
+    "estimated",
+    "return",
+    "corporation",
+    "company",
+    "inc",
+    "llc",
+    "llp",
+    "ltd",
+    "trust",
+    "estate",
+    "partnership",
+    "national",
+    "association",
+    "federal",
+    "united",
+    "states",
+    "america",
+    "clinic",
+    "hospital",
+    "center",
+    "centre",
+    "university",
+    "college",
+    "school",
+    "church",
+    "foundation",
+    "institute",
+    "agency",
+    "office",
+    "services",
+    "county",
+    "district",
+    "authority",
+    "board",
+    "commission",
+    "committee",
+    "council",
+    "campaign",
+    "election",
+    "presidential",
+    "fund",
+    "program",
+    "programme",
+    "insurance",
+    "health",
+    "medical",
+    "community",
+    "society",
+    "report",
+    "worksheet",
+    "only",
+    "use",
+]
+
+# Families of business figures, as (kind, reason, pattern).
+CURRENCY = r"(?:[$€£¥₹₩₽₪₫฿]|(?:USD|EUR|GBP|CAD|AUD|JPY|CNY|INR|CHF|MXN|NZD|SEK|NOK|DKK|HKD|SGD)(?![A-Za-z]))"
+FIGURES = [
+    ("money", "currency amount", rf"\(?-?\s?{CURRENCY}\s?\d[\d,]*(?:\.\d+)?\s?\)?|\d[\d,]*(?:\.\d+)?\s?{CURRENCY}(?![\w])"),
+    ("money", "amount with thousands separators", r"(?<![\w.,/])\(?-?\d{1,3}(?:,\d{3})+(?:\.\d+)?\)?(?![\w,])"),
+    ("money", "decimal amount", r"(?<![\w.,/])\(?-?\d+\.\d{2}\)?(?![\w.])"),
+    ("percent", "percentage", r"(?<![\w.])-?\d+(?:\.\d+)?\s?%"),
+    ("tax_year", "tax year", r"(?<![\w./,\-])(?:19|20)\d{2}(?![\w/\-])"),
+    ("line_number", "line number", r"(?i)\b(?:lines?|ln\.?)\s+\d{1,3}[a-z]?(?:\([a-z0-9]\))?(?![\w])"),
+    ("form_number", "form or schedule reference",
+     r"(?i)\b(?:forms?|schedules?|sch\.?|pub(?:lication)?\.?|notice)\s+"
+     r"(?:(?-i:[A-Z]{1,3})-?\d{1,4}(?-i:[A-Z])?(?:-(?-i:[A-Z]{1,3}))?|\d{3,4}(?:-?(?-i:[A-Z]{1,3}))?|(?-i:[A-Z]{1,2})\b)"),
+    ("form_number", "tax form number",
+     r"(?i)(?<![\w./,\-])(?:1040(?:-?(?:SR|NR|X|ES))?|1065|1120(?:-?S)?|1099(?:-?[A-Z]{2,5})?|"
+     r"941(?:-?X)?|940|W-?[2-9]|SS-?4|8832|2553|4868|7004|8949|8962)(?![\w/\-])"),
+    ("form_number", "page number", r"(?i)\bpage\s+\d+(?:\s+of\s+\d+)?(?![\w])"),
+]

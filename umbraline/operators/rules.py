@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from umbraline.functions.offsets import quoted, spans, spans_sql
 from umbraline.functions.validators import valid_sql
-from umbraline.operators.rule_tables import RULES, Rule
+from umbraline.operators.rule_tables import FIGURES, RULES, Rule
 from umbraline.sources.tables import LINE_KEY
 
 #: Lines above that count as context.
@@ -68,25 +68,6 @@ def financial_tokens(text: Column) -> Column:
     return F.array_sort(F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda m: F.regexp_replace(m, r"\s", "")))
 
 
-# Families of business figures, as (kind, reason, pattern).
-_CUR = r"(?:[$€£¥₹₩₽₪₫฿]|(?:USD|EUR|GBP|CAD|AUD|JPY|CNY|INR|CHF|MXN|NZD|SEK|NOK|DKK|HKD|SGD)(?![A-Za-z]))"
-FIGURES = [
-    ("money", "currency amount", rf"\(?-?\s?{_CUR}\s?\d[\d,]*(?:\.\d+)?\s?\)?|\d[\d,]*(?:\.\d+)?\s?{_CUR}(?![\w])"),
-    ("money", "amount with thousands separators", r"(?<![\w.,/])\(?-?\d{1,3}(?:,\d{3})+(?:\.\d+)?\)?(?![\w,])"),
-    ("money", "decimal amount", r"(?<![\w.,/])\(?-?\d+\.\d{2}\)?(?![\w.])"),
-    ("percent", "percentage", r"(?<![\w.])-?\d+(?:\.\d+)?\s?%"),
-    ("tax_year", "tax year", r"(?<![\w./,\-])(?:19|20)\d{2}(?![\w/\-])"),
-    ("line_number", "line number", r"(?i)\b(?:lines?|ln\.?)\s+\d{1,3}[a-z]?(?:\([a-z0-9]\))?(?![\w])"),
-    ("form_number", "form or schedule reference",
-     r"(?i)\b(?:forms?|schedules?|sch\.?|pub(?:lication)?\.?|notice)\s+"
-     r"(?:(?-i:[A-Z]{1,3})-?\d{1,4}(?-i:[A-Z])?(?:-(?-i:[A-Z]{1,3}))?|\d{3,4}(?:-?(?-i:[A-Z]{1,3}))?|(?-i:[A-Z]{1,2})\b)"),
-    ("form_number", "tax form number",
-     r"(?i)(?<![\w./,\-])(?:1040(?:-?(?:SR|NR|X|ES))?|1065|1120(?:-?S)?|1099(?:-?[A-Z]{2,5})?|"
-     r"941(?:-?X)?|940|W-?[2-9]|SS-?4|8832|2553|4868|7004|8949|8962)(?![\w/\-])"),
-    ("form_number", "page number", r"(?i)\bpage\s+\d+(?:\s+of\s+\d+)?(?![\w])"),
-]
-
-
 def find_figures(lines: DataFrame, kinds: list[tuple[str, str, str]] = FIGURES) -> DataFrame:
     """(line key, kind, reason, span_start, span_end, value): every business figure or form reference, blanks at the ends cut."""
 

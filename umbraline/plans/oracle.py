@@ -9,9 +9,8 @@ from umbraline.functions import names as N
 from umbraline.functions import text as X
 from umbraline.functions.validators import EIN_RESERVED
 from umbraline.operators import labels as L
-from umbraline.operators import relations as R
 from umbraline.operators import rules as U
-from umbraline.operators.rule_tables import FIGURE_LABELS, LABELS as LABEL_RULES, RULES, Rule
+from umbraline.operators.rule_tables import FIGURE_LABELS, FORM_WORDS, LABELS as LABEL_RULES, OTHER_THRESHOLDS, RULES, THRESHOLDS, Rule
 
 
 def q(text: str) -> str:
@@ -161,24 +160,42 @@ lambda v: regexp_replace(v, '\\s', '', 'g'))) AS t FROM l) SELECT {KEY}, array_t
 
 _RULE_ROWS = ", ".join(f"({n}, {q('(?i)' + chr(92) + 'b(?:' + p + ')' + chr(92) + 'b')}, {q(','.join(e))})" for n, (p, e) in enumerate(LABEL_RULES))
 _FIGURE = "greatest(" + ", ".join(f"length(regexp_extract(label, {q('(?i)' + chr(92) + 'b(?:' + p + ')' + chr(92) + 'b')}))" for p in FIGURE_LABELS) + ")"
-LABELS_CTE = f"""{LINES}, raw AS (SELECT *, regexp_extract(text, '^([^:]{{2,60}}):', 1) AS raw FROM l),
-cl AS (SELECT *, trim(regexp_replace(regexp_replace(raw, '[.\\x{{2026}}_\\-]{{2,}}\\s*$', ''), '^[\\s\\-\\x{{2010}}-\\x{{2015}}\\x{{2022}}\\x{{25cf}}\\x{{25aa}}*]+', ''), ' ') AS label FROM raw WHERE raw <> ''),
+_PIECE, _LATER = r"\S+(?: \S+)*", r"\S(?: {2,}|\t+)[A-Za-z][A-Za-z '&/().,\-]{1,40}?:"
+_LEN = lambda x: f"CAST(coalesce(list_sum(list_transform({x}, lambda v: length(v))), 0) AS BIGINT)"
+LABELS_CTE = f"""{LINES}, h1 AS (SELECT *, regexp_extract(text, '^([^:]{{2,60}}):', 1) AS head FROM l),
+h2 AS (SELECT *, regexp_matches(head, {q(L.VALUE)}) AS bears, substr(text, length(head) + 1) AS rest FROM h1),
+p0 AS (SELECT {KEY}, head, regexp_extract_all(head, {q(_PIECE)}) AS f, string_split_regex(head, {q(_PIECE)}) AS g FROM h2 WHERE head <> '' AND bears),
+p1 AS (SELECT {KEY}, len(f) AS k, unnest(range(1, len(f) + 1)) AS i, f, g FROM p0),
+p2 AS (SELECT {KEY}, k, i, f[i] AS v, {_LEN('f[1:i - 1]')} + {_LEN('g[1:i]')} AS a, rtrim(regexp_extract(f[i], {q(r"^((?:[^\s\d@$]+(?: |$))*)")}, 1), ' ') AS raw FROM p1),
+t0 AS (SELECT {KEY}, head, rest, regexp_extract_all(rest, {q(_LATER)}) AS f, string_split_regex(rest, {q(_LATER)}) AS g FROM h2 WHERE head <> '' AND NOT bears),
+t1 AS (SELECT {KEY}, length(head) AS h, unnest(range(1, len(f) + 1)) AS i, f, g FROM t0),
+t2 AS (SELECT {KEY}, h + {_LEN('f[1:i]')} + {_LEN('g[1:i]')} AS b, regexp_extract(f[i], '^.[ \\t]+(.*):$', 1) AS raw FROM t1),
+xs AS (SELECT {KEY}, head AS raw, 0 AS a, length(head) + 1 AS b, true AS colon FROM h2 WHERE head <> '' AND NOT bears
+UNION ALL SELECT {KEY}, raw, b - 1 - length(raw), b, true FROM t2
+UNION ALL SELECT {KEY}, raw, a, a + length(raw) + CASE WHEN i = k AND raw = v THEN 1 ELSE 0 END, true FROM p2
+UNION ALL SELECT {KEY}, text, 0, length(text), false FROM h2 WHERE head = '' AND NOT regexp_matches(text, {q(L.VALUE)})),
+cl AS (SELECT *, trim(regexp_replace(regexp_replace(raw, '[.\\x{{2026}}_\\-]{{2,}}\\s*$', ''), '^[\\s\\-\\x{{2010}}-\\x{{2015}}\\x{{2022}}\\x{{25cf}}\\x{{25aa}}*]+', ''), ' ') AS label FROM xs),
 rr(n, p, e) AS (VALUES {_RULE_ROWS}),
-dl AS (SELECT DISTINCT label FROM cl),
+dl AS (SELECT DISTINCT label FROM cl WHERE label <> ''),
 fit AS (SELECT label, n, e, regexp_extract(label, p) AS f FROM dl, rr),
-best AS (SELECT label, arg_max(e, {{'e': strpos(label, f) + length(f), 'l': length(f), 'o': -n}}) AS expects FROM fit WHERE length(trim(f, ' ')) >= 3 GROUP BY label),
-k AS (SELECT cl.*, {_FIGURE} >= {L.DOMINANCE} * length(label) AS figure, best.expects AS found, regexp_matches(label, '^[A-Za-z][A-Za-z0-9 ''&/().,\\-]{{1,44}}$') AS words
-FROM cl LEFT JOIN best USING (label)),
-lab AS (SELECT *, length(raw) + 1 AS label_end, CASE WHEN figure OR found IS NULL THEN '' ELSE found END AS expects, figure AS non_pii, NOT figure AND found IS NULL AS unknown,
-trim(substr(text, length(raw) + 2), ' ') AS value FROM k WHERE label <> '' AND length(label) <= 110 AND (figure OR found IS NOT NULL OR words))"""
-LABELS = f"WITH {LABELS_CTE} SELECT {KEY}, label, CAST(label_end AS INTEGER) AS label_end, expects, non_pii, unknown FROM lab"
+ft AS (SELECT *, len(list_filter(string_split_regex(label, '\\s+'), lambda w: w <> '')) > 4 AND len(list_filter(string_split_regex(regexp_replace(left(label, strpos(label, f) - 1),
+'(?i)^\\s*if\\b[^,.;:]{{0,40}},\\s*', ''), '\\s+'), lambda w: w <> '')) > 2 AS buried FROM fit WHERE length(trim(f, ' ')) >= 3),
+best AS (SELECT label, arg_max(e, {{'e': strpos(label, f) + length(f), 'l': length(f), 'o': -n}}) AS expects FROM ft WHERE NOT buried GROUP BY label),
+dk AS (SELECT dl.label, {_FIGURE.replace('label', 'dl.label')} >= {L.DOMINANCE} * length(dl.label) AS figure, best.expects AS found, regexp_matches(dl.label, '^[A-Za-z][A-Za-z0-9 ''&/().,\\-]{{1,44}}$') AS words,
+regexp_matches(dl.label, '(?i)^(?:\\p{{L}}[\\p{{L}}\\p{{N}}_.''\\x{{2019}}\\-]*\\s+){{1,3}}(?:city|town)\\.?$') AND NOT list_has_any(list_transform(string_split_regex(lower(dl.label), '\\s+'), lambda w: trim(w, '.,''’')),
+[{listed(w for w in [*FORM_WORDS, *L.PLACE_MODIFIERS] if w not in ("city", "town"))}]) AS place FROM dl LEFT JOIN best USING (label) WHERE length(dl.label) <= 110),
+kk AS (SELECT cl.*, figure, found FROM cl JOIN dk USING (label) WHERE (figure OR (found IS NOT NULL AND NOT place) OR (found IS NULL AND words)) AND (colon OR figure OR found IS NOT NULL)),
+lab AS (SELECT l.*, label, kk.a AS label_start, kk.b AS label_end, CASE WHEN figure OR found IS NULL THEN '' ELSE found END AS expects, figure AS non_pii, NOT figure AND found IS NULL AS unknown,
+trim(substr(text, kk.b + 1, coalesce(lead(kk.a) OVER w, length(text)) - kk.b), ' ') AS value, row_number() OVER w AS n_label FROM kk JOIN l USING ({KEY}) WINDOW w AS (PARTITION BY {KEY} ORDER BY kk.a)),
+last AS (SELECT * FROM lab QUALIFY n_label = max(n_label) OVER (PARTITION BY {KEY}))"""
+LABELS = f"WITH {LABELS_CTE} SELECT {KEY}, label, CAST(label_start AS INTEGER) AS label_start, CAST(label_end AS INTEGER) AS label_end, expects, non_pii, unknown FROM lab"
 
 RIGHT = f"""WITH {LABELS_CTE}, j AS (SELECT a.fixture, a.page_no, a.block_no, a.line_no, a.label, b.x0, b.block_no AS value_block, b.line_no AS value_line, b.text AS value
-FROM lab a JOIN l b ON a.fixture = b.fixture AND a.page_no = b.page_no WHERE a.value = '' AND NOT a.non_pii AND b.x0 >= a.x1 - 0.5 AND b.x0 - a.x1 <= {L.RIGHT_GAP}
+FROM last a JOIN l b ON a.fixture = b.fixture AND a.page_no = b.page_no WHERE a.value = '' AND NOT a.non_pii AND b.x0 >= a.x1 - 0.5 AND b.x0 - a.x1 <= {L.RIGHT_GAP}
 AND (b.y0 + b.y1) / 2 BETWEEN a.y0 AND a.y1 AND length(regexp_replace(b.text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 2)
 SELECT {KEY}, label, value_block, value_line, value FROM j QUALIFY row_number() OVER (PARTITION BY {KEY}, label ORDER BY x0, value_block, value_line, value) = 1"""
 
-STACKED = f"""WITH {LABELS_CTE}, p AS (SELECT l.*, lab.label, lab.non_pii FROM l LEFT JOIN lab USING (fixture, page_no, block_no, line_no)),
+STACKED = f"""WITH {LABELS_CTE}, p AS (SELECT l.*, last.label, last.non_pii OR last.value <> '' AS non_pii FROM l LEFT JOIN last USING (fixture, page_no, block_no, line_no)),
 r AS (SELECT *, sum(CASE WHEN label IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY fixture, page_no ORDER BY y0, x0, block_no, line_no) AS run FROM p),
 h AS (SELECT *, first_value(block_no) OVER w AS label_block, first_value(line_no) OVER w AS label_line, first_value(label) OVER w AS head, first_value(x0) OVER w AS head_x,
 first_value(non_pii) OVER w AS skip, lag(y1) OVER w AS above, row_number() OVER w - 1 AS position FROM r WHERE run > 0 WINDOW w AS (PARTITION BY fixture, page_no, run ORDER BY y0, x0, block_no, line_no)),
@@ -187,18 +204,18 @@ OVER (PARTITION BY fixture, page_no, run ORDER BY y0, x0, block_no, line_no) AS
 SELECT fixture, page_no, label_block, label_line, head AS label, CAST(position AS INTEGER) AS position, block_no, line_no, text AS value
 FROM s WHERE NOT skip AND position BETWEEN 1 AND {L.STACKED} AND stopped = 0"""
 
-CLIPPED = f"""WITH {CANDS}, {LABELS_CTE}, j AS (SELECT c.cand_id, c.span_start, c.span_end, c.text, CASE WHEN c.span_start < lab.label_end AND c.span_end > 0
-THEN greatest(c.span_start, lab.label_end) ELSE c.span_start END AS s FROM c LEFT JOIN lab USING (fixture, page_no, block_no, line_no) WHERE c.text IS NOT NULL),
+CLIPPED = f"""WITH {CANDS}, {LABELS_CTE}, m AS (SELECT cand_id, max(label_end) AS e FROM c JOIN lab USING (fixture, page_no, block_no, line_no) WHERE span_start < label_end AND label_start < span_end GROUP BY ALL),
+j AS (SELECT cand_id, span_start, span_end, text, greatest(span_start, coalesce(e, 0)) AS s FROM c LEFT JOIN m USING (cand_id) WHERE text IS NOT NULL),
 p AS (SELECT *, substr(text, s - span_start + 1) AS part FROM j)
 SELECT cand_id, CAST(s + length(part) - length(ltrim(part, ' ')) AS INTEGER) AS span_start, span_end, trim(part, ' ') AS value FROM p WHERE s < span_end AND trim(part, ' ') <> ''"""
 
 RETYPED = f"""WITH {CANDS}, {LABELS_CTE} SELECT c.cand_id, c.pii_type, lab.expects AS label_type FROM c JOIN lab USING (fixture, page_no, block_no, line_no)
 WHERE c.text IS NOT NULL AND c.pii_type IS NOT NULL AND c.source <> 'manual' AND lab.expects <> '' AND NOT contains(lab.expects, ',') AND c.pii_type <> lab.expects
-AND (least(c.span_end, length(lab.text)) - greatest(c.span_start, lab.label_end)) * 2 >= c.span_end - c.span_start"""
+AND (least(c.span_end, lab.label_end + length(substr(lab.text, lab.label_end + 1)) - length(ltrim(substr(lab.text, lab.label_end + 1), ' ')) + length(lab.value)) - greatest(c.span_start, lab.label_end)) * 2 >= c.span_end - c.span_start"""
 
 # Aggregations
 
-_CASE = lambda k: "CASE " + " ".join(f"WHEN pii_type IN ({listed(t)}) THEN {v[k]}" for v, t in R.THRESHOLDS.items()) + f" ELSE {R.OTHERS[k]} END"
+_CASE = lambda k: "CASE " + " ".join(f"WHEN pii_type = {q(t)} THEN {v[k]}" for t, v in THRESHOLDS.items()) + f" ELSE {OTHER_THRESHOLDS[k]} END"
 ADJUDICATED = f"""WITH {CANDS}, w AS (SELECT cand_id, pii_type, coalesce(confidence, 0.0) AS own, list_transform(evidence, lambda e: e.weight) AS w FROM c),
 s AS (SELECT *, coalesce(list_product(list_transform(list_filter(w, lambda v: v > 0), lambda v: 1 - least(v, 0.99))), 1.0) AS p, coalesce(list_sum(list_filter(w, lambda v: v < 0)), 0.0) AS m FROM w),
 t AS (SELECT cand_id, pii_type, round(CASE WHEN coalesce(len(w), 0) = 0 THEN own ELSE greatest(0.0, least(1.0, CASE WHEN p < 1 THEN 1 - p ELSE own END + m)) END, 6) AS score FROM s)
@@ -255,7 +272,7 @@ WHEN pii_type = 'ORG_PRIVATE' THEN {_ORG} WHEN pii_type = 'PERSON' THEN {fold('t
 _WORDS = f"list_filter(string_split_regex(lower({COLLAPSED}), '[^\\p{{L}}]+'), lambda v: v <> '')"
 _T = "t"
 PERSON_SHAPE = f"""WITH {CANDS}, k AS (SELECT cand_id, {COLLAPSED} AS t, {_WORDS} AS w FROM c WHERE text IS NOT NULL),
-s AS (SELECT cand_id, CASE WHEN length(t) > 60 OR len(w) = 0 OR list_has_any(w, [{listed(N.FORM_WORDS)}]) OR regexp_matches(t, '[0-9@]') THEN 0.0
+s AS (SELECT cand_id, CASE WHEN length(t) > 60 OR len(w) = 0 OR list_has_any(w, [{listed(FORM_WORDS)}]) OR regexp_matches(t, '[0-9@]') THEN 0.0
 WHEN length(t) >= 4 AND regexp_matches(t, {q(f'^{N._CAPS}( {N._CAPS}){{1,3}}$')}) THEN 0.72
 WHEN length(t) >= 4 AND regexp_matches(t, {q('^[' + chr(92) + 'p{Lu}]{3,}$')}) THEN 0.55
 WHEN length(t) >= 4 AND regexp_matches(t, {q(rf'^{N._UP}( {N._UP})?, ?{N._UP}( \p{{Lu}}\.?)?$')}) AND regexp_extract(t, ', ?(.*)$', 1) NOT IN ({listed(N.STATE_CODES)}) THEN 0.75

@@ -119,7 +119,7 @@ def validators(spark, d):
 @query(O.LABELS)
 def field_labels(spark, d):
     found = labels.detect_labels(T.lines(spark, d))
-    return found.select(*LINE_KEY, "label", "label_end", F.array_join("expects", ",").alias("expects"), "non_pii", "unknown")
+    return found.select(*LINE_KEY, "label", "label_start", "label_end", F.array_join("expects", ",").alias("expects"), "non_pii", "unknown")
 
 
 @query(f"WITH {O.LABELS_CTE} SELECT fixture, page_no, block_no, line_no, label, value FROM lab WHERE value <> '' AND NOT non_pii")
