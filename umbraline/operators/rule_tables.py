@@ -399,3 +399,28 @@ FIGURES = [
      r"941(?:-?X)?|940|W-?[2-9]|SS-?4|8832|2553|4868|7004|8949|8962)(?![\w/\-])"),
     ("form_number", "page number", r"(?i)\bpage\s+\d+(?:\s+of\s+\d+)?(?![\w])"),
 ]
+
+# Types made of digits, what a form holds where it names nobody, and the types that satisfy an expected one.
+DIGIT_TYPES = [
+    "SSN", "EIN", "ITIN", "TIN", "STATE_TAX_ID", "BANK_ACCOUNT", "ROUTING_NUMBER", "PHONE", "FAX", "POSTAL_CODE", "DOB", "PERSONAL_DATE", "CARD_NUMBER",
+    "MEDICARE_ID", "IP_PIN", "PTIN",
+]
+PLACEHOLDERS = [
+    "self-prepared", "self prepared", "self", "n/a", "na", "n.a.", "none", "same", "same as above", "see attached", "see statement", "see stmt", "various",
+    "not applicable", "unknown", "applied for", "-", "--", "—", "x", "xx", "xxx", "on file", "declined", "withheld",
+]
+SATISFIED_BY = {
+    "ADDRESS": ["ADDRESS", "STREET", "CITY_STATE", "PO_BOX", "POSTAL_CODE"],
+    "POSTAL_CODE": ["POSTAL_CODE", "ADDRESS"],
+    "PERSON": ["PERSON"],
+    "TIN": ["TIN", "SSN", "EIN", "ITIN"],
+}
+# Types that describe one thing and do not contradict each other.
+COMPATIBLE = [
+    ["ADDRESS", "STREET", "CITY_STATE", "PO_BOX", "POSTAL_CODE"],
+    ["TIN", "SSN", "EIN", "ITIN"],
+    ["PHONE", "FAX"],
+    ["ACCOUNT_ID", "CUSTOMER_ID", "MEMBER_ID"],
+]
+# Types whose rules are strong evidence by themselves.
+STRONG_TYPES = ["SSN", "ITIN", "EIN", "TIN", "IP_PIN", "EMAIL", "PHONE", "CARD_NUMBER", "IBAN", "ROUTING_NUMBER"]

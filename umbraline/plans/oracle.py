@@ -335,3 +335,19 @@ SUBJECTS = f"""WITH {CANDS}, r AS (SELECT fixture, pii_type, {NORM_TEXT} AS valu
 SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY fixture, pii_type, value ORDER BY confidence DESC, cand_id) = 1"""
 SUFFIXED = f"""WITH {CANDS}, s AS (SELECT cand_id, lower(regexp_extract(trim(text, ' '), {q(rf'(?i)[ ,]({N.SUFFIXES})\.?$')}, 1)) AS suffix FROM c WHERE pii_type = 'PERSON' AND text IS NOT NULL)
 SELECT * FROM s WHERE suffix <> ''"""
+
+
+def SENSITIVE_OF(x: str) -> str:  # noqa: N802
+    """SQL of whether the value ``x`` looks sensitive."""
+    t = f"trim(regexp_replace({x}, '{_BLANKS}', ' ', 'g'), ' ')"
+    words = f"list_filter(string_split_regex(lower({t}), '[^\\p{{L}}]+'), lambda v: v <> '')"
+    shapes = [f"^{N._CAPS}( {N._CAPS}){{1,3}}$", r"^[\p{Lu}]{3,}$", f"^{N._UP}( {N._UP}){{1,3}}$", rf"^{N._UP}( ({N._UP}|\p{{Lu}}\.)){{1,3}}$"]
+    surname_first = f"(regexp_matches({t}, {q(rf'^{N._UP}( {N._UP})?, ?{N._UP}( ' + chr(92) + 'p{Lu}' + chr(92) + '.?)?$')}) AND regexp_extract({t}, ', ?(.*)$', 1) NOT IN ({listed(N.STATE_CODES)}))"
+    named = " OR ".join([*(f"regexp_matches({t}, {q(s)})" for s in shapes), surname_first])
+    caseless = f"regexp_matches({t}, {q('^' + chr(92) + 'p{Lo}{2,12}$')})"
+    person = f"(length({t}) <= 60 AND len({words}) > 0 AND NOT list_has_any({words}, [{listed(FORM_WORDS)}]) AND NOT regexp_matches({t}, '[0-9@]') AND ((length({t}) >= 4 AND ({named})) OR {caseless}))"
+    return (
+        f"(regexp_matches({x}, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{{2,}}') OR {person} "
+        f"OR regexp_matches({x}, '(?i)[0-9]+ .*\\b(street|st|avenue|ave|road|rd|drive|dr|lane|ln|court|ct)\\b') OR regexp_matches({x}, ', [A-Z]{{2}}\\b') "
+        f"OR length(regexp_replace({x}, '[^0-9]', '', 'g')) >= 5)"
+    )

@@ -414,3 +414,7 @@ def rewritten_lines(spark, d):
 def leak_check(spark, d):
     c = T.candidates(spark, d)
     return relations.leaks(relations.rewritten_lines(T.lines(spark, d), c), c)
+
+
+# Further groups of queries register themselves.
+from umbraline.plans import binding  # noqa: E402, F401
