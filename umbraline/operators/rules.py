@@ -4,26 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from umbraline.functions.offsets import quoted, spans, spans_sql
 from umbraline.functions.validators import valid_sql
 from umbraline.operators.rule_tables import FIGURES, RULES, Rule
 from umbraline.sources.tables import LINE_KEY
 
-#: Lines above that count as context.
-CONTEXT_LINES = 8
+#: Lines above in the same column that count as context, and how near the line directly above is, in heights.
+CONTEXT_LINES, ADJACENT = 8, 1.8
 MONEY = r"\$\s?-?[\d,]+(?:\.\d{1,2})?|\(\s?\$\s?[\d,]+(?:\.\d{1,2})?\s?\)|\(\s?\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?\s?\)"
 PERCENT = r"-?\d+(?:\.\d+)?\s?%"
 
 
 def with_context(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``context``: the line and the CONTEXT_LINES above it on its page, in lower case.
+    """``lines`` with ``context``: the line, the one directly above and those above in its column, in lower case.
 
-    Pages are the partitions: a page is bounded by what fits on paper, so no window grows with the data.
+    Lines above end no more than a point below the line's top. The nearest of them counts if it is
+    within ADJACENT heights; of those that overlap the line from side to side the CONTEXT_LINES lowest.
+    A page is joined with itself and bounded by what fits on paper, so nothing grows with the data.
     """
-    above = Window.partitionBy("fixture", "page_no").orderBy("block_no", "line_no").rowsBetween(-CONTEXT_LINES, 0)
-    return lines.withColumn("context", F.array_join(F.collect_list(F.lower("text")).over(above), "\n"))
+    own = lines.select(*LINE_KEY, "x0", "y0", "x1", F.greatest(F.col("y1") - F.col("y0"), F.lit(1.0)).alias("height"))
+    above = lines.select("fixture", "page_no", F.struct((-F.col("y1")).alias("up"), F.col("block_no").alias("b"), F.col("line_no").alias("l"), "text").alias("o"),
+                         F.col("x0").alias("ox0"), F.col("x1").alias("ox1"))
+    pairs = own.join(above, ["fixture", "page_no"]).where(-F.col("o.up") <= F.col("y0") + 1)
+    near = F.col("y0") + F.col("o.up") < ADJACENT * F.col("height")
+    column = ~((F.col("ox1") < F.col("x0") - 2) | (F.col("x1") < F.col("ox0") - 2))
+    found = pairs.groupBy(*LINE_KEY).agg(
+        F.min(F.when(near, F.col("o"))).alias("nearest"), F.slice(F.array_sort(F.collect_list(F.when(column, F.col("o")))), 1, CONTEXT_LINES).alias("column")
+    )
+    joined = lines.join(found, LINE_KEY, "left")
+    texts = F.concat(F.array(F.col("text"), F.col("nearest.text")), F.coalesce(F.transform("column", lambda o: o["text"]), F.array().cast("array<string>")))
+    return joined.withColumn("context", F.lower(F.array_join(texts, " "))).drop("nearest", "column")
 
 
 def _pattern(rule: Rule) -> str:
@@ -38,7 +49,7 @@ def _hits(rule: Rule) -> str:
     review = f"NOT {ok} OR NOT {cue}" if rule.review_unless_context else f"NOT {ok}"
     keep = f"({ok} OR {cue})"
     if rule.money_guard:
-        keep += " AND NOT exists(money, x -> x.span_start <= m.span_start AND x.span_end >= m.span_end)"
+        keep += " AND NOT exists(money, x -> x.span_start <= m.span_start AND x.span_end >= m.span_end) AND NOT contains(substring(text, greatest(m.span_start - 1, 1), least(m.span_start, 2)), '$')"
     row = (
         f"named_struct('rule', {quoted(rule.name)}, 'pii_type', {quoted(rule.pii_type)}, 'span_start', m.span_start, 'span_end', m.span_end, 'value', m.value, "
         f"'confidence', round(CASE WHEN {ok} THEN {sure} ELSE least({sure}, 0.6D) END, 4), 'needs_review', {review})"

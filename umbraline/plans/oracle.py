@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from umbraline.functions import names as N
 from umbraline.functions import text as X
 from umbraline.functions.validators import EIN_RESERVED
@@ -62,8 +59,11 @@ CASE WHEN chars < 24 THEN 'empty' WHEN bad * 20 > chars OR letters * 100 < chars
 
 # Rules
 
-CTX = f"""{LINES}, x AS (SELECT *, string_agg(lower(text), chr(10)) OVER (PARTITION BY fixture, page_no ORDER BY block_no, line_no
-ROWS BETWEEN {U.CONTEXT_LINES} PRECEDING AND CURRENT ROW) AS context FROM l)"""
+CTX = f"""{LINES}, cp AS (SELECT a.fixture, a.page_no, a.block_no, a.line_no, o.text AS ot, o.y1 AS oy1, o.block_no AS ob, o.line_no AS ol, a.y0 - o.y1 < 1.8 * greatest(a.y1 - a.y0, 1.0) AS near,
+NOT (o.x1 < a.x0 - 2 OR a.x1 < o.x0 - 2) AS col FROM l a JOIN l o ON a.fixture = o.fixture AND a.page_no = o.page_no AND o.y1 <= a.y0 + 1),
+cn AS (SELECT {KEY}, ot AS nt FROM cp WHERE near QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY oy1 DESC, ob, ol) = 1),
+cc AS (SELECT {KEY}, string_agg(ot, ' ' ORDER BY r) AS ct FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY oy1 DESC, ob, ol) AS r FROM cp WHERE col) WHERE r <= 8 GROUP BY ALL),
+x AS (SELECT l.*, lower(concat_ws(' ', text, nt, ct)) AS context FROM l LEFT JOIN cn USING ({KEY}) LEFT JOIN cc USING ({KEY}))"""
 CONTEXT = f"WITH {CTX} SELECT {KEY}, md5(coalesce(context, '')) AS context_md5 FROM x"
 PLAIN_RULES = "email iban swift_bic ipv4 mac uuid city_state_zip street_address po_box dob drivers_license mrn claim_number case_number employee_id customer_id".split()
 DIGIT_RULES = {  # name: (core, characters that may not stand before, and behind)
@@ -79,11 +79,6 @@ DIGIT_RULES = {  # name: (core, characters that may not stand before, and behind
 }
 
 
-def ascii_only(lines: DataFrame) -> DataFrame:
-    """Lines on pages of plain ASCII only would cut pages; the lines are kept and only their own text decides."""
-    return lines.withColumn("text", F.when(F.col("text").rlike(r"^[\x00-\x7F]*$"), F.col("text")).otherwise(F.lit("")))
-
-
 def _digits(v: str) -> str:
     return f"regexp_replace({v}, '[^0-9]', '', 'g')"
 
@@ -121,22 +116,24 @@ def _judge(rule: Rule) -> str:
 
 
 def _found(source: str, pattern: str) -> str:
-    """``m`` for a pattern without look-around: matches placed by the gaps between them."""
+    """``m`` for a pattern without look-around: matches placed by the gaps between them, in ``plain``."""
     return (
-        f"SELECT *, list_sum(list_transform(g[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda v: length(v))), 0) AS span_start, f[i] AS value FROM "
-        f"(SELECT *, unnest(range(1, len(f) + 1)) AS i FROM (SELECT *, regexp_extract_all(text, {q(pattern)}) AS f, string_split_regex(text, {q(pattern)}) AS g FROM {source} "
-        f"WHERE regexp_matches(text, {q(pattern)})))"
+        f"SELECT * REPLACE (substr(text, CAST(span_start AS BIGINT) + 1, length(value)) AS value) FROM (SELECT *, list_sum(list_transform(g[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda v: length(v))), 0) AS span_start, f[i] AS value FROM "
+        f"(SELECT *, unnest(range(1, len(f) + 1)) AS i FROM (SELECT *, regexp_extract_all(plain, {q(pattern)}) AS f, string_split_regex(plain, {q(pattern)}) AS g FROM {source} "
+        f"WHERE regexp_matches(plain, {q(pattern)}))))"
     )
 
 
 def rules_sql(rules: list[Rule]) -> str:
-    plain = "xa AS (SELECT * REPLACE (CASE WHEN regexp_matches(text, '^[\\x00-\\x7F]*$') THEN text ELSE '' END AS text) FROM l)"
-    context = f"{LINES}, {plain}, " + CTX.removeprefix(LINES + ", ").replace(" FROM l)", " FROM xa)")
+    # A letter beyond ASCII is one of a word, which \\b does not know here: it becomes one that is.
+    letters = "array_to_string(list_transform(string_split(text, ''), lambda v: CASE WHEN ord(v) > 127 AND regexp_matches(v, '[\\p{L}\\p{M}\\p{N}]') THEN '_' ELSE v END), '')"
     parts = []
     for r in rules:
         pattern = r.pattern if r.case_sensitive else "(?i)" + r.pattern
-        parts.append(f"(WITH m AS ({_found('x', pattern)}) {_judge(r)})")
-    return f"WITH {context} " + " UNION ALL ".join(parts)
+        # Where "_" may be part of a match the text is read as it is.
+        source = "(SELECT * REPLACE (text AS plain) FROM xp)" if "._" in pattern else "xp"
+        parts.append(f"(WITH m AS ({_found(source, pattern)}) {_judge(r)})")
+    return f"WITH {CTX}, xp AS (SELECT *, {letters} AS plain FROM x) " + " UNION ALL ".join(parts)
 
 
 def digit_rules_sql() -> str:

@@ -80,9 +80,9 @@ def rule_hits(spark, d):
 
 @query(O.rules_sql([r for r in RULES if r.name in O.PLAIN_RULES]))
 def rule_hits_plain(spark, d):
-    """The rules that need no look-around, on lines of plain ASCII."""
+    """The rules that need no look-around."""
     chosen = [r for r in RULES if r.name in O.PLAIN_RULES]
-    return rules.detect_rules(O.ascii_only(T.lines(spark, d)), chosen)
+    return rules.detect_rules(T.lines(spark, d), chosen)
 
 
 @query(O.digit_rules_sql())
