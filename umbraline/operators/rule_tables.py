@@ -424,3 +424,10 @@ COMPATIBLE = [
 ]
 # Types whose rules are strong evidence by themselves.
 STRONG_TYPES = ["SSN", "ITIN", "EIN", "TIN", "IP_PIN", "EMAIL", "PHONE", "CARD_NUMBER", "IBAN", "ROUTING_NUMBER"]
+# Types whose values may be figures, and those that a figure is never cut out of.
+FIGURE_WAIVER = [
+    "SSN", "ITIN", "EIN", "TIN", "IP_PIN", "STATE_TAX_ID", "POSTAL_CODE", "BANK_ACCOUNT", "ROUTING_NUMBER", "CARD_NUMBER", "EMPLOYEE_ID", "PAYROLL_ID",
+    "MEDICARE_ID", "POLICY_NUMBER", "MEMBER_ID", "MRN", "CLAIM_NUMBER", "CASE_NUMBER", "MATTER_ID", "CUSTOMER_ID", "ACCOUNT_ID", "DRIVERS_LICENSE", "PASSPORT",
+    "DOB", "PERSONAL_DATE",
+]
+FIGURE_CLIP_EXEMPT = [*FIGURE_WAIVER, "ADDRESS", "STREET", "CITY_STATE"]
