@@ -13,6 +13,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="umbraline-checkpoint-"))
 
 
@@ -22,6 +24,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_plain(df: DataFrame) -> DataFrame:
+    """As ``cut``, without the constraints and statistics that a checkpoint hands on: over many turns the planner drowns in them."""
+    done = cut(df)._jdf
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), df.sparkSession)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan over all cores where its few files make fewer tasks than that; larger scans stay as they are.
 

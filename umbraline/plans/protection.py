@@ -31,11 +31,11 @@ def held_proposals(spark, d):
     return gate.held_back(c, relations.name_tokens(c))
 
 
-@query(f"""WITH {O.CANDS}, w AS (SELECT DISTINCT {O.fold(O.NORM)} AS v FROM expected_decisions WHERE state = 'rejected' AND text IS NOT NULL)
+@query(f"""WITH {O.CANDS}, w AS (SELECT DISTINCT {O.fold(O.NORM)} AS v FROM expected_decisions WHERE state = 'kept' AND text IS NOT NULL)
 SELECT cand_id, CASE WHEN {_STRENGTH} = 'strong' THEN 'flagged' ELSE 'dropped' END AS outcome FROM (SELECT *, {O.fold(O.NORM)} AS v FROM c WHERE text IS NOT NULL) SEMI JOIN (SELECT * FROM w WHERE v <> '') USING (v)""")
 def objected_candidates(spark, d):
-    """Values that the decisions reject: weak candidates go, strong ones are flagged."""
-    rejected = T.table(spark, d, "expected_decisions").where("state = 'rejected' and text is not null").select(F.col("text").alias("value"))
+    """Values that the decisions keep as they are: weak candidates go, strong ones are flagged."""
+    rejected = T.table(spark, d, "expected_decisions").where("state = 'kept' and text is not null").select(F.col("text").alias("value"))
     return gate.objections(T.candidates(spark, d), rejected)
 
 
