@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from umbraline.plans.lineage import cut, shuffled
+from umbraline.plans.lineage import cut, cut_plain, shuffled
 
 # States, directions, words before a unit, kinds of streets in full.
 STATES = dict(
@@ -341,8 +341,8 @@ def name_rewrites(parsed: DataFrame) -> DataFrame:
     areas = F.filter(F.array(F.col("zip"), F.col("city")), lambda x: x != "")
     squeezed = F.regexp_replace("name", " ", "")
     base = parsed.where("num is not null and name <> ''").select("num", "name", squeezed.alias("s"), areas.alias("areas"), "n")
-    seen = cut(base.groupBy("name").agg(F.count_distinct("num").alias("places"), F.sum("n").alias("n")))
-    placed = cut(base.select("num", F.explode_outer("areas").alias("area"), "name", "s").distinct())
+    seen = cut_plain(base.groupBy("name").agg(F.count_distinct("num").alias("places"), F.sum("n").alias("n")))
+    placed = cut_plain(base.select("num", F.explode_outer("areas").alias("area"), "name", "s").distinct())
     blocks = placed.where("area is not null").groupBy("num", "area").agg(F.count(F.lit(1)).alias("k"))
     wide = placed.select("num", "name").distinct().groupBy("num").agg(F.count(F.lit(1)).alias("k"))
     meets = lambda x, name: x.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias(name))
@@ -369,7 +369,7 @@ def _extended(known: DataFrame, new: DataFrame) -> DataFrame:
     """``known`` and ``new`` (role, a, b), each led on where its result is itself rewritten."""
     both = known.unionByName(new)
     on = both.select("role", F.col("a").alias("b"), F.col("b").alias("further"))
-    return cut(both.join(on, ["role", "b"], "left").select("role", "a", F.coalesce("further", "b").alias("b")))
+    return cut_plain(both.join(on, ["role", "b"], "left").select("role", "a", F.coalesce("further", "b").alias("b")))
 
 
 def _respelt(parsed: DataFrame, names: DataFrame) -> DataFrame:
@@ -385,11 +385,11 @@ def mine(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = texts.sparkSession
     known = spark.createDataFrame([], "role string, a string, b string")
-    parsed = cut(_parsed(texts.withColumn("told", F.lit(None).cast(_REWRITES))))
+    parsed = cut_plain(_parsed(texts.withColumn("told", F.lit(None).cast(_REWRITES))))
     while True:
         while True:
             new = token_rewrites(_spelt_names(parsed, known)).unionByName(_second_words(parsed))
-            new = cut(new.join(known, ["role", "a"], "left_anti"))
+            new = cut_plain(new.join(known, ["role", "a"], "left_anti"))
             if new.isEmpty():
                 break
             known = _extended(known, new)
@@ -398,10 +398,10 @@ def mine(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
             told = tokens.join(touched, "rid", "left_semi").join(known.where("role <> 'name'"), "a")
             told = told.groupBy("rid").agg(F.collect_set(F.struct("role", "a", "b")).alias("told"))
             again = _parsed(shuffled(parsed.select("rid", "text", "n").join(told, "rid")))
-            parsed = cut(parsed.join(told, "rid", "left_anti").unionByName(again))
-        spelt = cut(_respelt(parsed, known.where("role = 'name'")))
+            parsed = cut_plain(parsed.join(told, "rid", "left_anti").unionByName(again))
+        spelt = cut_plain(_respelt(parsed, known.where("role = 'name'")))
         found = name_rewrites(spelt).select(F.lit("name").alias("role"), "a", "b")
-        found = cut(found.join(known, ["role", "a"], "left_anti"))
+        found = cut_plain(found.join(known, ["role", "a"], "left_anti"))
         if found.isEmpty():
             return spelt, known
         known = _extended(known, found)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from umbraline.plans.lineage import cut, shuffled
+from umbraline.plans.lineage import cut, cut_plain, shuffled
 
 #: Random cuts of each text; all texts are cut.
 TRIALS = 12
@@ -282,12 +282,6 @@ def _rated(states: DataFrame) -> DataFrame:
     return found.withColumn("r", r).drop("w1", "w2", "w3")
 
 
-def _forgetful(df: DataFrame) -> DataFrame:
-    """``df`` cut off, without the constraints that a checkpoint hands on: over many turns the planner drowns in them."""
-    done = cut(df)._jdf
-    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), df.sparkSession)
-
-
 def _settled(states: DataFrame) -> DataFrame:
     """``states`` with the posterior ``p`` and the rating ``r``, by turns until no posterior moves."""
     names = [c for c in states.columns if c not in ("p", "r")]
@@ -303,7 +297,7 @@ def _settled(states: DataFrame) -> DataFrame:
         odds = _logit(F.when(F.col("censored") < 0, rate).otherwise(F.col("censored"))) + F.col("ending") + F.coalesce("says", F.lit(0.0))
         # There are only four marks; sources may be many and are joined.
         told = rated.join(F.broadcast(marks), "mark", "left").join(free, "source", "left").withColumn("new", 1 / (1 + F.exp(-odds)))
-        states = _forgetful(told.select(*names, F.col("new").alias("p"), "r", F.abs(F.col("new") - F.col("p")).alias("moved")))
+        states = cut_plain(told.select(*names, F.col("new").alias("p"), "r", F.abs(F.col("new") - F.col("p")).alias("moved")))
         moved = states.agg(F.max("moved")).first()[0]
         states = states.drop("moved")
         if moved is None or moved <= SETTLED:
@@ -334,7 +328,7 @@ def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     held = cut(real.withColumn("censored", F.coalesce(F.greatest("at_chars", "at_bytes"), F.lit(-1.0))).select("id", *state))
     counted = held.groupBy(*state).agg(F.count(F.lit(1)).alias("n")).join(expected, ["kind", "c3"])
     start = F.when(F.col("censored") >= 0, F.col("censored")).when(F.col("closed"), CLOSED).otherwise(OPEN)
-    held = held.join(_settled(_forgetful(counted.withColumn("p", start))).select(*state, "p", "r"), state)
+    held = held.join(_settled(cut_plain(counted.withColumn("p", start))).select(*state, "p", "r"), state)
     # A text that ends with a whole sentence or list item stops nowhere inside, even at a limit.
     complete = F.col("closed") & (F.col("r") < 0.5 * START_RATE)
     return held.select(F.col("id").alias(id_col), "source", F.col("p").alias("posterior"), ((F.col("p") >= 0.5) & ~complete).alias("cut"))
