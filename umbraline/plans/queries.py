@@ -417,4 +417,4 @@ def leak_check(spark, d):
 
 
 # Further groups of queries register themselves.
-from umbraline.plans import binding, protection  # noqa: E402, F401
+from umbraline.plans import binding, entities, protection  # noqa: E402, F401
