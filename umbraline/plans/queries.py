@@ -417,4 +417,6 @@ def leak_check(spark, d):
 
 
 # Further groups of queries register themselves.
-from umbraline.plans import binding, entities, protection  # noqa: E402, F401
+from umbraline.plans import binding, entities, protection, replacing  # noqa: E402, F401
+
+ORACLES |= {"rewritten_lines": replacing.O_REWRITTEN, "leak_check": replacing.O_LEAKS, "propagated": replacing.O_PROPAGATED, "same_person_pairs": replacing.O_PAIRS}
