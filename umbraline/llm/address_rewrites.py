@@ -341,7 +341,7 @@ def name_rewrites(parsed: DataFrame) -> DataFrame:
     areas = F.filter(F.array(F.col("zip"), F.col("city")), lambda x: x != "")
     squeezed = F.regexp_replace("name", " ", "")
     base = parsed.where("num is not null and name <> ''").select("num", "name", squeezed.alias("s"), areas.alias("areas"), "n")
-    seen = cut_plain(base.groupBy("name").agg(F.count_distinct("num").alias("places"), F.sum("n").alias("n")))
+    seen = base.groupBy("name").agg(F.count_distinct("num").alias("places"), F.sum("n").alias("n"))
     placed = cut_plain(base.select("num", F.explode_outer("areas").alias("area"), "name", "s").distinct())
     blocks = placed.where("area is not null").groupBy("num", "area").agg(F.count(F.lit(1)).alias("k"))
     wide = placed.select("num", "name").distinct().groupBy("num").agg(F.count(F.lit(1)).alias("k"))
@@ -386,25 +386,33 @@ def mine(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = texts.sparkSession
     known = spark.createDataFrame([], "role string, a string, b string")
     parsed = cut_plain(_parsed(texts.withColumn("told", F.lit(None).cast(_REWRITES))))
+    settled = False
     while True:
-        while True:
-            new = token_rewrites(_spelt_names(parsed, known)).unionByName(_second_words(parsed))
-            new = cut_plain(new.join(known, ["role", "a"], "left_anti"))
-            if new.isEmpty():
-                break
-            known = _extended(known, new)
+        new = token_rewrites(_spelt_names(parsed, known)).unionByName(_second_words(parsed))
+        new = cut_plain(new.join(known, ["role", "a"], "left_anti"))
+        if not new.isEmpty():
+            known, settled = _extended(known, new), False
             tokens = parsed.where("num is not null").select("rid", F.explode("words").alias("a"))
             touched = tokens.join(new.select("a").distinct(), "a", "left_semi").select("rid").distinct()
             told = tokens.join(touched, "rid", "left_semi").join(known.where("role <> 'name'"), "a")
             told = told.groupBy("rid").agg(F.collect_set(F.struct("role", "a", "b")).alias("told"))
             again = _parsed(shuffled(parsed.select("rid", "text", "n").join(told, "rid")))
             parsed = cut_plain(parsed.join(told, "rid", "left_anti").unionByName(again))
-        spelt = cut_plain(_respelt(parsed, known.where("role = 'name'")))
-        found = name_rewrites(spelt).select(F.lit("name").alias("role"), "a", "b")
-        found = cut_plain(found.join(known, ["role", "a"], "left_anti"))
-        if found.isEmpty():
+            continue
+        if settled:
+            return spelt, known
+        # Names are mined until none is new, then tokens are looked at once more.
+        spelt, turns = cut_plain(_respelt(parsed, known.where("role = 'name'"))), 0
+        while True:
+            found = name_rewrites(spelt).select(F.lit("name").alias("role"), "a", "b")
+            found = cut_plain(found.join(known, ["role", "a"], "left_anti"))
+            if found.isEmpty():
+                break
+            known, turns = _extended(known, found), turns + 1
+            spelt = cut_plain(_respelt(parsed, known.where("role = 'name'")))
+        if not turns:
             return spelt, known
-        known = _extended(known, found)
+        settled = True
 
 
 def _spelt_names(parsed: DataFrame, known: DataFrame) -> DataFrame:
