@@ -40,17 +40,17 @@ CUES = {
     "EIN": ["ein", "tin", "employer"],
     "PASSPORT": ["passport"],
     "DRIVERS_LICENSE": ["licence", "license", "dl", "driver"],
-    "PHONE": ["phone", "tel", "telefon", "fax", "text", "call", "cell", "answers", "reached", "number", "phone from"],
+    "PHONE": ["phone", "tel", "telefon", "fax", "text", "call", "cell", "reached", "number"],
     "NONE": [
         "serial", "batch", "invoice", "tracking", "control", "reference", "order", "part", "vendor", "build", "code",
         "publication", "section", "schedule", "confirmation", "case", "ticket", "docket", "meter", "ref",
     ],
     "PERSON": [
-        "dear", "contact", "holder", "per", "for", "attn", "taxpayer", "trustee", "herr", "ms", "beneficiary", "landlord", "by",
-        "contacter", "por", "contribuyente", "note", "ask", "of", "to", "with", "met", "call", "and", "frau", "mr", "mrs", "tenant",
+        "dear", "contact", "holder", "per", "for", "attn", "taxpayer", "trustee", "herr", "ms", "beneficiary", "by",
+        "por", "note", "ask", "of", "to", "with", "met", "call", "and", "frau", "mr", "mrs",
     ],
-    "ADDRESS": ["address", "lives at", "property at", "es", "to", "from", "at", "is", "mailed"],
-    "EMAIL": ["email", "correo", "cc", "prefers", "organizer to", "or", "try", "contact"],
+    "ADDRESS": ["address", "lives at", "property at", "es", "to", "from", "at", "is"],
+    "EMAIL": ["email", "correo", "cc", "or", "try", "contact"],
 }
 _CUE = {k: regex.compile(r"\b(?:" + "|".join(v) + r")\b", regex.I) for k, v in CUES.items()}
 
