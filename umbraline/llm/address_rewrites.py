@@ -262,12 +262,11 @@ def _settled_kinds(parsed: DataFrame) -> DataFrame:
     })
 
 
-def _second_words(parsed: DataFrame) -> DataFrame:
-    """(role, a, b): words right before the kind in at least SECOND_SHARE of the streets."""
+def _second_words(parsed: DataFrame, total: int) -> DataFrame:
+    """(role, a, b): words right before the kind in at least SECOND_SHARE of the ``total`` streets."""
     last = parsed.where("kind <> '' and not tentative and name like '% %'").select(F.element_at(F.split("name", " "), -1).alias("a"))
-    total = parsed.where("num is not null").agg(F.count(F.lit(1)).alias("total"))  # one row
-    counted = last.groupBy("a").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total))
-    return counted.where(F.col("n") >= F.greatest(F.lit(2.0), F.col("total") * SECOND_SHARE)).select(F.lit("second").alias("role"), "a", F.col("a").alias("b"))
+    counted = last.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("n") >= max(2.0, total * SECOND_SHARE)).select(F.lit("second").alias("role"), "a", F.col("a").alias("b"))
 
 
 def _evidence(parsed: DataFrame) -> DataFrame:
@@ -294,7 +293,7 @@ def _g(n: Column, chance: Column) -> Column:
     return 2 * n * F.log(n / F.greatest(chance, F.lit(1e-12)))
 
 
-def token_rewrites(parsed: DataFrame) -> DataFrame:
+def token_rewrites(parsed: DataFrame, total: int) -> DataFrame:
     """(role, a, b): one rewrite for each token, to where it stands most often, if the pair beats chance and looks like a variant."""
     placed = parsed.where("num is not null")
     item = lambda role, w: F.struct(F.lit(role).alias("role"), w.alias("w"))
@@ -302,8 +301,7 @@ def token_rewrites(parsed: DataFrame) -> DataFrame:
     seen = tokens.where("t.w <> ''").groupBy("t.role", "t.w").agg(F.count(F.lit(1)).alias("seen"))
     evidence = _evidence(parsed).where("n >= 2").withColumn("stands", F.sum("n").over(Window.partitionBy("role", "a")))
     pairs = evidence.join(seen.withColumnsRenamed({"w": "a", "seen": "seen_a"}), ["role", "a"]).join(seen.withColumnsRenamed({"w": "b", "seen": "seen_b"}), ["role", "b"])
-    pairs = pairs.crossJoin(F.broadcast(placed.agg(F.count(F.lit(1)).alias("total"))))  # one row
-    chance = F.greatest("seen_a", "n") * F.greatest("seen_b", "n") / F.col("total")
+    chance = F.greatest("seen_a", "n") * F.greatest("seen_b", "n") / F.lit(float(max(1, total)))
     # The stated abbreviations are of any frequency, a misspelling is rare beside its word.
     variant = _variant(F.col("a"), F.col("b")) | (_one_slip(F.col("a"), F.col("b")) & (F.col("seen_a") * 5 <= F.col("seen_b")))
     # A kind may be written in ways that share no letters, if it hardly ever stands for anything else.
@@ -345,8 +343,8 @@ def name_rewrites(parsed: DataFrame) -> DataFrame:
     placed = cut_plain(base.select("num", F.explode_outer("areas").alias("area"), "name", "s").distinct())
     blocks = placed.where("area is not null").groupBy("num", "area").agg(F.count(F.lit(1)).alias("k"))
     wide = placed.select("num", "name").distinct().groupBy("num").agg(F.count(F.lit(1)).alias("k"))
-    meets = lambda x, name: x.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias(name))
-    chances = meets(blocks, "near").crossJoin(meets(wide, "far")).crossJoin(seen.agg(F.sum("places").alias("total")))  # one row
+    meets = lambda x: x.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0.0
+    near_meets, far_meets, total = meets(blocks), meets(wide), float(wide.agg(F.sum("k")).first()[0] or 1.0)
 
     keyed = placed.where(F.length("s") >= 4).select("num", "area", "name", "s", F.explode(_deletions(F.col("s"))).alias("v"))
     b = keyed.select("num", "area", "v", F.col("name").alias("b"), F.col("s").alias("sb"))
@@ -358,8 +356,8 @@ def name_rewrites(parsed: DataFrame) -> DataFrame:
     bare = bare.unionByName(bare.select("num", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()  # either may be the slip
     far = bare.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")).withColumn("bare", F.lit(True))
     pairs = near.unionByName(far).join(seen.select(F.col("name").alias("a"), F.col("places").alias("pa"), F.col("n").alias("na")), "a")
-    pairs = pairs.join(seen.select(F.col("name").alias("b"), F.col("places").alias("pb"), F.col("n").alias("nb")), "b").crossJoin(F.broadcast(chances))
-    chance = F.when(F.col("bare"), F.col("far")).otherwise(F.col("near")) * 2 * F.col("pa") * F.col("pb") / F.col("total") / F.col("total")
+    pairs = pairs.join(seen.select(F.col("name").alias("b"), F.col("places").alias("pb"), F.col("n").alias("nb")), "b")
+    chance = F.when(F.col("bare"), far_meets).otherwise(near_meets) * 2 * F.col("pa") * F.col("pb") / total / total
     good = pairs.where((F.col("k") * 2 >= F.col("pa")) & ((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))))
     good = good.where(_g(F.col("k"), chance) >= LEAST_NAME_G)
     return good.groupBy("a").agg(F.max(F.struct("k", "nb", "b")).alias("x")).select("a", "x.b")
@@ -386,9 +384,10 @@ def mine(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = texts.sparkSession
     known = spark.createDataFrame([], "role string, a string, b string")
     parsed = cut_plain(_parsed(texts.withColumn("told", F.lit(None).cast(_REWRITES))))
+    total = parsed.where("num is not null").count()
     settled = False
     while True:
-        new = token_rewrites(_spelt_names(parsed, known)).unionByName(_second_words(parsed))
+        new = token_rewrites(_spelt_names(parsed, known), total).unionByName(_second_words(parsed, total))
         new = cut_plain(new.join(known, ["role", "a"], "left_anti"))
         if not new.isEmpty():
             known, settled = _extended(known, new), False
