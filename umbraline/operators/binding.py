@@ -16,6 +16,7 @@ from umbraline.sources.tables import LINE_KEY
 NAME_LINES = 2
 #: A value is covered if at least this share of its characters is.
 COVERED = 0.95
+# A line that is a label of its own, shapes of addresses and streets, fonts of signs.
 OWN_LABEL = r"^[\s\-‐-―•*]*[A-Za-z][A-Za-z '&/().#\-]{1,40}:(\s|$)"
 ADDRESS_SHAPE = (
     r"(?i),\s*(?:AL|AK|AZ|AR|CA|CO|CT|DE|FL|GA|HI|ID|IL|IN|IA|KS|KY|LA|ME|MD|MA|MI|MN|MS|MO|MT|NE|NV|NH|NJ|NM|NY|NC|ND|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|VT|VA|"

@@ -221,8 +221,10 @@ def _runs(text: Column) -> Column:
     return F.array_distinct(F.array_append(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.lit("")))
 
 
-def _first_run(value: Column) -> Column:
-    return F.regexp_extract(F.lower(value), r"[\p{L}\p{N}]+", 0)
+def _longest_run(value: Column) -> Column:
+    """The longest run of letters and digits of ``value`` in lower case, which is rarer than most; '' if it has none."""
+    runs = F.regexp_extract_all(F.lower(value), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"], F.lit(""))
 
 
 def _holds(text: Column, value: Column) -> Column:
@@ -234,10 +236,10 @@ def _holds(text: Column, value: Column) -> Column:
 def leaks(rewritten: DataFrame, candidates: DataFrame) -> DataFrame:
     """(fixture, pii_type, n_values, n_leaked): values that a document still shows after the rewriting.
 
-    The first run of letters and digits of a value leads to the lines of its document that hold it, then the line is searched.
+    The longest run of letters and digits of a value leads to the lines of its document that hold it, then the line is searched.
     """
     values = candidates.where("text is not null and pii_type is not null").select("fixture", "pii_type", F.lower(normalized(F.col("text"))).alias("value")).distinct()
-    values = values.where(F.length("value") >= 4).withColumn("word", _first_run(F.col("value")))
+    values = values.where(F.length("value") >= 4).withColumn("word", _longest_run(F.col("value")))
     words = rewritten.select("fixture", "text", F.explode(_runs(F.col("text"))).alias("word"))
     seen = values.join(words, ["fixture", "word"]).where(_holds(F.col("text"), F.col("value"))).select("fixture", "pii_type", "value").distinct().withColumn("leaked", F.lit(1))
     joined = values.join(seen, ["fixture", "pii_type", "value"], "left")
@@ -247,11 +249,11 @@ def leaks(rewritten: DataFrame, candidates: DataFrame) -> DataFrame:
 def propagated(lines: DataFrame, candidates: DataFrame) -> DataFrame:
     """(line key, pii_type, value, n): further whole-word occurrences of sure values of the same document.
 
-    The first run of letters and digits of a value leads to the lines that hold it (a hash join), then the line is searched.
+    The longest run of letters and digits of a value leads to the lines that hold it (a hash join), then the line is searched.
     """
     sure = candidates.where("text is not null and confidence >= 0.85 and pii_type in ('PERSON', 'ORG_PRIVATE', 'EMAIL', 'SSN', 'EIN', 'PHONE')")
     values = sure.select("fixture", "pii_type", normalized(F.col("text")).alias("value")).where(F.length("value") >= 4).distinct()
-    values = values.withColumn("word", _first_run(F.col("value")))
+    values = values.withColumn("word", _longest_run(F.col("value")))
     words = lines.where("text is not null").select(*LINE_KEY, "text", F.explode(_runs(F.col("text"))).alias("word"))
     found = words.join(values, ["fixture", "word"]).where(_holds(F.col("text"), F.col("value")))
     places = found.select(*LINE_KEY, "pii_type", "value").distinct()
