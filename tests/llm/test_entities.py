@@ -223,6 +223,19 @@ def test_misspelt_street_names_are_rewritten_by_evidence(spark):
     assert {r.name for r in parsed.where("rid in (900, 901)").collect()} == {"kilnwood"}
 
 
+def test_mining_takes_few_shuffles(spark):
+    names = ["Kilnwood", *(f"{a}{b}" for a in ("Amber", "Osprey", "Russet", "Walnut", "Indigo") for b in ("lock", "glen", "fell", "mere", "shaw"))]
+    rows = [f"{100 + i % 52} {names[i % 26]} {('Street', 'Zstr')[i >= 52]}, Norville, OH 45{100 + i % 52}" for i in range(104)]
+    rows += ["126 Kilnwod Street, Norville, OH 45126", "Norville, 126 Kilnwood Street, OH 45126"]
+    texts = spark.createDataFrame([(i, t, 1) for i, t in enumerate(rows)], "rid bigint, text string, n bigint")
+    sc = spark.sparkContext._jsc.sc()
+    began = sc.newShuffleId()
+    _, known = A.mine(texts)
+    # The driver's memory grows with every shuffle of every turn's plan.
+    assert sc.newShuffleId() - began < 85
+    assert {("kind", "zstr", "street"), ("name", "kilnwod", "kilnwood")} <= {tuple(r) for r in known.collect()}
+
+
 def test_nicknames_outside_the_list_are_mined_and_relatives_are_not(spark):
     surnames = [f"{a}{b}" for a in ("Wexel", "Torum", "Griar", "Corab", "Zanar", "Fenund") for b in ("ford", "stead", "holme", "wick", "gard", "lund", "marsh", "combe", "vale", "thorpe")]
     others = ["Marta", "Priya", "Haldor", "Yelena", "Ottoline", "Casimir", "Bernadine", "Ludovic", "Philippa", "Rosalind"]

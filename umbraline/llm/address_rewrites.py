@@ -276,11 +276,13 @@ def _evidence(parsed: DataFrame) -> DataFrame:
     """
     known = parsed.where("num is not null and (zip <> '' or city <> '')")
     where = F.when(F.col("zip") != "", F.col("zip")).otherwise(F.col("city"))
-    fills = known.where("kind <> ''").groupBy("num", "name", where.alias("area"), "kind").agg(F.max("tentative").alias("t"), F.sum("n").alias("n"))
+    areas = shuffled(known.where("kind <> ''").select("num", "name", where.alias("area"), "kind", "tentative", "n"), "num", "name", "area")
+    fills = areas.groupBy("num", "name", "area", "kind").agg(F.max("tentative").alias("t"), F.sum("n").alias("n"))
     place = Window.partitionBy("num", "name", "area")
     top = F.max(F.when(~F.col("t"), F.struct("n", "kind"))).over(place)
     kinds = fills.withColumn("b", top["kind"]).where("t and b is not null and kind <> b").select(F.lit("kind").alias("role"), F.col("kind").alias("a"), "b")
-    cities = known.where("zip <> '' and city <> ''").groupBy("num", "name", "zip", "city").agg(F.sum("n").alias("n"))
+    coded = shuffled(known.where("zip <> '' and city <> ''").select("num", "name", "zip", "city", "n"), "num", "name", "zip")
+    cities = coded.groupBy("num", "name", "zip", "city").agg(F.sum("n").alias("n"))
     usual = F.max(F.struct("n", "city")).over(Window.partitionBy("num", "name", "zip"))["city"]
     pairs = cities.withColumn("usual", usual).where("city <> usual").select(F.split("city", " ").alias("x"), F.split("usual", " ").alias("y"))
     diff = F.filter(F.arrays_zip("x", "y"), lambda p: p["x"] != p["y"])
@@ -299,7 +301,7 @@ def token_rewrites(parsed: DataFrame, total: int) -> DataFrame:
     item = lambda role, w: F.struct(F.lit(role).alias("role"), w.alias("w"))
     tokens = placed.select(F.explode(F.concat(F.array(item("kind", F.col("kind"))), F.transform(F.split("city", " "), lambda w: item("city", w)))).alias("t"))
     seen = tokens.where("t.w <> ''").groupBy("t.role", "t.w").agg(F.count(F.lit(1)).alias("seen"))
-    evidence = _evidence(parsed).where("n >= 2").withColumn("stands", F.sum("n").over(Window.partitionBy("role", "a")))
+    evidence = cut_plain(_evidence(parsed).where("n >= 2")).withColumn("stands", F.sum("n").over(Window.partitionBy("role", "a")))
     pairs = evidence.join(seen.withColumnsRenamed({"w": "a", "seen": "seen_a"}), ["role", "a"]).join(seen.withColumnsRenamed({"w": "b", "seen": "seen_b"}), ["role", "b"])
     chance = F.greatest("seen_a", "n") * F.greatest("seen_b", "n") / F.lit(float(max(1, total)))
     # The stated abbreviations are of any frequency, a misspelling is rare beside its word.
@@ -309,8 +311,8 @@ def token_rewrites(parsed: DataFrame, total: int) -> DataFrame:
     good = pairs.where(variant & ~F.col("a").isin(sorted(KINDS)) & (_g(F.col("n"), chance) >= LEAST_G))
     best = good.groupBy("role", "a").agg(F.max(F.struct("n", "b")).alias("x")).select("role", "a", "x.b")
     # Of two that stand for each other the one that comes later in the alphabet gives way.
-    back = best.select("role", F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("both"))
-    return best.join(back, ["role", "a", "b"], "left").where("both is null or a > b").select("role", "a", "b")
+    either = best.groupBy("role", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.max("a").alias("a"))
+    return either.select("role", "a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
 
 
 def _deletions(word: Column) -> Column:
@@ -336,44 +338,60 @@ def name_rewrites(parsed: DataFrame) -> DataFrame:
     a tie) if it stands beside it in at least half of its places. Records without a place meet all
     names of their number, where chance is greater, and take the only one that fits.
     """
-    areas = F.filter(F.array(F.col("zip"), F.col("city")), lambda x: x != "")
     squeezed = F.regexp_replace("name", " ", "")
-    base = parsed.where("num is not null and name <> ''").select("num", "name", squeezed.alias("s"), areas.alias("areas"), "n")
+    base = parsed.where("num is not null and name <> ''").select("num", "name", squeezed.alias("s"), "zip", "city", "n")
     seen = base.groupBy("name").agg(F.count_distinct("num").alias("places"), F.sum("n").alias("n"))
-    placed = cut_plain(base.select("num", F.explode_outer("areas").alias("area"), "name", "s").distinct())
-    blocks = placed.where("area is not null").groupBy("num", "area").agg(F.count(F.lit(1)).alias("k"))
-    wide = placed.select("num", "name").distinct().groupBy("num").agg(F.count(F.lit(1)).alias("k"))
-    meets = lambda x: x.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0.0
-    near_meets, far_meets, total = meets(blocks), meets(wide), float(wide.agg(F.sum("k")).first()[0] or 1.0)
-
-    keyed = placed.where(F.length("s") >= 4).select("num", "area", "name", "s", F.explode(_deletions(F.col("s"))).alias("v"))
-    b = keyed.select("num", "area", "v", F.col("name").alias("b"), F.col("s").alias("sb"))
-    slip = _one_slip(F.col("s"), F.col("sb")) & (F.col("name") != F.col("b"))
-    same_place = keyed.where("area is not null").join(b, ["num", "area", "v"]).where(slip).select("num", F.col("name").alias("a"), "b").distinct()
-    near = same_place.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")).withColumn("bare", F.lit(False))
-    bare = keyed.where("area is null").join(b.drop("area"), ["num", "v"]).where(slip).select("num", F.col("name").alias("a"), "b").distinct()
-    bare = bare.groupBy("num", "a").agg(F.min("b").alias("b"), F.max("b").alias("other")).where("b = other").select("num", "a", "b")
-    bare = bare.unionByName(bare.select("num", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()  # either may be the slip
-    far = bare.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")).withColumn("bare", F.lit(True))
-    pairs = near.unionByName(far).join(seen.select(F.col("name").alias("a"), F.col("places").alias("pa"), F.col("n").alias("na")), "a")
-    pairs = pairs.join(seen.select(F.col("name").alias("b"), F.col("places").alias("pb"), F.col("n").alias("nb")), "b")
+    # Every name stands in its areas and, wherever it is, among all names of its number (bare); lone: some record has no area.
+    lone = F.greatest("zip", "city") == ""
+    spots = F.array(*(F.struct(F.lit(bare).alias("bare"), area.alias("area")) for bare, area in ((False, F.col("zip")), (False, F.col("city")), (True, F.lit("")))))
+    spots = F.explode(F.filter(spots, lambda x: x["bare"] | (x["area"] != ""))).alias("x")
+    placed = base.select("num", "name", "s", lone.alias("lone"), spots).groupBy("num", "name", "s", "x.bare", "x.area")
+    placed = cut_plain(placed.agg(F.max("lone").alias("lone")))
+    blocks = placed.groupBy("bare", "num", "area").agg(F.count(F.lit(1)).alias("k"))
+    sums = blocks.groupBy("bare").agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("meets"), F.sum("k").alias("k")).collect()
+    meets = {r.bare: r.meets for r in sums}
+    near_meets, far_meets, total = meets.get(False, 0.0), meets.get(True, 0.0), float(sum(r.k for r in sums if r.bare) or 1.0)
+
+    b = placed.where(F.length("s") >= 4).select("num", "bare", "area", "lone", F.col("name").alias("b"), F.col("s").alias("sb"), F.explode(_deletions(F.col("s"))).alias("v"))
+    asked = b.where("not bare or lone").drop("lone").withColumnsRenamed({"b": "a", "sb": "sa"})
+    b = b.drop("lone")
+    slip = _one_slip(F.col("sa"), F.col("sb")) & (F.col("a") != F.col("b"))
+    met = asked.join(b, ["num", "bare", "area", "v"]).where(slip)
+    # The names one slip from another are bounded by its letters.
+    mates = met.groupBy("bare", "num", "a").agg(F.collect_set("b").alias("bs")).where("not bare or size(bs) = 1").withColumn("b", F.explode("bs"))
+    there, back = F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    mates = mates.withColumn("x", F.explode(F.when(F.col("bare"), F.array(there, back)).otherwise(F.array(there))))  # either may be the slip
+    counted = cut_plain(mates.groupBy("bare", "x.a", "x.b").agg(F.count_distinct("num").alias("k")))
+    pairs = counted.join(seen.select(F.col("name").alias("b"), F.col("places").alias("pb"), F.col("n").alias("nb")), "b")
+    pairs = pairs.join(seen.select(F.col("name").alias("a"), F.col("places").alias("pa"), F.col("n").alias("na")), "a")
     chance = F.when(F.col("bare"), far_meets).otherwise(near_meets) * 2 * F.col("pa") * F.col("pb") / total / total
     good = pairs.where((F.col("k") * 2 >= F.col("pa")) & ((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))))
     good = good.where(_g(F.col("k"), chance) >= LEAST_NAME_G)
     return good.groupBy("a").agg(F.max(F.struct("k", "nb", "b")).alias("x")).select("a", "x.b")
 
 
-def _extended(known: DataFrame, new: DataFrame) -> DataFrame:
+def _extended(known: DataFrame | None, new: DataFrame) -> DataFrame:
     """``known`` and ``new`` (role, a, b), each led on where its result is itself rewritten."""
-    both = known.unionByName(new)
+    both = new if known is None else known.unionByName(new)
     on = both.select("role", F.col("a").alias("b"), F.col("b").alias("further"))
     return cut_plain(both.join(on, ["role", "b"], "left").select("role", "a", F.coalesce("further", "b").alias("b")))
 
 
-def _respelt(parsed: DataFrame, names: DataFrame) -> DataFrame:
-    """``parsed`` with kinds settled and street names rewritten."""
-    led = names.select(F.col("a").alias("name"), F.col("b").alias("__right"))
-    return _settled_kinds(parsed).join(led, "name", "left").withColumn("name", F.coalesce("__right", "name")).drop("__right")
+#: The columns that mining reads.
+_READ = ["num", "name", "kind", "tentative", "city", "zip", "n"]
+
+
+def _respelt(parsed: DataFrame, known: DataFrame | None, named: bool) -> DataFrame:
+    """``parsed`` with street names rewritten; ``named``: whether ``known`` holds any."""
+    if not named:
+        return parsed
+    led = known.where("role = 'name'").select(F.col("a").alias("name"), F.col("b").alias("__right"))
+    return parsed.join(led, "name", "left").withColumn("name", F.coalesce("__right", "name")).drop("__right")
+
+
+def _spelt(parsed: DataFrame, known: DataFrame | None, named: bool) -> DataFrame:
+    """As ``_respelt``, cut if there is anything to rewrite, since a turn reads it several times."""
+    return cut_plain(_respelt(parsed, known, named)) if named else parsed
 
 
 def mine(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -381,45 +399,40 @@ def mine(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Every token and every name is rewritten once at most, so this ends.
     """
-    spark = texts.sparkSession
-    known = spark.createDataFrame([], "role string, a string, b string")
+    known, named, settled = None, False, False
     parsed = cut_plain(_parsed(texts.withColumn("told", F.lit(None).cast(_REWRITES))))
     total = parsed.where("num is not null").count()
-    settled = False
     while True:
-        new = token_rewrites(_spelt_names(parsed, known), total).unionByName(_second_words(parsed, total))
-        new = cut_plain(new.join(known, ["role", "a"], "left_anti"))
+        read = _spelt(parsed.select(*_READ), known, named)
+        new = token_rewrites(read, total).unionByName(_second_words(parsed, total))
+        new = cut_plain(new if known is None else new.join(known, ["role", "a"], "left_anti"))
         if not new.isEmpty():
             known, settled = _extended(known, new), False
+            fresh = new.select("a").distinct().withColumn("fresh", F.lit(True))
             tokens = parsed.where("num is not null").select("rid", F.explode("words").alias("a"))
-            touched = tokens.join(new.select("a").distinct(), "a", "left_semi").select("rid").distinct()
-            told = tokens.join(touched, "rid", "left_semi").join(known.where("role <> 'name'"), "a")
-            told = told.groupBy("rid").agg(F.collect_set(F.struct("role", "a", "b")).alias("told"))
+            told = tokens.join(known.where("role <> 'name'").join(fresh, "a", "left"), "a")
+            told = told.groupBy("rid").agg(F.collect_set(F.struct("role", "a", "b")).alias("told"), F.max("fresh").alias("fresh"))
+            told = cut_plain(told.where("fresh").drop("fresh"))
             again = _parsed(shuffled(parsed.select("rid", "text", "n").join(told, "rid")))
             parsed = cut_plain(parsed.join(told, "rid", "left_anti").unionByName(again))
             continue
-        if settled:
-            return spelt, known
         # Names are mined until none is new, then tokens are looked at once more.
-        spelt, turns = cut_plain(_respelt(parsed, known.where("role = 'name'"))), 0
-        while True:
+        turns = 0
+        while not settled:
+            spelt = _spelt(_settled_kinds(parsed.select(*_READ)), known, named)
             found = name_rewrites(spelt).select(F.lit("name").alias("role"), "a", "b")
-            found = cut_plain(found.join(known, ["role", "a"], "left_anti"))
+            if named:
+                found = found.join(known.where("role = 'name'").select("a"), "a", "left_anti").select("role", "a", "b")
+            found = cut_plain(found)
             if found.isEmpty():
                 break
-            known, turns = _extended(known, found), turns + 1
-            spelt = cut_plain(_respelt(parsed, known.where("role = 'name'")))
+            known, named, turns = _extended(known, found), True, turns + 1
         if not turns:
-            return spelt, known
+            known = texts.sparkSession.createDataFrame([], "role string, a string, b string") if known is None else known
+            return cut_plain(_respelt(_settled_kinds(parsed), known, named)), known
         settled = True
 
 
-def _spelt_names(parsed: DataFrame, known: DataFrame) -> DataFrame:
-    """``parsed`` with street names rewritten, kinds being as they are."""
-    led = known.where("role = 'name'").select(F.col("a").alias("name"), F.col("b").alias("__right"))
-    return parsed.join(led, "name", "left").withColumn("name", F.coalesce("__right", "name")).drop("__right")
-
-
 def _only(t: list, p: int, others: list[list]) -> object | None:
     """The value of part ``p`` in the rows that fit ``t`` elsewhere, if there is only one."""
     found = None
