@@ -110,6 +110,42 @@ def test_mentions_and_placeholders(spark):
     assert weak_spans.mentions(df.limit(0), names).collect() == []
 
 
+def _most_sent(spark, job):
+    """Bytes that the tasks of one stage of ``job`` sent to the driver, at most."""
+    sc = spark.sparkContext._jsc.sc()
+    began = sc.dagScheduler().nextStageId()
+    job()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    sent = [s.resultSize() for s in (stages.apply(i) for i in range(stages.size())) if s.stageId() >= began]
+    return max(sent)
+
+
+def test_partitions_do_not_each_send_a_sample(spark, monkeypatch):
+    rows = [("t", i, "; ".join(f"call ({200 + i % 700}) 555-{1000 + 9 * k + i % 7}" for k in range(20))) for i in range(1600)]
+    df = spark.createDataFrame(rows, "tbl string, row_id bigint, text string")
+    names = spark.createDataFrame([("Anna Rinberg",)], "name string")
+    monkeypatch.setattr(weak_spans, "TRAINING_ROWS", 40)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        # 40 rows of 20 spans are about 120 KB, all rows 5 MB.
+        assert _most_sent(spark, lambda: weak_spans.mentions(df, names)) < 1_000_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_training_rows_are_the_first_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(weak_spans, "TRAINING_ROWS", 40)
+    span = "array(named_struct('features', array(cast(id as int)), 'votes', concat('v', id)))"
+    df = spark.range(0, 3000, 1, 8).selectExpr("'t' tbl", "id row_id", f"if(id % 3 = 0, array(), {span}) spans")
+    first = df.where("size(spans) > 0").orderBy(F.xxhash64("tbl", "row_id")).limit(40).select("spans.features", "spans.votes").collect()
+    # The last total is far too large, so its bound passes too few at first.
+    for total in (2000, 60, 10**7):
+        assert weak_spans._training(df, total) == first
+    assert len(weak_spans._training(df.limit(9), 6)) == 6 and weak_spans._training(df.limit(0), 0) == []
+
+
 @pytest.mark.parametrize("text", ["", " ", "​" * 50, "9" * 5000, "A " * 3000])
 def test_proposals_of_odd_texts(text):
     proposer = weak_spans.Proposer({"anna"}, set())

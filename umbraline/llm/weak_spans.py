@@ -313,6 +313,24 @@ def _proposed(rows: DataFrame, given: set[str], common: set[str]) -> DataFrame:
     return rows.mapInPandas(run, f"tbl string, row_id bigint, text string, spans {_SPANS}")
 
 
+def _training(proposed: DataFrame, total: int) -> list:
+    """(features, votes) of the TRAINING_ROWS rows that come first by the hash of their id, of the ``total`` with spans.
+
+    A limit behind a sort would send that many rows from each partition to the driver. So only rows
+    under a bound of the hash are sorted, of which there are hardly more in all; should there be too
+    few, the bound is raised.
+    """
+    keys = F.xxhash64("tbl", "row_id").alias("h"), "tbl", "row_id"
+    keyed = proposed.where(F.size("spans") > 0).select(*keys, "spans.features", "spans.votes")
+    share = (TRAINING_ROWS + 10 * TRAINING_ROWS**0.5) / max(1, total)
+    while True:
+        able = keyed.where(F.col("h") < int(share * 2**64) - 2**63) if share < 1 else keyed
+        sample = able.orderBy("h", "tbl", "row_id").limit(TRAINING_ROWS).select("features", "votes").collect()
+        if share >= 1 or len(sample) == TRAINING_ROWS:
+            return sample
+        share *= 2
+
+
 def _decided(proposed: DataFrame, weights: np.ndarray) -> DataFrame:
     """(tbl, row_id, text, found): the spans that are personal data; of overlapping ones the surer, then the longer."""
     shared = proposed.sparkSession.sparkContext.broadcast(weights)
@@ -350,14 +368,14 @@ def mentions(rows: DataFrame, names: DataFrame) -> DataFrame:
     rows = shuffled(rows.where("row_id is not null and text is not null"), "tbl", "row_id").groupBy("tbl", "row_id").agg(F.min("text").alias("text"))
     given, common = given_names(names), common_words(rows, names)
     proposed = cut(_proposed(rows, given, common))
-    patterns = proposed.select(F.explode("spans.votes").alias("votes")).groupBy("votes").count()  # bounded by the labelers' votes
-    counted = [(tuple(r.votes.split("|")), r["count"]) for r in patterns.orderBy("votes").collect()]
+    patterns = proposed.select(F.posexplode("spans.votes").alias("at", "votes")).groupBy("votes")
+    patterns = patterns.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("at") == 0).alias("rows")).orderBy("votes").collect()  # bounded by the labelers' votes
+    counted = [(tuple(r.votes.split("|")), r.n) for r in patterns]
     post, _ = reliabilities(counted)
     meaning = {"|".join(v): post[i] for i, (v, _) in enumerate(counted)}
-    sample = proposed.where(F.size("spans") > 0).orderBy(F.xxhash64("tbl", "row_id"), "tbl", "row_id").limit(TRAINING_ROWS).select("spans").collect()
-    spans = [s for r in sample for s in r.spans]
-    weights = train([s.features for s in spans], np.array([meaning[s.votes] for s in spans], dtype="float32"))
-    return _decided(proposed, weights)
+    sample = _training(proposed, sum(r.rows for r in patterns))
+    targets = np.array([meaning[v] for r in sample for v in r.votes], dtype="float32")
+    return _decided(proposed, train([f for r in sample for f in r.features], targets))
 
 
 def redacted(found: DataFrame) -> DataFrame:
