@@ -125,6 +125,31 @@ def test_verification_finds_what_is_left(spark):
     assert counts == {"john lee": 1, "50": 0, "nobody": 0}
 
 
+def _joined_rows(df):
+    """Rows out of the largest join of ``df``'s last run."""
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        own = node.metrics().apply("numOutputRows").value() if "Join" in name else 0
+        return max([own, *(walk(node.children().apply(i)) for i in range(node.children().size()))])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_values_with_a_common_first_word_do_not_meet_all_its_lines(spark):
+    lines = _page(spark, *(f"Name: Person{i} of {i}" for i in range(200)), "name: ΟΣ.Α, name  person7 OF 7 and $7 Name: Person8", "12%off Kelvin")
+    values = [("f", f"Name: Person{i}") for i in range(200)] + [("f", "name person7 of 7"), ("f", "ΟΣ"), ("f", "ſt"), ("f", "--"), ("f", "off Kelvin"), ("g", "name"), ("f", "Person")]
+    df = replacing.value_counts(lines, spark.createDataFrame(values, "fixture string, value string"))
+    got = {(r.fixture, r.value): r.n for r in df.collect()}
+    assert all(got.pop(("f", f"Name: Person{i}")) == (2 if i == 8 else 1) for i in range(200))
+    assert got == {("f", "name person7 of 7"): 1, ("f", "ΟΣ"): 1, ("f", "ſt"): 0, ("f", "off Kelvin"): 1, ("g", "name"): 0, ("f", "Person"): 0}
+    assert _joined_rows(df) < 1000
+
+
 def test_verdicts_on_candidates(spark):
     cands = _cands(spark, (1, 0, 0, 1, "CA", "CITY_STATE", 0.9, "ner"), (2, 0, 0, 1, "$1,200.00", "PERSON", 0.9, "ner"), (3, 0, 0, 1, "Total Amount", "PERSON", 0.9, "ner"),
                    (4, 0, 0, 1, "Elm Hollow", "STREET", 0.9, "ner"), (5, 0, 0, 1, "handle", "USERNAME", 0.9, "ner"), (6, 0, 0, 1, "n/a", "PERSON", 0.9, "group"),

@@ -44,6 +44,25 @@ def fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"[ \t\r\n\f\x0B]+", " "))
 
 
+@lru_cache(maxsize=1)
+def case_table() -> tuple[str, str]:
+    """Letters whose lower case differs from that of letters which the pattern flags ``iu`` take as the same, and the letter to use."""
+    one = lambda ch, other: other if len(other) == 1 else ch
+    odd = {}
+    for number in range(0x80, 0x1E944):
+        ch = chr(number)
+        low, same = one(ch, ch.lower()), one(ch, one(ch, ch.upper()).lower())
+        # A mark that counts as a letter stays a mark, so that runs of letters end where they did.
+        if low != same and ch.isalnum():
+            odd[low] = same
+    return "".join(odd), "".join(odd.values())
+
+
+def caseless(text: Column) -> Column:
+    """Lower case in which two texts are equal where the pattern flags ``iu`` take them as equal."""
+    return F.translate(F.lower(F.translate(text, "İ", "i")), *case_table())
+
+
 def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\r\n\f\x0B]+", " "))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from umbraline.functions.text import entity_key, fold, normalized
+from umbraline.functions.text import caseless, entity_key, fold, normalized
 from umbraline.operators.pseudonyms import masked, seed
 from umbraline.operators.rules import MONEY, PERCENT, financial_tokens
 from umbraline.sources.tables import LINE_KEY
@@ -19,6 +19,8 @@ ORGANISATIONS = ["Arden", "Belford", "Castor", "Denholm", "Elgin", "Fenwick", "G
 SUFFIX = r"(?i)[ ,]+(llc|inc\.?|corp\.?|ltd\.?|llp|lp|plc|pllc|pc|co\.?)$"
 #: Times that a replacement is drawn anew before the shape mask is taken.
 SALTS = 8
+#: Rows of 64 bits that are sent to the workers to pass over words with which no value begins.
+SLOTS = 1 << 17
 
 
 def generated(pii_type: Column, value: Column, seed_: Column) -> Column:
@@ -88,18 +90,32 @@ def value_counts(lines: DataFrame, values: DataFrame) -> DataFrame:
     """(fixture, value, n): how often ``values`` (fixture, value) stand in a document as whole words, in any case.
 
     A number that is part of a longer one by a hyphen, slash or point, or of an amount, is no occurrence. Values
-    meet the lines that hold their first run of letters and digits; those that occur nowhere have 0.
+    meet the lines that hold all their runs of letters and digits in a row; those that occur nowhere have 0. The
+    lines' words are first joined to the numbers of runs that values beginning with them have, one row for each
+    word of a document, so that words which begin many values, like "name" or "1", are not multiplied by these.
+    Most words begin no value: a table of bits, of a fixed size, spares them the shuffle.
     """
-    run = r"[\p{L}\p{N}]+"
-    wanted = values.select("fixture", "value").distinct().withColumn("word", F.regexp_extract(F.lower("value"), run, 0)).where("word <> ''")
-    words = lines.where("text is not null").select("fixture", *[c for c in LINE_KEY if c != "fixture"], "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(run), F.lit(0)))).alias("word"))
+    runs = lambda t: F.regexp_extract_all(caseless(t), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    wanted = values.select("fixture", "value").distinct().withColumn("runs", runs(F.col("value"))).where(F.size("runs") > 0)
+    keyed = wanted.select("fixture", "value", F.array_join("runs", " ").alias("key"))
+    begun = wanted.groupBy("fixture", F.get("runs", F.lit(0)).alias("word")).agg(F.collect_set(F.size("runs")).alias("sizes"))
+    words = lines.where("text is not null").select("fixture", "text", F.explode(F.array_distinct(runs(F.col("text")))).alias("word"))
     plain = F.regexp_replace(F.regexp_replace("text", MONEY, " ¤ "), PERCENT, " ¤ ")
+    place = F.pmod(F.xxhash64("fixture", "word"), F.lit(64 * SLOTS)).alias("place")
+    bits = begun.select(place).groupBy((F.col("place") % SLOTS).alias("slot")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(place div {SLOTS} as int))")).alias("bits"))
+    words = words.withColumn("place", place).withColumn("slot", F.col("place") % SLOTS).join(F.broadcast(bits), "slot").where(f"getbit(bits, cast(place div {SLOTS} as int)) = 1")
+    rows = words.select("fixture", "text", "word").join(begun, ["fixture", "word"]).select("fixture", "word", "sizes", plain.alias("text"))
+    # Both arrays are bound to a variable, so they are computed once and not for every place.
+    places = lambda r: F.filter(F.transform(r, lambda w, i: F.when(w == F.col("word"), i)), lambda i: i.isNotNull())
+    at = lambda r, i: F.transform(F.filter("sizes", lambda n: i + n <= F.size(r)), lambda n: F.array_join(F.slice(r, i + 1, n), " "))
+    keys = F.flatten(F.flatten(F.transform(F.array(runs(F.col("text"))), lambda r: F.transform(places(r), lambda i: at(r, i)))))
+    rows = rows.select("fixture", "text", F.explode(F.array_distinct(keys)).alias("key"))
     literal = F.regexp_replace(F.regexp_replace("value", r"([^\p{L}\p{N}\s])", r"\\$1"), r"\s+", r"\\s+")
     digit = F.col("value").rlike("^[0-9]")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])"), F.when(digit, r"(?<![0-9][-/.])").otherwise(""), literal, F.lit(r"(?![\p{L}\p{N}_])"), F.when(F.col("value").rlike("[0-9]$"), r"(?![-/.][0-9])").otherwise(""))
-    found = words.join(wanted, ["fixture", "word"]).withColumn("n", F.regexp_count(plain, pattern))
-    counted = found.groupBy("fixture", "value").agg(F.sum("n").alias("n"))
-    return wanted.select("fixture", "value").join(counted, ["fixture", "value"], "left").select("fixture", "value", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    found = rows.join(keyed, ["fixture", "key"]).select("fixture", "value", F.regexp_count("text", pattern).cast("bigint").alias("n"))
+    counted = found.unionByName(keyed.select("fixture", "value", F.lit(0).cast("bigint").alias("n")))
+    return counted.groupBy("fixture", "value").agg(F.sum("n").alias("n"))
 
 
 def verified(lines: DataFrame, rewritten: DataFrame, candidates: DataFrame) -> DataFrame:
