@@ -150,6 +150,14 @@ def test_values_with_a_common_first_word_do_not_meet_all_its_lines(spark):
     assert _joined_rows(df) < 1000
 
 
+def test_verification_of_values_with_a_common_first_word(spark):
+    lines = _page(spark, *(f"Name: Person{i} of {i}" for i in range(200)))
+    cands = _cands(spark, *((i, i, 0, len(f"Name: Person{i}"), f"Name: Person{i}", "PERSON", 0.9, "ner") for i in range(200)))
+    df = replacing.verified(lines, lines, cands)
+    assert {(r.check, r.failures) for r in df.collect()} == {("originals", 200), ("placeholders", 200)}
+    assert _joined_rows(df) < 1000
+
+
 def test_verdicts_on_candidates(spark):
     cands = _cands(spark, (1, 0, 0, 1, "CA", "CITY_STATE", 0.9, "ner"), (2, 0, 0, 1, "$1,200.00", "PERSON", 0.9, "ner"), (3, 0, 0, 1, "Total Amount", "PERSON", 0.9, "ner"),
                    (4, 0, 0, 1, "Elm Hollow", "STREET", 0.9, "ner"), (5, 0, 0, 1, "handle", "USERNAME", 0.9, "ner"), (6, 0, 0, 1, "n/a", "PERSON", 0.9, "group"),

@@ -173,8 +173,8 @@ def search_status(hits: DataFrame, candidates: DataFrame) -> DataFrame:
     return joined.groupBy("hit_id").agg(F.sum(F.coalesce(F.contains("line_text", "text").cast("bigint"), F.lit(0))).alias("touched"))
 
 
-def resolve_overlaps(candidates: DataFrame) -> DataFrame:
-    """(cand_id): candidates that survive on their line, in order of start and reverse end.
+def _surviving(candidates: DataFrame) -> DataFrame:
+    """(line key, kept): the candidates that survive on their line, in order of start and reverse end.
 
     A candidate meets the first kept one it overlaps; the higher source rank wins, then the longer
     span, then the confidence, and the earlier on a tie. Only that first conflict is settled. The fold
@@ -183,7 +183,7 @@ def resolve_overlaps(candidates: DataFrame) -> DataFrame:
     rank = F.coalesce(F.create_map(*(F.lit(x) for kv in SOURCE_RANK.items() for x in kv))[F.col("source")], F.lit(1))
     item = F.struct(
         F.col("span_start").alias("a"), (-F.col("span_end")).alias("minus_b"), "cand_id",
-        F.struct(rank.alias("r"), (F.col("span_end") - F.col("span_start")).alias("n"), F.coalesce("confidence", F.lit(0.0)).alias("c")).alias("worth"),
+        F.struct(rank.alias("r"), (F.col("span_end") - F.col("span_start")).alias("n"), F.coalesce("confidence", F.lit(0.0)).alias("c")).alias("worth"), "pii_type",
     )
     rows = candidates.where("text is not null").groupBy(*LINE_KEY).agg(F.sort_array(F.collect_list(item)).alias("items"))
     empty = F.slice("items", 1, 0)
@@ -196,14 +196,19 @@ def resolve_overlaps(candidates: DataFrame) -> DataFrame:
             .otherwise(kept)
         )
 
-    kept = rows.select(F.explode(F.aggregate("items", empty, step)).alias("k"))
-    return kept.select("k.cand_id")
+    return rows.select(*LINE_KEY, F.aggregate("items", empty, step).alias("kept"))
+
+
+def resolve_overlaps(candidates: DataFrame) -> DataFrame:
+    """(cand_id): candidates that survive on their line."""
+    return _surviving(candidates).select(F.explode("kept").alias("k")).select("k.cand_id")
 
 
 def rewritten_lines(lines: DataFrame, candidates: DataFrame) -> DataFrame:
     """(line key, text): each line with its surviving candidates replaced by ``[TYPE]``, from left to right."""
-    chosen = candidates.join(resolve_overlaps(candidates), "cand_id", "left_semi").where("pii_type is not null")
-    targets = chosen.groupBy(*LINE_KEY).agg(F.sort_array(F.collect_list(F.struct("span_start", "span_end", "pii_type"))).alias("targets"))
+    typed = F.filter("kept", lambda k: k["cand_id"].isNotNull() & k["pii_type"].isNotNull())
+    target = lambda k: F.struct(k["a"].alias("span_start"), (-k["minus_b"]).alias("span_end"), k["pii_type"].alias("pii_type"))
+    targets = _surviving(candidates).select(*LINE_KEY, F.sort_array(F.transform(typed, target)).alias("targets")).where(F.size("targets") > 0)
     joined = lines.select(*LINE_KEY, "text").join(targets, LINE_KEY, "left")
 
     def step(acc: Column, t: Column) -> Column:

@@ -86,20 +86,25 @@ def merged_targets(candidates: DataFrame) -> DataFrame:
     )
 
 
-def value_counts(lines: DataFrame, values: DataFrame) -> DataFrame:
-    """(fixture, value, n): how often ``values`` (fixture, value) stand in a document as whole words, in any case.
+def _wanted(values: DataFrame) -> DataFrame:
+    """(fixture, value, runs): the distinct values with their runs of letters and digits; those without any are left out."""
+    return values.select("fixture", "value").distinct().withColumn("runs", _runs(F.col("value"))).where(F.size("runs") > 0)
 
-    A number that is part of a longer one by a hyphen, slash or point, or of an amount, is no occurrence. Values
-    meet the lines that hold all their runs of letters and digits in a row; those that occur nowhere have 0. The
-    lines' words are first joined to the numbers of runs that values beginning with them have, one row for each
+
+def _runs(text: Column) -> Column:
+    return F.regexp_extract_all(caseless(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def _found(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(fixture, value, n): how often values stand in a line that holds all their runs of letters and digits in a row.
+
+    The lines' words are first joined to the numbers of runs that values beginning with them have, one row for each
     word of a document, so that words which begin many values, like "name" or "1", are not multiplied by these.
     Most words begin no value: a table of bits, of a fixed size, spares them the shuffle.
     """
-    runs = lambda t: F.regexp_extract_all(caseless(t), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    wanted = values.select("fixture", "value").distinct().withColumn("runs", runs(F.col("value"))).where(F.size("runs") > 0)
     keyed = wanted.select("fixture", "value", F.array_join("runs", " ").alias("key"))
     begun = wanted.groupBy("fixture", F.get("runs", F.lit(0)).alias("word")).agg(F.collect_set(F.size("runs")).alias("sizes"))
-    words = lines.where("text is not null").select("fixture", "text", F.explode(F.array_distinct(runs(F.col("text")))).alias("word"))
+    words = lines.where("text is not null").select("fixture", "text", F.explode(F.array_distinct(_runs(F.col("text")))).alias("word"))
     plain = F.regexp_replace(F.regexp_replace("text", MONEY, " ¤ "), PERCENT, " ¤ ")
     place = F.pmod(F.xxhash64("fixture", "word"), F.lit(64 * SLOTS)).alias("place")
     bits = begun.select(place).groupBy((F.col("place") % SLOTS).alias("slot")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(place div {SLOTS} as int))")).alias("bits"))
@@ -108,14 +113,23 @@ def value_counts(lines: DataFrame, values: DataFrame) -> DataFrame:
     # Both arrays are bound to a variable, so they are computed once and not for every place.
     places = lambda r: F.filter(F.transform(r, lambda w, i: F.when(w == F.col("word"), i)), lambda i: i.isNotNull())
     at = lambda r, i: F.transform(F.filter("sizes", lambda n: i + n <= F.size(r)), lambda n: F.array_join(F.slice(r, i + 1, n), " "))
-    keys = F.flatten(F.flatten(F.transform(F.array(runs(F.col("text"))), lambda r: F.transform(places(r), lambda i: at(r, i)))))
+    keys = F.flatten(F.flatten(F.transform(F.array(_runs(F.col("text"))), lambda r: F.transform(places(r), lambda i: at(r, i)))))
     rows = rows.select("fixture", "text", F.explode(F.array_distinct(keys)).alias("key"))
     literal = F.regexp_replace(F.regexp_replace("value", r"([^\p{L}\p{N}\s])", r"\\$1"), r"\s+", r"\\s+")
     digit = F.col("value").rlike("^[0-9]")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])"), F.when(digit, r"(?<![0-9][-/.])").otherwise(""), literal, F.lit(r"(?![\p{L}\p{N}_])"), F.when(F.col("value").rlike("[0-9]$"), r"(?![-/.][0-9])").otherwise(""))
-    found = rows.join(keyed, ["fixture", "key"]).select("fixture", "value", F.regexp_count("text", pattern).cast("bigint").alias("n"))
-    counted = found.unionByName(keyed.select("fixture", "value", F.lit(0).cast("bigint").alias("n")))
-    return counted.groupBy("fixture", "value").agg(F.sum("n").alias("n"))
+    return rows.join(keyed, ["fixture", "key"]).select("fixture", "value", F.regexp_count("text", pattern).cast("bigint").alias("n"))
+
+
+def value_counts(lines: DataFrame, values: DataFrame) -> DataFrame:
+    """(fixture, value, n): how often ``values`` (fixture, value) stand in a document as whole words, in any case.
+
+    A number that is part of a longer one by a hyphen, slash or point, or of an amount, is no occurrence. Values
+    that occur nowhere have 0.
+    """
+    wanted = _wanted(values)
+    none = wanted.select("fixture", "value", F.lit(0).cast("bigint").alias("n"))
+    return _found(lines, wanted).unionByName(none).groupBy("fixture", "value").agg(F.sum("n").alias("n"))
 
 
 def verified(lines: DataFrame, rewritten: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -126,12 +140,18 @@ def verified(lines: DataFrame, rewritten: DataFrame, candidates: DataFrame) -> D
     """
     chosen = candidates.where("text is not null and pii_type is not null")
     values = chosen.select("fixture", normalized(F.col("text")).alias("value")).where("length(value) >= 4")
-    left = value_counts(rewritten, values).where("n > 0").groupBy("fixture").agg(F.count(F.lit(1)).alias("failures")).withColumn("check", F.lit("originals"))
+    left = _found(rewritten, _wanted(values)).where("n > 0").select("fixture", "value").distinct().groupBy("fixture").agg(F.count(F.lit(1)).alias("failures")).withColumn("check", F.lit("originals"))
     both = lines.select(*LINE_KEY, F.col("text").alias("old")).join(rewritten.select(*LINE_KEY, F.col("text").alias("new"), F.lit(1).alias("there")), LINE_KEY, "left")
     marked = chosen.groupBy(*LINE_KEY).agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.concat(F.lit("["), F.col("pii_type"), F.lit("]"))).alias("marks"))
     j = both.join(marked, LINE_KEY, "left")
-    bad = lambda name, wrong: j.where(wrong).groupBy("fixture").agg(F.count(F.lit(1)).alias("failures")).withColumn("check", F.lit(name))
+    changed = ~F.col("old").eqNullSafe(F.col("new"))
     missing = F.exists("marks", lambda m: ~F.contains(F.col("new"), m))
     gone = F.size(F.array_except(financial_tokens(F.col("old")), financial_tokens(F.col("new")))) > 0
-    out = left.unionByName(bad("placeholders", F.col("n").isNotNull() & F.coalesce(missing, F.lit(True)))).unionByName(bad("kept", F.col("n").isNull() & ~F.col("old").eqNullSafe(F.col("new"))))
-    return out.unionByName(bad("amounts", gone)).unionByName(bad("lines", F.col("there").isNull())).select("fixture", "check", "failures")
+    wrong = {
+        "placeholders": F.col("n").isNotNull() & F.coalesce(missing, F.lit(True)), "kept": F.col("n").isNull() & changed,
+        "amounts": changed & gone, "lines": F.col("there").isNull(),
+    }
+    # All checks of the lines in one pass.
+    counts = j.groupBy("fixture").agg(*(F.count(F.when(w, 1)).alias(name) for name, w in wrong.items()))
+    each = F.explode(F.array(*(F.struct(F.col(name).alias("failures"), F.lit(name).alias("check")) for name in wrong))).alias("e")
+    return left.unionByName(counts.select("fixture", each).select("fixture", "e.failures", "e.check").where("failures > 0")).select("fixture", "check", "failures")
